@@ -168,7 +168,7 @@ def reconstruct_signal(
         .select(
             "session_id",
             (F.col("k") * F.lit(hop).cast("long") + F.col("_j")).alias("i"),
-            *[F.col(f"_v")[str(c)].alias(name) for c, name in enumerate(columns)],
+            *[F.col("_v")[name].alias(name) for name in columns],
             *labels,
         )
     )
@@ -177,7 +177,7 @@ def reconstruct_signal(
 def flatten_windows(windows: DataFrame, columns: Sequence[str] = CHANNEL_COLUMNS, rate: float = RATE_HZ) -> DataFrame:
     """Windows laid end to end, overlap repeated; time is position over rate."""
     size = F.size(F.get("x", F.lit(0)))
-    zipped = F.arrays_zip(*[F.get("x", F.lit(c)) for c in range(len(columns))])
+    zipped = F.arrays_zip(*[F.get("x", F.lit(c)).alias(name) for c, name in enumerate(columns)])
     return (
         windows.select("session_id", "k", size.alias("_n"), F.posexplode(zipped).alias("_j", "_v"))
         .withColumn("pos", F.col("k").cast("long") * F.col("_n") + F.col("_j"))
@@ -185,7 +185,7 @@ def flatten_windows(windows: DataFrame, columns: Sequence[str] = CHANNEL_COLUMNS
             "session_id",
             "pos",
             (F.col("pos") / rate).alias("t"),
-            *[F.col("_v")[str(c)].alias(name) for c, name in enumerate(columns)],
+            *[F.col("_v")[name].alias(name) for name in columns],
         )
     )
 

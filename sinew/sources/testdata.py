@@ -106,3 +106,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("vec_id") / 10).cast("long").alias("trial_id"),
         F.col("embedding").cast("array<double>").alias("f"),
     )
+
+
+def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window keys of the long sessions with the label of their year: ``…, y, label``."""
+    from sinew.operators.windows import window_index
+
+    index = window_index(long_sessions(spark, sf_dir), carry=["y"])
+    return index.withColumn("label", year_label(F.col("y")))
