@@ -98,10 +98,10 @@ def flatten_windows(spark, sf):
 
 
 @register("center_global", S.sql(S.FA, "m AS (SELECT session_id, avg(ch0) m0, avg(ch1) m1 FROM fa GROUP BY 1)",
-    select=f"SELECT session_id, i, {q('ch0 - m0', 'ch0', 9)}, {q('ch1 - m1', 'ch1', 9)} FROM fa JOIN m USING (session_id)"))
+    select=f"SELECT session_id, i, {q('ch0 - m0', 'ch0', 9)}, {q('ch1 - m1', 'ch1', 4)} FROM fa JOIN m USING (session_id)"))
 def center_global(spark, sf):
     out = W.center_global(td.short_sessions(spark, sf), ("ch0", "ch1"))
-    return rounded(out.select("session_id", "i", "ch0", "ch1"), ["ch0", "ch1"], 9)
+    return out.select("session_id", "i", r("ch0", 9).alias("ch0"), r("ch1", 4).alias("ch1"))
 
 
 @register("slice_time", S.sql(S.FA, select="SELECT session_id, i, ts, ch0 FROM fa WHERE ts >= 0.1e0 AND ts < 0.1e0 + 0.25e0"))
