@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sinew.session import settle
+
 CELLS = 4096
 RANKED = 1 << 20
 
@@ -20,7 +22,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                     *, cells: int = CELLS, ranked: int = RANKED) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per probability."""
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # Read once per step below, so the counted values are settled first.
+    rows = settle(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
     totals = rows.groupBy(*by).agg(F.sum("_n").alias("_total"))
     wanted = totals.select(
         *by,

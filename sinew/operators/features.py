@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from sinew.constants import (
     ZC_SHARE,
 )
 from sinew.functions import arrow, signal
+from sinew.functions.columns import centred, let, sum_squares, total
 from sinew.operators.windows import CHUNK_SAMPLES, pack
 from sinew.ordered import CHUNK
 
@@ -260,26 +261,28 @@ def td4_native(samples: DataFrame, channels: Sequence[int] = HAND_CHANNELS, size
 
     columns = [f"ch{c}" for c in channels]
     windows = sliding_windows(samples, size, hop, columns=columns, chunk=chunk)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     rows = windows.select(
         "session_id", "k",
         F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in channels]).alias("channel"), F.col("x"))).alias("w"),
     ).select("session_id", "k", F.col("w.channel").alias("channel"), F.col("w.x").alias("x"))
-    rows = rows.withColumn("_m", total(F.col("x")) / size)
-    rows = rows.withColumn("x", F.transform("x", lambda v: v - F.col("_m")))
-    rows = rows.withColumn("rms", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v) / size))
-    rows = rows.withColumn("_a", F.slice("x", 1, size - 1)).withColumn("_b", F.slice("x", 2, size - 1))
-    steps = F.zip_with("_a", "_b", lambda a, b: b - a)
-    rows = rows.withColumn("_d", steps)
-    zc_limit, ssc_limit = ZC_SHARE * F.col("rms"), F.pow(SSC_SHARE * F.col("rms"), 2)
-    crossing = F.zip_with("_a", "_b", lambda a, b: (a * b < 0) & (F.abs(b - a) > zc_limit))
-    turning = F.zip_with(
-        F.slice("_d", 1, size - 2), F.slice("_d", 2, size - 2), lambda left, right: -left * right > ssc_limit
-    )
     count = lambda flags: F.size(F.filter(flags, lambda v: v)).cast("double")
-    return rows.select(
-        "session_id", "k", "channel", "rms",
-        total(F.transform("_d", F.abs)).alias("wl"),
-        count(crossing).alias("zc"),
-        count(turning).alias("ssc"),
+
+    def measures(x: Column) -> Column:
+        return let(F.sqrt(sum_squares(x) / size), lambda rms: let(steps(x), lambda d: measured(x, rms, d)))
+
+    def steps(x: Column) -> Column:
+        return F.zip_with(F.slice(x, 1, size - 1), F.slice(x, 2, size - 1), lambda a, b: b - a)
+
+    def measured(x: Column, rms: Column, d: Column) -> Column:
+        zc_limit, ssc_limit = ZC_SHARE * rms, (SSC_SHARE * rms) * (SSC_SHARE * rms)
+        crossing = F.zip_with(
+            F.slice(x, 1, size - 1), F.slice(x, 2, size - 1), lambda a, b: (a * b < 0) & (F.abs(b - a) > zc_limit)
+        )
+        turning = F.zip_with(F.slice(d, 1, size - 2), F.slice(d, 2, size - 2), lambda left, right: -left * right > ssc_limit)
+        return F.struct(
+            rms.alias("rms"), total(F.transform(d, F.abs)).alias("wl"), count(crossing).alias("zc"), count(turning).alias("ssc")
+        )
+
+    return rows.select("session_id", "k", "channel", let(centred(F.col("x")), measures).alias("_m")).select(
+        "session_id", "k", "channel", "_m.*"
     )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sinew.constants import BICEP_CHANNEL, BICEP_SAMPLES, HOP, WINDOW
 from sinew.functions import arrow, signal
+from sinew.functions.columns import centred
 from sinew.operators.windows import CHANNEL_COLUMNS, pack
 from sinew.ordered import CHUNK, OWN, with_halo
 
@@ -111,8 +112,7 @@ def activity_envelope(
 
 
 def remove_dc(channel: Column) -> Column:
-    mean = F.aggregate(channel, F.lit(0.0), lambda a, v: a + v) / F.size(channel)
-    return F.transform(channel, lambda v: v - mean)
+    return centred(channel)
 
 
 def tone_map(channel: Column) -> Column:

@@ -174,12 +174,12 @@ def raw_vs_smoothed(outputs: DataFrame) -> DataFrame:
     return outputs.select("session_id", "k", "raw", shown.alias("shown"), (shown != F.col("raw")).alias("differs"))
 
 
-def prediction_events(outputs: DataFrame, column: str = "output", *, size: int = CHUNK_ROWS) -> DataFrame:
-    """Only rows at which there is an output and it is not the one before."""
+def prediction_events(outputs: DataFrame, column: str = "output", *, none=-1, size: int = CHUNK_ROWS) -> DataFrame:
+    """Only rows at which there is an output (not ``none``) and it is not the one before."""
     frame = Window.partitionBy("session_id", CHUNK).orderBy("k")
     placed = with_halo(outputs, "k", size, before=1)
     flagged = placed.withColumn("_before", F.lag(column).over(frame)).filter(OWN)
-    fresh = (F.col(column) != -1) & (F.col("_before").isNull() | (F.col("_before") != F.col(column)))
+    fresh = (F.col(column) != none) & (F.col("_before").isNull() | (F.col("_before") != F.col(column)))
     return flagged.filter(fresh).drop(CHUNK, OWN, "_before")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinew.constants import HOP, RATE_HZ, WINDOW
+from sinew.functions.columns import centred, sum_squares, total
 from sinew.ordered import CHUNK, with_halo
 
 CHUNK_SAMPLES = 6400
@@ -135,16 +136,23 @@ def window_index(
 ) -> DataFrame:
     """Window keys and times without their samples: ``session_id, k, start_time, end_time``.
 
-    Reads only the rows that open or close a window. ``carry`` takes columns of the opening row.
+    Reads only the rows that open or close a window and pairs them by aggregation, in one pass.
+    ``carry`` takes columns of the opening row.
     """
-    opens = samples.filter(F.col("i") % hop == 0).select(
-        "session_id", (F.col("i") / hop).cast("int").alias("k"), F.col("ts").alias("start_time"), *carry
+    i = F.col("i")
+    opens = i % hop == 0
+    closes = (i >= size - 1) & ((i - (size - 1)) % hop == 0)
+    role = lambda at, opening: F.struct(at.cast("int").alias("k"), F.lit(opening).alias("opening"))
+    roles = F.array_compact(
+        F.array(F.when(opens, role(i / hop, True)), F.when(closes, role((i - (size - 1)) / hop, False)))
     )
-    closes = samples.filter((F.col("i") >= size - 1) & ((F.col("i") - (size - 1)) % hop == 0)).select(
-        "session_id", ((F.col("i") - (size - 1)) / hop).cast("int").alias("k"), F.col("ts").alias("end_time")
+    marks = samples.filter(opens | closes).select("session_id", "ts", *carry, F.explode(roles).alias("_w"))
+    start = F.max(F.when(F.col("_w.opening"), F.struct("ts", *carry)))
+    end = F.max(F.when(~F.col("_w.opening"), F.col("ts")))
+    paired = marks.groupBy("session_id", F.col("_w.k").alias("k")).agg(start.alias("_start"), end.alias("end_time"))
+    return paired.filter(F.col("_start").isNotNull() & F.col("end_time").isNotNull()).select(
+        "session_id", "k", F.col("_start.ts").alias("start_time"), "end_time", *[F.col(f"_start.{c}").alias(c) for c in carry]
     )
-    joined = opens.join(closes, ["session_id", "k"])
-    return joined.select("session_id", "k", "start_time", "end_time", *carry)
 
 
 def reconstruct_signal(
@@ -213,10 +221,5 @@ def window_rms(x: Column | str = "x") -> Column:
     """RMS over all samples and channels after removing each channel's mean."""
     x = F.col(x) if isinstance(x, str) else x
 
-    def centred(channel: Column) -> Column:
-        total = F.aggregate(channel, F.lit(0.0), lambda a, v: a + v)
-        mean = total / F.size(channel)
-        return F.aggregate(channel, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-
-    squares = F.aggregate(F.transform(x, centred), F.lit(0.0), lambda a, v: a + v)
+    squares = total(F.transform(x, lambda channel: sum_squares(centred(channel))))
     return F.sqrt(squares / (F.size(x) * F.size(F.get(x, F.lit(0)))))

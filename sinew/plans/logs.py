@@ -46,7 +46,7 @@ def skip_telemetry(spark, sf):
 CASE WHEN event_type = 'error' THEN 'status' ELSE 'prediction' END AS kind,
 CASE WHEN event_type = 'click' THEN 'fist' WHEN event_type = 'view' THEN 'open' END AS gesture,
 CASE WHEN event_type = 'click' THEN {q('value')} WHEN event_type = 'view' THEN 0e0 END AS conf,
-CASE WHEN event_type = 'click' THEN k END AS t_ms, CASE WHEN event_type = 'error' THEN 'info' END AS status
+CASE WHEN event_type = 'click' THEN k ELSE -1 END AS t_ms, CASE WHEN event_type = 'error' THEN 'info' END AS status
 FROM ev WHERE event_type IN ('click', 'view', 'error')"""))
 def parse_predictions(spark, sf):
     e = F.col("event_type")
@@ -59,7 +59,7 @@ def parse_predictions(spark, sf):
     )
     rows = td.event_rows(spark, sf).select("session_id", "k", line.alias("line"))
     out = LN.parse_predictions(rows).drop("msg")
-    return out.withColumn("conf", r("conf"))
+    return out.withColumn("conf", r("conf")).withColumn("t_ms", F.coalesce("t_ms", F.lit(-1)))
 
 
 def _command_lines(spark, sf):

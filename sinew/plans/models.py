@@ -1 +1,243 @@
-"""Queries."""
+"""Queries: fitting and scoring models on labelled vectors."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sinew.operators import models as M
+from sinew.operators import split as SP
+from sinew.plans import fragments as S
+from sinew.plans.catalog import q, r, register, rounded
+from sinew.sources import testdata as td
+
+CLASSES = tuple(f"c{n}" for n in range(10))
+WIDTH = 64
+# Column blocks that stand for the three specialists.
+BLOCKS = {"td": list(range(0, 32)), "fd": list(range(32, 56)), "cc": list(range(56, 64))}
+
+
+def _weights(rows: int, columns: int, shift: int = 0) -> np.ndarray:
+    """Parameters by rule, so both sides can state them."""
+    r_, c = np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij")
+    return ((r_ * 31 + c * 17 + shift) % 23 - 11) / 7.0
+
+
+def _linear(classes: int, columns: int, shift: int = 0) -> M.LinearModel:
+    return M.LinearModel(CLASSES[:classes], _weights(classes, columns, shift), (np.arange(classes) % 3 - 1) / 4.0)
+
+
+def _scores_sql(x: str, rows: int, columns: int, shift: int = 0) -> str:
+    """List of w·x + b per class."""
+    return (
+        f"list_transform(range(0, {rows}), lambda r: (r % 3 - 1) / 4e0 + "
+        f"list_sum(list_transform(range(0, {columns}), lambda c: ((r * 31 + c * 17 + {shift}) % 23 - 11) / 7e0 * {x}[c + 1])))"
+    )
+
+
+def _softmax_sql(scores: str) -> str:
+    e = f"list_transform({scores}, lambda v: exp(v - list_max({scores})))"
+    return f"list_transform({e}, lambda v: v / list_sum({e}))"
+
+
+def _columns(width: int, name: str = "p") -> list:
+    return [r(F.col(name)[c]).alias(f"{name}{c}") for c in range(width)]
+
+
+def _columns_sql(width: int, name: str = "p") -> str:
+    return ", ".join(q(f"{name}[{c + 1}]", f"{name}{c}") for c in range(width))
+
+
+SCORED = (
+    S.VECTORS, f"sc AS MATERIALIZED (SELECT *, {_scores_sql('f', 10, WIDTH)} AS s FROM vec)",
+    f"pr AS MATERIALIZED (SELECT session_id, k, label, trial_id, f, {_softmax_sql('s')} AS p FROM sc)",
+)
+
+
+def _scored(spark, sf):
+    return M.score(td.vectors(spark, sf), _linear(10, WIDTH), ["session_id", "k", "label", "trial_id"])
+
+
+@register("score_lda", S.sql(*SCORED, select=f"SELECT session_id, k, {_columns_sql(10)} FROM pr"))
+def score_lda(spark, sf):
+    return _scored(spark, sf).select("session_id", "k", *_columns(10))
+
+
+@register("predict_label", S.sql(*SCORED, select="SELECT session_id, k, 'c' || (list_position(p, list_max(p)) - 1) AS predicted FROM pr"))
+def predict_label(spark, sf):
+    return _scored(spark, sf).select("session_id", "k", M.predict_label(F.col("p"), CLASSES).alias("predicted"))
+
+
+@register("soft_one_hot", S.sql(*SCORED, "oh AS (SELECT session_id, k, list_transform(range(1, 11), lambda j: CASE WHEN j = list_position(p, list_max(p)) THEN p[j] ELSE (1 - list_max(p)) / 9 END) AS p FROM pr)",
+    select=f"SELECT session_id, k, {_columns_sql(10)} FROM oh"))
+def soft_one_hot(spark, sf):
+    return _scored(spark, sf).select("session_id", "k", M.soft_one_hot(F.col("p")).alias("p")).select("session_id", "k", *_columns(10))
+
+
+ENSEMBLE = (
+    S.VECTORS,
+    "sp AS MATERIALIZED (SELECT session_id, k, f[1:32] AS a, f[33:56] AS b, f[57:64] AS c FROM vec)",
+    f"ss AS MATERIALIZED (SELECT session_id, k, {_scores_sql('a', 10, 32, 1)} AS a, {_scores_sql('b', 10, 24, 2)} AS b, {_scores_sql('c', 10, 8, 3)} AS c FROM sp)",
+    f"sq AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('a')} || {_softmax_sql('b')} || {_softmax_sql('c')} AS f FROM ss)",
+    f"sm AS MATERIALIZED (SELECT session_id, k, {_scores_sql('f', 10, 30, 4)} AS s FROM sq)",
+    f"en AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM sm)",
+)
+
+
+def _ensemble() -> M.Ensemble:
+    specialists = {n: _linear(10, len(at), shift + 1) for shift, (n, at) in enumerate(BLOCKS.items())}
+    return M.Ensemble(BLOCKS, specialists, _linear(10, 30, 4))
+
+
+@register("score_ensemble", S.sql(*ENSEMBLE, select=f"SELECT session_id, k, {_columns_sql(10)} FROM en"))
+def score_ensemble(spark, sf):
+    return M.score(td.vectors(spark, sf), _ensemble(), ["session_id", "k"]).select("session_id", "k", *_columns(10))
+
+
+def _layer_sql(x: str, inputs: int, outputs: int, shift: int, relu: bool) -> str:
+    y = (
+        f"(o % 5 - 2) / 8e0 + list_sum(list_transform(range(0, {inputs}), lambda c: ((c * 31 + o * 17 + {shift}) % 23 - 11) / 7e0 * {x}[c + 1]))"
+    )
+    return f"list_transform(range(0, {outputs}), lambda o: {'greatest(' + y + ', 0e0)' if relu else y})"
+
+
+NET = (
+    S.VECTORS,
+    f"l1 AS MATERIALIZED (SELECT session_id, k, {_layer_sql('f', 64, 32, 5, True)} AS h FROM vec)",
+    f"l2 AS MATERIALIZED (SELECT session_id, k, {_layer_sql('h', 32, 16, 6, True)} AS h FROM l1)",
+    f"l3 AS MATERIALIZED (SELECT session_id, k, list_transform({_layer_sql('h', 16, 10, 7, False)}, lambda v: v / 1e0) AS s FROM l2)",
+    f"nn AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM l3)",
+)
+
+
+def _net() -> M.DenseNet:
+    sizes = (64, 32, 16, 10)
+    weights = [_weights(a, b, 5 + n) for n, (a, b) in enumerate(zip(sizes[:-1], sizes[1:]))]
+    return M.DenseNet(CLASSES, weights, [(np.arange(b) % 5 - 2) / 8.0 for b in sizes[1:]])
+
+
+@register("score_mlp", S.sql(*NET, select=f"SELECT session_id, k, {_columns_sql(10)} FROM nn"))
+def score_mlp(spark, sf):
+    return M.score(td.vectors(spark, sf), _net(), ["session_id", "k"]).select("session_id", "k", *_columns(10))
+
+
+@register("average_models", S.sql(*SCORED, *[p.replace("sm AS", "sme AS").replace("FROM sm)", "FROM sme)") for p in ENSEMBLE[1:]],
+    """av AS (SELECT pr.session_id, pr.k, list_transform(range(1, 11), lambda j: CASE WHEN pr.k % 4 = 0 THEN pr.p[j] ELSE (pr.p[j] + en.p[j]) / 2 END) AS p
+  FROM pr JOIN en ON en.session_id = pr.session_id AND en.k = pr.k)""",
+    select=f"SELECT session_id, k, {_columns_sql(10)} FROM av"))
+def average_models(spark, sf):
+    """Two models, one of them missing on every fourth row."""
+    second = M.score(td.vectors(spark, sf), _ensemble(), ["session_id", "k"]).withColumnRenamed("p", "b")
+    both = _scored(spark, sf).join(second, ["session_id", "k"]).withColumn("b", F.when(F.col("k") % 4 != 0, F.col("b")))
+    return both.select("session_id", "k", M.average_models(F.col("p"), F.col("b")).alias("p")).select("session_id", "k", *_columns(10))
+
+
+@register("quantise_int8", S.sql(S.LONG, select=f"""SELECT session_id, k, pos, CAST(least(greatest(round(v / 0.0037e0) + 3, -128), 127) AS INTEGER) AS level,
+{q('(least(greatest(round(v / 0.0037e0) + 3, -128), 127) - 3) * 0.0037e0', 'back')} FROM lf"""))
+def quantise_int8(spark, sf):
+    level = M.quantise_int8(F.col("v"), 0.0037, 3)
+    rows = td.vectors(spark, sf).select("session_id", "k", F.posexplode("f").alias("pos", "v"))
+    return rows.select("session_id", "k", "pos", level.alias("level"), r(M.dequantise_int8(level, 0.0037, 3)).alias("back"))
+
+
+# --------------------------------------------------------------------------------- fitted models
+
+
+def _mean_weights(spark, sf):
+    """A model table from the data: class means as weights."""
+    rows = td.vectors(spark, sf).select("label", F.posexplode("f").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("m"))
+    packed = rows.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_p"))
+    return packed.select(F.lit("means").alias("model"), F.col("label").alias("class"), F.lit(0.0).alias("intercept"), F.col("_p.m").alias("w"))
+
+
+IMPORTANCE = "im AS (SELECT pos, avg(abs(m)) AS importance FROM (SELECT label, pos, avg(v) AS m FROM lf GROUP BY ALL) GROUP BY 1)"
+
+
+@register("feature_importance", S.sql(S.LONG, IMPORTANCE, select=f"SELECT pos, {q('importance', 'importance')} FROM im"))
+def feature_importance(spark, sf):
+    return rounded(M.feature_importance(_mean_weights(spark, sf)), ["importance"])
+
+
+@register("importance_top_k", S.sql(S.LONG, IMPORTANCE, select=f"SELECT pos, {q('importance', 'importance')} FROM im ORDER BY im.importance DESC, pos LIMIT 8"))
+def importance_top_k(spark, sf):
+    return rounded(M.importance_top_k(_mean_weights(spark, sf)), ["importance"])
+
+
+@register("class_moments", S.sql(
+    S.VECTORS, "mm AS MATERIALIZED (SELECT label, count(*) AS n, list_transform(range(1, 65), lambda i: 0) AS z FROM vec GROUP BY 1)",
+    "pairs AS (SELECT label, a, b, covar_pop(f[a + 1], f[b + 1]) * count(*) AS s, avg(f[a + 1]) AS m, count(*) AS n FROM vec, (SELECT unnest(range(0, 64)) AS a) p, (SELECT unnest(range(0, 64)) AS b) q WHERE b >= a GROUP BY ALL)",
+    select=f"SELECT label, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {q('m', 'mean')}, {q('s', 'scatter')}, CAST(n AS DOUBLE) AS n FROM pairs"))
+def class_moments(spark, sf):
+    """Every entry of the merged class statistics; the matrices are of vector length."""
+    stats = M.class_moments(td.vectors(spark, sf))
+    rows = [
+        (label, a, b, float(m.mean[a]), float(m.scatter[a, b]), m.n)
+        for (_, label), m in stats.items() for a in range(WIDTH) for b in range(a, WIDTH)
+    ]
+    return rounded(spark.createDataFrame(rows, "label string, a long, b long, mean double, scatter double, n double"), ["mean", "scatter"])
+
+
+@register("fit_lda")
+def fit_lda(spark, sf):
+    features = td.vectors(spark, sf)
+    model = M.fit_lda(M.by_class(M.class_moments(features)))
+    return M.score(features, model, ["session_id", "k", "label"]).select("session_id", "k", "label", *_columns(10))
+
+
+@register("fit_qda")
+def fit_qda(spark, sf):
+    features = td.vectors(spark, sf)
+    model = M.fit_qda(M.by_class(M.class_moments(features)))
+    return M.score(features, model, ["session_id", "k", "label"]).select("session_id", "k", "label", *_columns(10))
+
+
+def _folded(spark, sf):
+    features = td.vectors(spark, sf)
+    folds = SP.group_kfold(features).drop("n")
+    return features.join(folds, "trial_id")
+
+
+@register("out_of_fold_proba")
+def out_of_fold_proba(spark, sf):
+    held, _ = M.out_of_fold_proba(_folded(spark, sf), columns=BLOCKS)
+    return held.select("session_id", "k", "label", "fold", *_columns(30))
+
+
+@register("cross_val_accuracy")
+def cross_val_accuracy(spark, sf):
+    return M.cross_val_accuracy(_folded(spark, sf))
+
+
+@register("leave_one_session_out_accuracy")
+def leave_one_session_out_accuracy(spark, sf):
+    return M.cross_val_accuracy(SP.leave_one_session_out(td.vectors(spark, sf)))
+
+
+@register("fit_ensemble")
+def fit_ensemble(spark, sf):
+    ensemble = M.fit_ensemble(_folded(spark, sf), columns=BLOCKS)
+    return M.score(td.vectors(spark, sf), ensemble, ["session_id", "k", "label"]).select("session_id", "k", "label", *_columns(10))
+
+
+@register("specialist_cv")
+def specialist_cv(spark, sf):
+    return M.specialist_cv(_folded(spark, sf), columns=BLOCKS)
+
+
+@register("lda_project")
+def lda_project(spark, sf):
+    features = td.vectors(spark, sf)
+    model = M.fit_lda(M.by_class(M.class_moments(features)))
+    return M.lda_project(features, model)
+
+
+@register("fit_mlp")
+def fit_mlp(spark, sf):
+    features = td.vectors(spark, sf)
+    model = M.fit_mlp(features, CLASSES, iterations=30)
+    return M.predict_mlp(features, model, CLASSES).select("session_id", "k", "label", *_columns(10))
+
+
+@register("classifier_benchmark")
+def classifier_benchmark(spark, sf):
+    return M.classifier_benchmark({"vectors": _folded(spark, sf)}, CLASSES, models=("lda", "qda", "svm_rbf", "mlp"), iterations=10)

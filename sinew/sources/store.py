@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sinew.constants import HOP, RATE_HZ
 from sinew.operators import labels as L
+from sinew.session import settle
 
 CELL_WINDOWS = 1 << 17
 CELL_SAMPLES = CELL_WINDOWS * HOP
@@ -125,16 +126,20 @@ def combine_training(windows: DataFrame, *, drop: bool = True) -> DataFrame:
 
     Sessions whose window shape differs from the first one's are left out, transitions are
     dropped per session, missing trials become one per window, and trial ids are made unique by
-    the running number of trials of the sessions before. Shape and offsets need one row per
-    session, so the large table is scanned and joined only with that.
+    the running number of trials of the sessions before. All of this only needs window keys, so
+    the samples of the windows are joined on last and shuffled once.
     """
     shape = F.struct(F.size("x").alias("channels"), F.size(F.get("x", F.lit(0))).alias("samples"))
     shapes = windows.groupBy("session_id").agg(F.min(shape).alias("shape"))
     first = shapes.agg(F.min_by("shape", "session_id").alias("shape"))
-    same = windows.join(shapes.join(first, "shape", "left_semi").select("session_id"), "session_id", "left_semi")
-    kept = L.drop_transitions(same) if drop else same
+    keys = windows.drop("x").join(
+        shapes.join(first, "shape", "left_semi").select("session_id"), "session_id", "left_semi"
+    )
+    # Keys only, read by several small aggregates below.
+    kept = settle(L.drop_transitions(keys) if drop else keys)
     trial = F.coalesce("trial_id", F.col("k")).cast("long")
-    return L.encode_labels(global_trials(kept.withColumn("trial_id", trial)))
+    coded = L.encode_labels(global_trials(kept.withColumn("trial_id", trial)))
+    return coded.join(windows.select("session_id", "k", "x"), ["session_id", "k"])
 
 
 def global_trials(rows: DataFrame) -> DataFrame:
