@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sinew.functions import arrow
+from sinew.session import settle
 
 # --------------------------------------------------------------------------------- statistics
 
@@ -528,6 +529,8 @@ def random_fourier(features: DataFrame, dimensions: int = 256, gamma: float | No
 
 
 def _ml_fold_accuracy(rows: DataFrame, classes: Sequence[str], fold: str, train_and_predict) -> DataFrame:
+    # Iterative trainers read their input many times.
+    rows = settle(rows)
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     parts = []
     for f in folds:
@@ -557,7 +560,10 @@ def classifier_benchmark(sets: dict[str, DataFrame], classes: Sequence[str], fol
                 scores = cross_val_accuracy(rows, fold, fit=fit_qda)
             elif model == "svm_rbf":
                 def svm(train: DataFrame, test: DataFrame) -> DataFrame:
-                    machine = OneVsRest(classifier=LinearSVC(regParam=1e-3, maxIter=iterations), featuresCol="_x", labelCol="_y", predictionCol="_guess")
+                    machine = OneVsRest(
+                        classifier=LinearSVC(regParam=1e-3, maxIter=iterations, featuresCol="_x"),
+                        featuresCol="_x", labelCol="_y", predictionCol="_guess", parallelism=8,
+                    )
                     return machine.fit(train).transform(test)
 
                 scores = _ml_fold_accuracy(_indexed(random_fourier(rows), classes), classes, fold, svm)

@@ -76,9 +76,9 @@ def soft_one_hot(spark, sf):
 
 ENSEMBLE = (
     S.VECTORS,
-    "sp AS MATERIALIZED (SELECT session_id, k, f[1:32] AS a, f[33:56] AS b, f[57:64] AS c FROM vec)",
-    f"ss AS MATERIALIZED (SELECT session_id, k, {_scores_sql('a', 10, 32, 1)} AS a, {_scores_sql('b', 10, 24, 2)} AS b, {_scores_sql('c', 10, 8, 3)} AS c FROM sp)",
-    f"sq AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('a')} || {_softmax_sql('b')} || {_softmax_sql('c')} AS f FROM ss)",
+    "sp AS MATERIALIZED (SELECT session_id, k, f[1:32] AS xa, f[33:56] AS xb, f[57:64] AS xc FROM vec)",
+    f"ss AS MATERIALIZED (SELECT session_id, k, {_scores_sql('xa', 10, 32, 1)} AS sa, {_scores_sql('xb', 10, 24, 2)} AS sb, {_scores_sql('xc', 10, 8, 3)} AS sc FROM sp)",
+    f"sq AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('sa')} || {_softmax_sql('sb')} || {_softmax_sql('sc')} AS f FROM ss)",
     f"sm AS MATERIALIZED (SELECT session_id, k, {_scores_sql('f', 10, 30, 4)} AS s FROM sq)",
     f"en AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM sm)",
 )

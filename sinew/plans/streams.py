@@ -1 +1,99 @@
-"""Queries."""
+"""Queries: the streaming operators, held against the same SQL as their batch versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sinew.operators.features import by_name
+from sinew.plans import fragments as S
+from sinew.plans import signals as SG
+from sinew.plans.catalog import q, r, register, rounded
+from sinew.sources import testdata as td
+from sinew.session import settle
+from sinew.streaming import live as LV
+from sinew.streaming import runs as RN
+
+
+def _slices(df, order: str, edges):
+    """The whole table in consecutive ranges of ``order``."""
+    df = settle(df)
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        part = df
+        if low is not None:
+            part = part.filter(F.col(order) >= low)
+        if high is not None:
+            part = part.filter(F.col(order) < high)
+        yield part
+
+
+@register("stream_windows", S.sql(S.FA, S.windows(), select=SG.CHECKS))
+def stream_windows(spark, sf):
+    samples = td.short_sessions(spark, sf).drop("y")
+    return SG._checks(RN.replay(_slices(samples, "i", [137, 400]), LV.stream_windows))
+
+
+@register("stream_features", S.sql(*SG._all_parts(SG.AR, SG.SPECTRUM, SG.CROSS), select=SG.feature_sql(SG.NAMES)))
+def stream_features(spark, sf):
+    samples = td.short_sessions(spark, sf).drop("y")
+    out = RN.replay(_slices(samples, "i", [137, 400]), LV.stream_features)
+    return SG._named(out, SG.FULL, SG.NAMES)
+
+
+@register("stream_smooth", S.sql(S.HYST, select=f"SELECT session_id, k, winner, {q('conf', 'conf')}, output FROM hs"))
+def stream_smooth(spark, sf):
+    proba = td.probabilities(spark, sf).select("session_id", "k", "p")
+    return rounded(RN.replay(_slices(proba, "k", [13, 40]), LV.stream_smooth), ["conf"])
+
+
+@register("stream_events", S.sql(
+    S.HYST, select="""SELECT session_id, k, output FROM (SELECT *, lag(output) OVER (PARTITION BY session_id ORDER BY k) AS b FROM hs)
+WHERE output <> -1 AND b IS DISTINCT FROM output"""))
+def stream_events(spark, sf):
+    """Only changes of the output."""
+    proba = td.probabilities(spark, sf).select("session_id", "k", "p")
+    out = RN.replay(_slices(proba, "k", [13, 40]), lambda s: LV.stream_smooth(s, on_change=True))
+    return out.select("session_id", "k", "output")
+
+
+@register("stream_tumbling", S.sql(
+    S.FA, select=f"SELECT session_id, i // 150 AS w, count(*) AS n, {q('sqrt(avg(ch0 * ch0))', 'ch0')}, {q('sqrt(avg(ch1 * ch1))', 'ch1')} FROM fa GROUP BY ALL"))
+def stream_tumbling(spark, sf):
+    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), "ch0", "ch1")
+    out = RN.replay(
+        _slices(samples, "i", [137, 400]), lambda s: LV.time_windows(s, ["ch0", "ch1"], slide=None, lateness="1 hour"), mode="complete"
+    )
+    return out.select("session_id", F.floor(F.unix_millis("start") / 150).alias("w"), "n", r("ch0").alias("ch0"), r("ch1").alias("ch1"))
+
+
+@register("stream_sliding_time", S.sql(
+    S.FA, "o AS (SELECT session_id, unnest(range(i // 25 - 5, i // 25 + 1)) AS w, ch0 FROM fa)",
+    select=f"SELECT session_id, w, count(*) AS n, {q('sqrt(avg(ch0 * ch0))', 'ch0')} FROM o GROUP BY ALL"))
+def stream_sliding_time(spark, sf):
+    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), "ch0")
+    out = RN.replay(_slices(samples, "i", [300]), lambda s: LV.time_windows(s, ["ch0"], lateness="1 hour"), mode="complete")
+    return out.select("session_id", F.floor(F.unix_millis("start") / 25).alias("w"), "n", r("ch0").alias("ch0"))
+
+
+GAP_US = 6 * 3600 * 1_000_000
+
+
+@register("stream_sessions", S.sql(
+    S.EVENTS, f"g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER s < {GAP_US} THEN 0 ELSE 1 END AS opens FROM ev WINDOW s AS (PARTITION BY session_id ORDER BY ts_us))",
+    "h AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts_us) AS run FROM g)",
+    select=f"SELECT session_id, min(ts_us) AS start_us, max(ts_us) + {GAP_US} AS end_us, count(*) AS n FROM h GROUP BY session_id, run"))
+def stream_sessions(spark, sf):
+    rows = td.event_rows(spark, sf).select("session_id", "k", F.timestamp_micros("ts_us").alias("at"))
+    out = RN.replay(_slices(rows, "k", [20, 45]), lambda s: LV.activity_sessions(s, "6 hours", "60 days"), mode="complete")
+    return out.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@register("stream_predict")
+def stream_predict(spark, sf):
+    """Samples to smoothed classes with running calibration and a rule-given model."""
+    from sinew.operators.models import LinearModel
+    from sinew.plans.models import _weights
+
+    model = LinearModel(("fist", "hook_em", "open", "rest", "thumbs_up"), _weights(5, 69) / 10, _weights(5, 1)[:, 0])
+    samples = td.long_sessions(spark, sf).drop("y")
+    return rounded(RN.replay(_slices(samples, "i", [1500, 4000]), lambda s: LV.stream_predict(s, model)), ["conf"], 5)
