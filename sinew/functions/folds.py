@@ -117,7 +117,8 @@ def follow_map(targets: np.ndarray, limit: float, low: float, high: float) -> np
                 ys = np.insert(ys, n + 1, level)
         ys = np.clip(np.where(np.abs(target - ys) <= limit, target, ys + np.sign(target - ys) * limit), low, high)
         if len(xs) > 2:
-            slope = np.diff(ys) > 0
+            # Slopes are 0 or 1 up to rounding.
+            slope = np.diff(ys) > 0.5 * np.diff(xs)
             bends = np.flatnonzero(slope[1:] != slope[:-1]) + 1
             keep = np.concatenate([[0], bends, [len(xs) - 1]])
             xs, ys = xs[keep], ys[keep]
