@@ -69,7 +69,8 @@ def _select(rows: DataFrame, by: list[str], targets: DataFrame, cells: int, rank
     inner = [*by, cell]
     largest = hit.agg(F.max("_values")).first()[0] or 0
     if largest > ranked:
-        found = _select(kept, inner, hit.drop("_values"), cells, ranked, depth + 1)
+        # Few rows are left; settling them keeps a further round from repeating this one.
+        found = _select(settle(kept), inner, settle(hit.drop("_values")), cells, ranked, depth + 1)
         return found.drop(cell)
     running = Window.partitionBy(*inner).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     numbered = kept.withColumn("_upto", F.sum("_n").over(running))

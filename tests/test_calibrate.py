@@ -6,7 +6,7 @@ from sinew.functions.quantiles import exact_quantiles
 from sinew.operators import calibrate as C
 
 
-@pytest.mark.parametrize("cells,ranked", [(4096, 1 << 20), (4, 3)])
+@pytest.mark.parametrize("cells,ranked", [(4096, 1 << 20), (64, 12)])
 def test_exact_quantiles(spark, cells, ranked):
     rng = np.random.default_rng(0)
     groups = {"a": rng.normal(size=501), "b": np.repeat(rng.normal(size=7), 30), "c": np.array([5.0]), "d": np.append(rng.normal(size=99), 1e9)}

@@ -13,7 +13,7 @@ def test_running_equals_plain_scan(spark):
     ])
     frame["mark"] = frame["k"].where(frame["e"])
     df = spark.createDataFrame(frame)
-    mark = F.when("e", F.col("k"))
+    mark = F.when(F.col("e"), F.col("k"))
     out = running(df, ["session_id"], ["k"], chunk_of("k", 8), {
         "total": Scan("sum", F.col("v")), "top": Scan("max", F.col("v")), "low": Scan("min", F.col("v")),
         "prev": Scan("last", mark), "prev_x": Scan("last", mark, exclusive=True), "opening": Scan("first", mark),
