@@ -57,13 +57,17 @@ def chunk_fold(
             out["_map"] = [summarise(c).tolist() for c in chunks(frame)]
             yield out
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(CHUNK)
-        state, entries = np.asarray(start, dtype=float), []
-        for step in frame["_map"]:
-            entries.append(state.tolist())
-            state = advance(np.asarray(step, dtype=float), state)
-        return frame[["session_id", CHUNK]].assign(_entry=entries)
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Entry states along each session; rows arrive sorted, so one pass serves many sessions."""
+        current, state = None, None
+        for frame in frames:
+            entries = []
+            for sid, step in zip(frame["session_id"], frame["_map"]):
+                if sid != current:
+                    current, state = sid, np.asarray(start, dtype=float)
+                entries.append(state.tolist())
+                state = advance(np.asarray(step, dtype=float), state)
+            yield frame[["session_id", CHUNK]].assign(_entry=entries)
 
     def replays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -75,7 +79,7 @@ def chunk_fold(
                 yield pd.concat(parts)[["session_id", order, *[f.name for f in outputs]]]
 
     summaries = packed.mapInPandas(maps, T.StructType([session, chunk_field, T.StructField("_map", numbers)]))
-    entries = summaries.groupBy("session_id").applyInPandas(
+    entries = summaries.repartition("session_id").sortWithinPartitions("session_id", CHUNK).mapInPandas(
         chain, T.StructType([session, chunk_field, T.StructField("_entry", numbers)])
     )
     entered = packed.join(entries, ["session_id", CHUNK]).select("session_id", "_entry", *names)
