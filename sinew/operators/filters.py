@@ -34,9 +34,12 @@ def _per_chunk(
     before: int,
     after: int,
 ) -> DataFrame:
-    """Apply ``fn(x, at_start, at_end)`` to each chunk with halo and keep the chunk's own rows."""
-    lengths = samples.groupBy("session_id").agg(F.max("i").alias("_last"))
-    packed = pack(samples, ["ts", *columns], size=size, before=before, after=after).join(lengths, "session_id")
+    """Apply ``fn(x, at_start, at_end)`` to each chunk with halo and keep the chunk's own rows.
+
+    A chunk whose halo is not filled holds the session's end; where the end falls on the last
+    halo sample it is too far from the chunk's own rows to matter. So no session length is needed.
+    """
+    packed = pack(samples, ["ts", *columns], size=size, before=before, after=after)
     fields = [T.StructField("i", T.LongType()), T.StructField("ts", T.DoubleType())]
     schema = T.StructType(
         [samples.schema["session_id"], *fields, *[T.StructField(c, T.DoubleType()) for c in outputs]]
@@ -47,13 +50,13 @@ def _per_chunk(
             at, ts = arrow.ragged(batch.column("i")), arrow.ragged(batch.column("ts"))
             tracks = [arrow.ragged(batch.column(c)) for c in columns]
             homes = batch.column(CHUNK).to_numpy()
-            ends = batch.column("_last").to_numpy()
             for row, positions in enumerate(at):
                 own = positions // size == homes[row]
                 if not own.any():
                     continue
                 x = np.stack([t[row] for t in tracks], axis=1)
-                y = fn(x, positions[0] == 0, positions[-1] == ends[row])[own]
+                ends_here = positions[-1] < (homes[row] + 1) * size - 1 + after
+                y = fn(x, positions[0] == 0, ends_here)[own]
                 keys = batch.column("session_id").take(pa.array(np.full(len(y), row)))
                 values = {name: pa.array(np.ascontiguousarray(y[:, n])) for n, name in enumerate(outputs)}
                 yield arrow.batch(

@@ -71,12 +71,10 @@ def prompt_schedule(
 
 def prompt_timeline(points: DataFrame, schedule: DataFrame, *, at: str = "t", width: float = 64.0) -> DataFrame:
     """What the prompt shows at each time: gesture, time left, progress and, at rest, what comes next."""
-    # One row per prompt; a session's schedule is its prompt count, not its sample count.
-    following = F.lead("gesture").over(Window.partitionBy("session_id").orderBy("trial_id"))
     total = schedule.groupBy("session_id").agg(F.max(F.col("start") + F.col("duration")).alias("_total"))
-    prompts = schedule.select(
+    prompts = neighbours(schedule, ["gesture"], order="trial_id").select(
         "session_id", "trial_id", "gesture", "start", (F.col("start") + F.col("duration")).alias("end"),
-        following.alias("_next"),
+        F.col("next_gesture").alias("_next"),
     )
     located = interval_join(
         points, prompts, ["session_id"], F.col(at), "start", "end", ["trial_id", "gesture", "end", "_next"], width=width

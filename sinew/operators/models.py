@@ -60,7 +60,8 @@ def merged(parts: Sequence[Moments]) -> Moments:
 
 
 MOMENT_FIELDS = "n double, mean array<double>, scatter array<double>"
-MERGE_GROUPS = 32
+# With a million tasks a merge group still holds about a thousand matrices.
+MERGE_GROUPS = 1024
 
 
 def _moment_rows(keys: dict, found: dict[tuple, Moments]) -> pa.RecordBatch:

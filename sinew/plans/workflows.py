@@ -46,7 +46,7 @@ class Trained:
 def train_models(matrix: DataFrame, folds: int = 5) -> Trained:
     """Discriminant, ensemble and grouped accuracy from a training matrix.
 
-    Normalisation happened before the folds, as in the reference procedure; use
+    Normalisation happened before the folds, so its statistics include the held-out rows; use
     ``fold_normalised`` to keep a held-out session's statistics out.
     """
     assigned = SP.group_kfold(matrix.filter("is_real"), ["session_id", "trial_id"], folds).drop("n")

@@ -13,12 +13,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sinew.constants import HOP, RATE_HZ
 from sinew.operators import labels as L
+from sinew.ordered import Scan, running
 from sinew.session import settle
 
 CELL_WINDOWS = 1 << 17
+SESSIONS_PER_CHUNK = 1 << 16
 CELL_SAMPLES = CELL_WINDOWS * HOP
 
 
@@ -145,14 +148,16 @@ def combine_training(windows: DataFrame, *, drop: bool = True) -> DataFrame:
 def global_trials(rows: DataFrame) -> DataFrame:
     """Trial ids unique over sessions: plus max + 1 of every earlier session.
 
-    The running sum is over one row per session.
+    A prefix scan over one row per session, itself cut into chunks of sessions.
     """
-    from pyspark.sql import Window
-
-    per = rows.groupBy("session_id").agg((F.max("trial_id") + 1).alias("_n"))
-    before = Window.orderBy("session_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("session_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return rows.join(offsets, "session_id").withColumn("trial_id", F.col("trial_id") + F.col("_offset")).select(*rows.columns)
+    per = rows.groupBy("session_id").agg((F.max("trial_id") + 1).alias("_n")).withColumn("_all", F.lit(0))
+    numeric = isinstance(rows.schema["session_id"].dataType, T.IntegralType)
+    block = F.floor(F.col("session_id") / SESSIONS_PER_CHUNK) if numeric else F.substring("session_id", 1, 6)
+    offsets = running(per, ["_all"], ["session_id"], block, {"_offset": Scan("sum", F.col("_n"), exclusive=True)})
+    return (
+        rows.join(offsets.select("session_id", F.coalesce("_offset", F.lit(0)).alias("_offset")), "session_id")
+        .withColumn("trial_id", F.col("trial_id") + F.col("_offset")).select(*rows.columns)
+    )
 
 
 def read_all_training(spark: SparkSession, path: str, *, drop: bool = True) -> DataFrame:
