@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from sinew.constants import ACTIVE_STATES, CHANNELS
 from sinew.functions import folds
 from sinew.ordered import Scan, chunk_of, running
+from sinew.session import settle
 
 IDLE, CONNECTED = "IDLE", "CONNECTED"
 
@@ -30,7 +31,7 @@ def device_state_timeline(commands: DataFrame, order: str = "k", *, size: int =
         {"_start": Scan("last", F.when(starts, F.struct(F.col(order).alias("at"), state_of[cmd].alias("state"))), reverse=True)},
     )
     behind = running(
-        ahead, ["session_id"], [order], chunk_of(order, size),
+        settle(ahead), ["session_id"], [order], chunk_of(order, size),
         {
             "_link": Scan("last", F.when(cmd.isin("connect", "disconnect"), cmd)),
             "_reset": Scan("last", F.when(resets, F.struct("_start"))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinew.constants import (
@@ -35,6 +35,7 @@ from sinew.ordered import (
     running,
     with_halo,
 )
+from sinew.session import settle
 
 CHUNK_WINDOWS = 4096
 
@@ -229,13 +230,23 @@ def detect_onset(
     *,
     size: int = 8192,
 ) -> DataFrame:
-    """Time the envelope first exceeds mean + factor·deviation, else prompt + fallback."""
-    based = onset_baseline(marks, envelope, baseline, size=size)
-    near = _near(based, envelope, F.col("prompt_i"), F.col("prompt_i") + search, size)
-    above = F.col("env") > F.col("base_mean") + factor * F.col("base_std")
-    first = near.filter(above).groupBy("session_id", "k").agg(F.min_by("ts", "i").alias("_onset"))
-    return based.join(first, ["session_id", "k"], "left").select(
-        *based.columns, F.coalesce("_onset", F.col("prompt_time") + fallback).alias("onset")
+    """Time the envelope first exceeds mean + factor·deviation, else prompt + fallback.
+
+    The envelope is joined once: each boundary gathers its baseline statistics and the stretch to
+    search, which is at most ``search`` samples long.
+    """
+    near = _near(marks, envelope, F.col("prompt_i") - baseline, F.col("prompt_i") + search, size)
+    before = F.col("i") < F.col("prompt_i")
+    gathered = near.groupBy("session_id", "k").agg(
+        F.avg(F.when(before, F.col("env"))).alias("base_mean"),
+        F.stddev_pop(F.when(before, F.col("env"))).alias("base_std"),
+        F.collect_list(F.when(~before, F.struct("i", "ts", "env"))).alias("_ahead"),
+    )
+    limit = F.col("base_mean") + factor * F.col("base_std")
+    first = F.array_min(F.filter("_ahead", lambda s: s["env"] > limit))
+    found = gathered.select("session_id", "k", "base_mean", "base_std", first["ts"].alias("_onset"))
+    return marks.join(found, ["session_id", "k"], "left").select(
+        *marks.columns, "base_mean", "base_std", F.coalesce("_onset", F.col("prompt_time") + fallback).alias("onset")
     )
 
 
@@ -259,8 +270,12 @@ def apply_boundaries(labels: DataFrame, onsets: DataFrame, *, width: float = 64.
 
 
 def align_to_onset(labels: DataFrame, envelope: DataFrame, **options) -> DataFrame:
-    """Boundaries → onsets → aligned labels."""
-    return apply_boundaries(labels, detect_onset(boundaries(labels), envelope, **options))
+    """Boundaries → onsets → aligned labels.
+
+    Boundaries and onsets are one row per prompt and settled, so the envelope is computed once.
+    """
+    marks = settle(boundaries(labels))
+    return apply_boundaries(labels, settle(detect_onset(marks, envelope, **options)))
 
 
 def expected_label_per_hop(

@@ -82,7 +82,8 @@ def smooth_hysteresis(
     """
     if enter < hold:
         raise ValueError("enter must not be below hold")
-    base = smoothed(rows, classes, keep, size=size)
+    # A few numbers per row; settled so that scoring upstream runs once and not once per scan side.
+    base = settle(smoothed(rows, classes, keep, size=size))
     scans = {
         "_adopted": Scan("last", F.when(F.col("conf") >= enter, F.col("winner"))),
         "_opening": Scan("first", F.when(F.col("conf") >= hold, F.col("winner"))),
