@@ -46,18 +46,19 @@ def map_texts(
     fields: list[T.StructField],
     *,
     keep: list[str] | None = None,
+    see: tuple[str, ...] = (),
     block: int = BLOCK,
 ) -> DataFrame:
     """Rows of the columns `keep` (all if not given) with `fields` appended, which `kernel` computes from texts of up to `block` bytes.
 
-    The text column reaches the kernel even if it is not kept. Fields replace kept columns of the same name.
+    The text column and the columns `see` reach the kernel even if they are not kept. Fields replace kept columns of the same name.
     """
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in names]
     schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(schema)
     carried = [f.name for f in kept]
-    columns = carried if text in carried else [*carried, text]
+    columns = list(dict.fromkeys([*carried, text, *see]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
