@@ -13,9 +13,11 @@ time: its shard by the key ranges, its slot by the hash, its place by the slot's
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,62 +27,181 @@ from pyspark.sql import functions as F
 
 from sinew.llm.text import Hasher, Texts, mixed, owners
 
-SHARD_BYTES = 4 << 20  # text bytes encoded into one shard; a longer text makes a shard of its own
-#: Characters that may stand on either side of a cut: printing ASCII.
-_GRAPH = np.zeros(256, bool)
-_GRAPH[0x21:0x7F] = True
+SHARD_BYTES = 2 << 20  # text bytes encoded into one shard; a longer text makes a shard of its own
+JOINED = 1 << 16  # bytes of new pieces that go through the library together
+#: Classes of bytes: 0 part of other characters, 1 letter, 2 digit, 3 other printing ASCII, 4 white space, 5 the space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[9:14] = 4
+_CLASS[32] = 5
+_APOSTROPHE = 39
 _HASH = Hasher(10)
-KNOWN = 1 << 18  # pieces a worker remembers between shards
 
 SHARDS = "part int, seq int, first_key long, last_key long, n_texts long, n_ids long, width int, ids binary, index binary"
 
 
+def _cuts() -> np.ndarray:
+    """By classes of two neighbouring bytes: whether words are split between them whatever stands around."""
+    out = np.zeros((6, 6), bool)
+    out[1:4, 4:6] = True  # before white space
+    out[4, 1:4] = True  # after white space that does not join the next word
+    for a in (1, 2, 3):
+        for b in (1, 2, 3):
+            out[a, b] = a != b
+    return out
+
+
+_CUT = _cuts().ravel()
+
+
+class Pieces:
+    """Ids of the pieces a worker has met, by hash: an open table that is emptied when full."""
+
+    def __init__(self, bits: int = 21):
+        self.mask, self.most = (1 << bits) - 1, 1 << (bits - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, np.uint64)
+        self.place = np.zeros(self.mask + 1, np.int32)
+        self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 where unknown. The key 0 is never stored."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, open_ = (keys & np.uint64(self.mask)).astype(np.int64), None
+        while True:
+            there = self.keys[slot]
+            same = there == keys
+            rest = ~same & (there != 0)
+            hit = np.flatnonzero(same)
+            if open_ is None:
+                out[hit] = self.place[slot[hit]]
+                open_ = np.flatnonzero(rest)
+            else:
+                out[open_[hit]] = self.place[slot[hit]]
+                open_ = open_[rest]
+            if not len(open_):
+                return out
+            slot, keys = slot[rest] + 1 & self.mask, keys[rest]
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Store distinct unknown keys with their ids, flat."""
+        place = np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32)
+        self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        slot = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            won = free & (self.keys[slot] == keys)
+            self.place[slot[won]] = place[won]
+            slot, keys, place = slot[~won] + 1 & self.mask, keys[~won], place[~won]
+
+
 class Encoder:
     """Encodes many texts by their distinct pieces.
 
-    A byte-level tokenizer that splits words before merging never merges across a space between two printing
-    ASCII characters, so a text's ids are those of its pieces cut there. Few pieces are distinct, and only
-    those go through the library.
+    A byte-level tokenizer splits texts into words before it merges anything. Texts are cut where that split has a
+    boundary whatever stands around: between two ASCII classes (letters, digits, others), before white space, and
+    after white space that is not a space. A text's ids are those of its pieces; only pieces a worker has not met go
+    through the library, joined into longer texts at such boundaries. Texts with a special token go whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[int, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        #: Bytes of each id's token: byte-level tokens have a character for every byte.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Pieces()
+
+    def _cut(self, texts: Texts) -> np.ndarray:
+        data, n = texts.data, len(texts.data)
+        kind = _CLASS[data]
+        cut = np.zeros(n + 1, bool)
+        if n > 1:
+            pair = kind[:-1] * np.uint8(6) + kind[1:]
+            cut[1:n] = _CUT[pair]
+            # Contractions start with an apostrophe.
+            cut[1:n] &= ~((data[:-1] == _APOSTROPHE) & (kind[1:] == 1))
+            # Two-byte characters from U+00C0 on are no white space.
+            cut[2:n] |= (kind[2:] >= 4) & (data[1:-1] >= 0x80) & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+        if self.special:
+            raw = data.tobytes()
+            for token in self.special:
+                at = raw.find(token)
+                while at >= 0:
+                    d = int(np.searchsorted(texts.offsets, at, "right")) - 1
+                    cut[texts.offsets[d] : texts.offsets[d + 1]] = False
+                    at = raw.find(token, int(texts.offsets[d + 1]))
+        cut[texts.offsets] = True
+        return cut
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of each text's ids."""
         data, n = texts.data, len(texts.data)
-        cut = np.zeros(n + 1, bool)
-        cut[texts.offsets[:-1]] = True
-        if n > 2:
-            cut[1 : n - 1] |= (data[1:-1] == 32) & _GRAPH[data[:-2]] & _GRAPH[data[2:]]
-        # A text boundary next to a space is a cut already; a space at a text's edge only cuts inside the text.
-        starts = np.flatnonzero(cut[:n])
+        starts = np.flatnonzero(self._cut(texts)[:n])
         ends = np.append(starts[1:], n)
-        pieces = _HASH.ranges(data, starts, ends)
-        distinct, at, which = np.unique(pieces, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            if len(self.known) + len(new) > KNOWN:
-                self.known = {k: self.known[k] for k in keys if k in self.known}
-            raw = data.tobytes()
-            s, e = starts[at], ends[at]
-            encoded = self.tokenizer.encode_batch_fast([raw[s[i] : e[i]].decode() for i in new], add_special_tokens=False)
-            for i, x in zip(new, encoded, strict=True):
-                self.known[keys[i]] = np.array(x.ids, np.uint32)
-        rows = [self.known[k] for k in keys]
-        size = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        flat = np.concatenate([np.zeros(0, np.uint32), *rows])
-        base = np.cumsum(size) - size
-        taken = size[which]
-        ends_at = np.cumsum(taken)
-        ids = flat[np.repeat(base[which] - (ends_at - taken), taken) + np.arange(taken.sum())]
-        first = np.searchsorted(starts, texts.offsets)
-        return ids, np.concatenate([[0], ends_at])[first]
+        keys = _HASH.ranges(data, starts, ends) | np.uint64(1)
+        place = self.pieces.find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            distinct, at = np.unique(keys[new], return_index=True)
+            if len(self.pieces.size) + len(distinct) > self.pieces.most:
+                self.pieces.clear()
+                distinct, at, new = *np.unique(keys, return_index=True), np.arange(len(keys))
+            if len(distinct) > self.pieces.most:
+                self.pieces = Pieces(int(len(distinct)).bit_length() + 1)
+            self._learn(data, distinct, starts[new[at]], ends[new[at]])
+            place = self.pieces.find(keys)
+        size, base = self.pieces.size[place], self.pieces.base[place]
+        upto = np.cumsum(size)
+        ids = self.pieces.flat[np.repeat(base - (upto - size), size) + np.arange(int(size.sum()))]
+        return ids, np.concatenate([[0], upto])[np.searchsorted(starts, texts.offsets)]
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw, first, last = data.tobytes(), _CLASS[data[starts]], _CLASS[data[ends - 1]]
+        # Pieces from a space to a letter can stand side by side in any number; all others go by themselves.
+        letter = (last == 1) | ((data[ends - 1] >= 0x80) & (data[np.maximum(ends - 2, 0)] >= 0xC3) & (data[np.maximum(ends - 2, 0)] <= 0xDF))
+        simple = (first == 5) & letter & (ends - starts > 1)
+        ids: list[np.ndarray] = []
+        sizes = np.zeros(len(keys), np.int64)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        width = ends - starts
+        count = int(simple.sum())
+        upto = np.concatenate([[0], np.cumsum(width[order[:count]])])
+        a = 0
+        while a < count:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + JOINED, "right")) - 1)
+            text = b"".join([raw[starts[i] : ends[i]] for i in order[a:b]])
+            got = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            token_end = np.cumsum(self.bytes[got])
+            piece_end = np.searchsorted(token_end, upto[a + 1 : b + 1] - upto[a]) + 1
+            sizes[a:b] = np.diff(piece_end, prepend=0)
+            ids.append(got)
+            a = b
+        for a in range(count, len(order), 512):
+            some = order[a : a + 512]
+            for k, x in enumerate(self.tokenizer.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in some], add_special_tokens=False)):
+                ids.append(np.array(x.ids, np.uint32))
+                sizes[a + k] = len(ids[-1])
+        self.pieces.add(keys[order], np.concatenate(ids), sizes)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path)
 
 
 def ended(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +311,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        part, seq = TaskContext.get().partitionId(), 0
-        for keys, texts in _shards(batches):
-            encoder = encoder or Encoder(tokenizer)
-            yield _shard(encoder, part, seq, keys, texts, end)
-            seq += 1
+        part = TaskContext.get().partitionId()
+        for seq, (keys, texts) in enumerate(_shards(batches)):
+            yield _shard(encoder(tokenizer), part, seq, keys, texts, end)
 
     rows.mapInArrow(run, SHARDS).write.option("compression", "none").option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards").select("part", "seq", "n_ids")
@@ -224,13 +342,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         yield table.column(0), table.column(1)
 
 
-def _shard(encoder: Encoder, part: int, seq: int, keys: pa.Array, texts: pa.Array, end: int) -> pa.RecordBatch:
-    ids, offsets = ended(*encoder.encode(Texts.of(texts)), end)
+def _shard(by: Encoder, part: int, seq: int, keys: pa.Array, texts: pa.Array, end: int) -> pa.RecordBatch:
+    ids, offsets = ended(*by.encode(Texts.of(texts)), end)
     nulls = keys.null_count
     known = keys.drop_null().to_numpy().astype(np.int64)
     index = Index.build(known, nulls, offsets).pack()
     first, last = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-    row = {"part": part, "seq": seq, "first_key": first, "last_key": last, "n_texts": len(keys), "n_ids": len(ids), "width": encoder.width, "ids": ids.astype(f"<u{encoder.width}").tobytes(), "index": index}
+    row = {"part": part, "seq": seq, "first_key": first, "last_key": last, "n_texts": len(keys), "n_ids": len(ids), "width": by.width, "ids": ids.astype(f"<u{by.width}").tobytes(), "index": index}
     types = {"part": pa.int32(), "seq": pa.int32(), "width": pa.int32(), "ids": pa.binary(), "index": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], names=list(row))
 

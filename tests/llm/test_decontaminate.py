@@ -13,7 +13,7 @@ def items(llm, corpus):
     rows = []
     for k, (_, text) in enumerate(corpus[::4]):
         words = plain.plain_words(text)
-        rows.append((k, " ".join(words[5:30]).upper()))
+        rows.append((k, "-".join(w.capitalize() if w.isascii() else w for w in words[5:30])))
     rows += [(100, prose(rng, 25)), (101, None), (102, " .,"), (103, "w5"), (104, "w1 w2"), (None, rows[2][1]), (2, rows[4][1]), (105, rows[6][1]), (106, "w7é " * 12)]
     return llm.createDataFrame(rows, "item_id long, text string"), rows
 
