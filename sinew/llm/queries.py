@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, scratch
+from sinew.llm.mixing import mixed
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
 from sinew.session import prepare
@@ -35,6 +36,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_source_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @register("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
