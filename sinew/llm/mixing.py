@@ -17,7 +17,7 @@ from sinew.llm.frames import fresh_name, stored
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
 ROUNDS = 60  # at most; Newton needs about ten
-CLOSE = 1e-9  # of a source's target
+CLOSE = 1e-6  # of a source's target
 CHUNK = 1000  # documents of one size that are ranked together
 
 
