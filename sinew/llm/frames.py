@@ -13,11 +13,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sinew.llm.text import Texts
-from sinew.session import checkpoint_folder
+from sinew.session import checkpoint_folder, prepare
 
 BLOCK = 4 << 20  # bytes of text handled together; a longer text makes a block of its own
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Settings for passes over texts: small Arrow batches, as one text may be very long."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place that spark.checkpoint.dir names."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

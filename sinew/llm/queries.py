@@ -4,29 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sinew.llm.decontaminate import contamination
-from sinew.llm.frames import documents, scratch
+from sinew.llm.frames import documents, ready, scratch
 from sinew.llm.mixing import mixed
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
 from sinew.llm.toxicity import toxicity
-from sinew.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Settings for passes over texts: small Arrow batches, as one text may be very long."""
-    prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return spark
-
-
 def register(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(ready(spark), sf_dir)
@@ -63,3 +55,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_digest(spark, path)
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

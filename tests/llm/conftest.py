@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from sinew.llm.queries import ready  # noqa: E402
+from sinew.llm.frames import ready  # noqa: E402
 
 
 @pytest.fixture(scope="session")
