@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, ready, scratch
 from sinew.llm.mixing import mixed
+from sinew.llm.quality_rules import judged
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
 from sinew.llm.toxicity import toxicity
@@ -45,6 +46,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@register("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir))
+
+
 @register("op8_simhash_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
