@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, ready, scratch
 from sinew.llm.mixing import mixed
+from sinew.llm.positive_unlabelled import quality
 from sinew.llm.quality_rules import judged
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
@@ -56,6 +57,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@register("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
