@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sinew.llm import backoff
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, ready, scratch
 from sinew.llm.mixing import mixed
@@ -47,6 +49,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@register("op6_backoff_scores", backoff.sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @register("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))
