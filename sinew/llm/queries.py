@@ -13,6 +13,7 @@ from sinew.llm import backoff
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, ready, scratch
 from sinew.llm.mixing import mixed
+from sinew.llm.parsing import repeats
 from sinew.llm.positive_unlabelled import quality
 from sinew.llm.quality_rules import judged
 from sinew.llm.simhash import near_duplicates
@@ -49,6 +50,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@register("op5_repeated_substrings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @register("op6_backoff_scores", backoff.sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
