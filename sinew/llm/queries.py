@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sinew.llm import backoff
 from sinew.llm.decontaminate import contamination
 from sinew.llm.frames import documents, ready, scratch
+from sinew.llm.licences import licences
 from sinew.llm.mixing import mixed
 from sinew.llm.parsing import repeats
 from sinew.llm.positive_unlabelled import quality
@@ -39,6 +40,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(documents(spark, sf_dir)).drop("detections")
+
+
 @register("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
