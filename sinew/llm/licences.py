@@ -8,6 +8,7 @@ inside another of the same or a higher priority is suppressed.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ NAMES = {
     "eupl-1.2": r"european union public licen[cs]e(?: version)?(?: 1 2)?|eupl(?: 1 2)?",
     "fdl-1.3": r"gnu free documentation license(?: version)?(?: 1 [1-3])?|gfdl(?: 1 [1-3])?",
     "gpl-1.0": r"gnu general public license(?: version| v) ?1(?: 0)?|general public license(?: version| v) ?1(?: 0)?",
-    "gpl-2.0": r"gnu general public license(?: version| v)? ?2(?: 0)?|general public license(?: version| v)? ?2(?: 0)?|gpl ?v?2(?: 0)?|gplv2",
-    "gpl-3.0": r"gnu general public license(?: version| v)? ?3(?: 0)?|general public license(?: version| v)? ?3(?: 0)?|gpl ?v?3(?: 0)?|gplv3",
+    "gpl-2.0": r"gnu general public license(?: version| v)? ?2(?: 0)?|general public license(?: version| v)? ?2(?: 0)?|gpl v?2(?: 0)?|gplv2(?: 0)?|gpl2",
+    "gpl-3.0": r"gnu general public license(?: version| v)? ?3(?: 0)?|general public license(?: version| v)? ?3(?: 0)?|gpl v?3(?: 0)?|gplv3(?: 0)?|gpl3",
     "gpl": r"gnu general public license|general public license|gnu gpl|gpl",
     "hpnd": r"historical permission notice and disclaimer",
     "icu": r"icu license|unicode terms of use",
@@ -55,8 +56,8 @@ NAMES = {
     "isc": r"isc license|internet systems consortium license",
     "jsond": r"json license",
     "lgpl-2.0": r"gnu library general public license(?: version)?(?: 2(?: 0)?)?|library general public license(?: version)?(?: 2(?: 0)?)?",
-    "lgpl-2.1": r"gnu lesser general public license(?: version| v)? 2 1|lesser general public license(?: version| v)? 2 1|lgpl ?v?2 1",
-    "lgpl-3.0": r"gnu lesser general public license(?: version| v)? 3(?: 0)?|lesser general public license(?: version| v)? 3(?: 0)?|lgpl ?v?3(?: 0)?|lgplv3",
+    "lgpl-2.1": r"gnu lesser general public license(?: version| v)? 2 1|lesser general public license(?: version| v)? 2 1|lgpl v?2 1|lgplv2 1",
+    "lgpl-3.0": r"gnu lesser general public license(?: version| v)? 3(?: 0)?|lesser general public license(?: version| v)? 3(?: 0)?|lgpl v?3(?: 0)?|lgplv3(?: 0)?",
     "lgpl": r"gnu lesser general public license|lesser general public license|gnu lgpl|lgpl",
     "libpng": r"libpng license|png reference library license",
     "lppl-1.3c": r"latex project public license(?: version)?(?: 1 3[ac]?)?",
@@ -126,7 +127,7 @@ def _leads(pattern: str) -> list[str]:
     for i, c in enumerate(pattern + "|"):
         depth += (c == "(") - (c == ")")
         if c == "|" and depth == 0:
-            out.append(pattern[start:i].split(" ")[0])
+            out.append(re.match("[a-z0-9]+", pattern[start:i])[0])
             start = i + 1
     return sorted(set(out))
 
