@@ -117,36 +117,42 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     return float(np.clip(min(ratio), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 1500, batch: int = 256, seed: int = 0) -> tuple[Scorer, float]:
+def _epochs(rows: int, batch: int, epochs: int = 20) -> int:
+    return int(np.clip(epochs * rows / batch, 150, 1500))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, *, batch: int = 256, seed: int = 0) -> tuple[Scorer, float]:
     """The scorer of least non-negative risk, and the prior used.
 
     Risk with the sigmoid loss: prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)); where the second part falls below
-    zero its gradient is turned round, as it then only fits noise.
+    zero its gradient is turned round, as it then only fits noise. The prior comes from scores of texts that the scoring
+    network has not seen: it is fitted on one half of both samples and judged on the other, both ways.
     """
-    x = np.concatenate([positive, unlabelled])
-    p, u = len(positive), len(unlabelled)
 
-    def batches(rng):
-        a, b = rng.integers(0, p, batch), p + rng.integers(0, u, batch)
-        return np.concatenate([a, b]), None
+    def against(z, _):  # positives against unlabelled
+        return (sigmoid(z) - np.repeat([1.0, 0.0], batch)) / batch
 
-    def against(z, _):  # positives against unlabelled, for the prior
-        y = np.repeat([1.0, 0.0], batch)
-        return (sigmoid(z) - y) / batch
+    def draw(p: int, u: int):
+        return lambda rng: (np.concatenate([rng.integers(0, p, batch), p + rng.integers(0, u, batch)]), None)
 
-    first = descend(x, seed, steps // 2, batches, against)
-    prior = estimated_prior(first.logits(positive), first.logits(unlabelled))
+    found = []
+    for fold in (0, 1):
+        p, u = (positive[fold::2], unlabelled[fold::2]) if min(len(positive), len(unlabelled)) > 1 else (positive, unlabelled)
+        other_p, other_u = (positive[1 - fold :: 2], unlabelled[1 - fold :: 2]) if p is not positive else (positive, unlabelled)
+        net = descend(np.concatenate([p, u]), seed, _epochs(len(p) + len(u), batch, 5), draw(len(p), len(u)), against)
+        found.append(estimated_prior(net.logits(other_p), net.logits(other_u)))
+    prior = float(np.mean(found))
 
     def slope(z, _):
         s = sigmoid(z)
         d = s * (1 - s)  # of the loss of calling a text negative; the other loss has the opposite sign
         negative = s[batch:].mean() - prior * s[:batch].mean()
-        turn = 1.0 if negative >= 0 else -1.0
-        down = np.concatenate([-prior * d[:batch], d[batch:]]) / batch
         up = np.concatenate([-prior * d[:batch], np.zeros(batch)]) / batch
-        return (up if negative >= 0 else 0 * up) + turn * down
+        down = np.concatenate([-prior * d[:batch], d[batch:]]) / batch
+        return up + down if negative >= 0 else -down
 
-    return descend(x, seed + 1, steps, batches, slope), prior
+    x = np.concatenate([positive, unlabelled])
+    return descend(x, seed + 1, _epochs(len(x), batch), draw(len(positive), len(unlabelled)), slope), prior
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, modulus: int = 4, rest: int = 2, sample: dict[int, int] = SAMPLE, unlabelled: int = UNLABELLED) -> Scorer:
