@@ -13,6 +13,7 @@ arrays and joins the parts' answers back to the block, without moving texts agai
 from __future__ import annotations
 
 import hashlib
+import pickle
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 
 from sinew.llm.backoff import _bounds, packed, unpacked
 from sinew.llm.frames import scratch
-from sinew.llm.text import PIECE, Hasher, Texts, owners
+from sinew.llm.text import Hasher, Texts, owners
 
 WIDTH = 50
 TRIGGER = 16  # bytes that decide on a phrase boundary
 SPACING = 128  # mean bytes of a phrase
 GRAM = 24  # bytes of the hashes that group windows
 BLOCK_BYTES = 4 << 20
+CACHED = 1 << 16  # bytes hashed at once, so that temporaries stay in the processor's cache
 _A, _B, _T, _G = Hasher(51), Hasher(52), Hasher(53), Hasher(54)
 _LAST = (1 << 63) - 1
 
@@ -48,7 +50,7 @@ class Block:
         self.order = np.array([_LAST if k is None else k for k in keys], np.int64)
         self.owner = owners(self.at)
 
-    def windows(self, hasher: Hasher, width: int, piece: int = PIECE) -> np.ndarray:
+    def windows(self, hasher: Hasher, width: int, piece: int = CACHED) -> np.ndarray:
         """Rolling hashes by start, in pieces that overlap; those that reach over a text's end have no meaning."""
         out = np.zeros(len(self.data), np.uint64)
         for a in range(0, len(self.data), piece):
@@ -70,20 +72,30 @@ class Block:
         return begin[some], finish[some], text[some]
 
     def phrase_keys(self, begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of hash of each phrase with the bytes its windows reach into."""
-        return tuple(h.ranges(self.data, begin, finish + self.width - 1) for h in (_A, _B))
+        """96 bits of hash of each phrase with the bytes its windows reach into."""
+        return self._keys(begin, finish + self.width - 1)
+
+    def _keys(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _A.ranges(self.data, begin, end), _B.ranges(self.data, begin, end) >> np.uint64(32)
 
     def groups(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The window starts that are `open_`, and the least rolling hash inside each window."""
-        low, span = self.windows(_G, GRAM), 1
         reach = self.width - GRAM + 1
-        while span * 2 <= reach:
-            low[: len(low) - span] = np.minimum(low[: len(low) - span], low[span:])
-            span *= 2
-        if reach > span:
-            low[: len(low) - reach + span] = np.minimum(low[: len(low) - reach + span], low[reach - span :])
+        least = np.zeros(len(self.data), np.uint64)
+        for a in range(0, len(self.data), CACHED):
+            low, span = _G.windows(self.data[a : a + CACHED + self.width - 1], GRAM), 1
+            while span * 2 <= reach:
+                low, span = np.minimum(low[:-span], low[span:]), span * 2
+            if reach > span:
+                low = np.minimum(low[: span - reach], low[reach - span :])
+            low = low[:CACHED]
+            least[a : a + len(low)] = low
         place = np.flatnonzero(open_)
-        return place, low[place]
+        return place, least[place]
+
+    def window_keys(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of hash of the windows at some places."""
+        return self._keys(place, place + self.width)
 
 
 def _runs(place: np.ndarray, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -108,71 +120,63 @@ def in_several(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return (np.bincount(which, weights=rest[:, 0]) >= 2)[which].astype(np.int64)
 
 
-def distinct(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct (key, second half) with the least order, as a block sends them."""
-    by = np.lexsort((rest[:, 0], key))
-    k, r = key[by], rest[by]
-    if not len(k):
-        return k, r
-    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:, 0] != r[:-1, 0])]))
-    out = r[head].copy()
-    out[:, 1] = np.minimum.reduceat(r[:, 1].view(np.int64), head).view(np.uint64)
-    return k[head], out
-
-
-def _find(keys: np.ndarray, halves: np.ndarray, key: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Places of (key, half) in what `distinct` gave; halves decide only where keys are equal."""
-    at = np.searchsorted(keys, key)
-    wrong = np.flatnonzero(halves[at] != half)
-    while len(wrong):
-        at[wrong] += 1
-        wrong = wrong[halves[at[wrong]] != half[wrong]]
-    return at
-
-
-class Steps:
-    """What a block asks at each step, given the answers so far; the same work again gives the same order of keys."""
-
-    def __init__(self, block: Block):
-        self.block = block
-        self.begin, self.finish, self.text = block.phrases()
-
-    def ask_phrases(self, answers: list) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.block.phrase_keys(self.begin, self.finish)
-        self.phrase = (a, b)
-        return distinct(a, np.stack([b, self.block.order[self.text].view(np.uint64)], axis=1))
-
-    def open_windows(self, answers: list) -> np.ndarray:
-        """Window starts in phrases that no earlier document has; `self.gone` are the other phrases."""
-        keys, rest = self.ask_phrases(answers)
-        first = answers[0][_find(keys, rest[:, 0], *self.phrase)] if len(keys) else np.zeros(0, np.int64)
-        self.gone = first < self.block.order[self.text]
-        return _covered(len(self.block.data), self.begin[~self.gone], self.finish[~self.gone])
-
-    def ask_groups(self, answers: list) -> tuple[np.ndarray, np.ndarray]:
-        place, value = self.block.groups(self.open_windows(answers))
-        self.place, self.value, self.runs = place, value, _runs(place, value, self.block.owner)
-        own, v = self.block.owner[place[self.runs]], value[self.runs]
-        by = np.lexsort((own, v))
-        fresh = np.concatenate([[True], (v[by][1:] != v[by][:-1]) | (own[by][1:] != own[by][:-1])]) if len(by) else np.zeros(0, bool)
-        keys, docs = np.unique(v[by][fresh], return_counts=True)
-        return keys, np.minimum(docs, 2).astype(np.uint64)[:, None]
-
-    def ask_windows(self, answers: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, _ = self.ask_groups(answers)
-        shared = answers[1][np.searchsorted(keys, self.value[self.runs])].astype(bool) if len(keys) else np.zeros(0, bool)
-        chosen = self.place[np.repeat(shared, np.diff(np.append(self.runs, len(self.place))))]
-        self.chosen = chosen
-        self.window = tuple(self.block.windows(h, self.block.width)[chosen] for h in (_A, _B))
-        return distinct(self.window[0], np.stack([self.window[1], self.block.order[self.block.owner[chosen]].view(np.uint64)], axis=1))
-
-    def removed(self, answers: list) -> np.ndarray:
+def distinct(key: np.ndarray, half: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct (key, half) with the least order of each, as a block sends them, and the place of every given one."""
+    by = np.lexsort((half, key))
+    k, h = key[by], half[by]
+    fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
+    head, which = np.flatnonzero(fresh), np.empty(len(k), np.int32)
+    which[by] = np.cumsum(fresh) - 1
+    least = np.minimum.reduceat(order[by], head) if len(k) else order
+    return k[head], np.stack([h[head], least.view(np.uint64)], axis=1), which
+
+
+class Step:
+    """What a block does at each step: the keys it asks about, and a note for later steps. `answers` are those to earlier steps' keys."""
+
+    @staticmethod
+    def phrases(block: Block, notes: list, answers: list) -> tuple:
+        begin, finish, text = block.phrases()
+        keys, rest, which = distinct(*block.phrase_keys(begin, finish), block.order[text])
+        return keys, rest, (begin.astype(np.int32), finish.astype(np.int32), which)
+
+    @staticmethod
+    def _open(block: Block, note: tuple, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window starts in phrases that no earlier document has, the least hash in each window, and where its runs begin."""
+        place, value = block.groups(_covered(len(block.data), note[0][~gone], note[1][~gone]))
+        return place, value, _runs(place, value, block.owner)
+
+    @staticmethod
+    def groups(block: Block, notes: list, answers: list) -> tuple:
+        begin, _, which = notes[0]
+        gone = answers[0][which] < block.order[block.owner[begin]]
+        place, value, runs = Step._open(block, notes[0], gone)
+        value, own = value[runs], block.owner[place[runs]]
+        by = np.argsort(value)
+        value, own = value[by], own[by]
+        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else by
+        several = np.minimum.reduceat(own, head) < np.maximum.reduceat(own, head) if len(value) else head
+        return value[head], (several.astype(np.uint64) + np.uint64(1))[:, None], (gone,)
+
+    @staticmethod
+    def windows(block: Block, notes: list, answers: list) -> tuple:
+        place, value, runs = Step._open(block, notes[0], notes[1][0])
+        keys = np.unique(value[runs])
+        shared = answers[1][np.searchsorted(keys, value[runs])].astype(bool) if len(keys) else np.zeros(0, bool)
+        chosen = place[np.repeat(shared, np.diff(np.append(runs, len(place))))]
+        keys, rest, _ = distinct(*block.window_keys(chosen), block.order[block.owner[chosen]])
+        head = np.flatnonzero(np.diff(chosen, prepend=-2) != 1)
+        return keys, rest, (chosen[head].astype(np.int32), np.diff(np.append(head, len(chosen))).astype(np.int32))
+
+    @staticmethod
+    def removed(block: Block, notes: list, answers: list) -> np.ndarray:
         """Which bytes an earlier document's windows cover."""
-        keys, rest = self.ask_windows(answers)
-        first = answers[2][_find(keys, rest[:, 0], *self.window)] if len(keys) else np.zeros(0, np.int64)
-        late = self.chosen[first < self.block.order[self.block.owner[self.chosen]]]
-        w = self.block.width
-        return _covered(len(self.block.data), np.concatenate([self.begin[self.gone], late]), np.concatenate([self.finish[self.gone] + w - 1, late + w]))
+        (begin, finish, _), (gone,), (head, count) = notes
+        chosen = np.repeat(head - np.cumsum(count) + count, count) + np.arange(count.sum())
+        order = block.order[block.owner[chosen]]
+        late = chosen[answers[2][distinct(*block.window_keys(chosen), order)[2]] < order] if len(chosen) else chosen
+        w = block.width
+        return _covered(len(block.data), np.concatenate([begin[gone], late]), np.concatenate([finish[gone] + w - 1, late + w]))
 
 
 def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -208,43 +212,62 @@ def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int, parts: int
     return spark.table(table)
 
 
-_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary())])
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary())])
+
+
+def _planes(rows: np.ndarray) -> bytes:
+    """64-bit columns compressed byte plane by byte plane: bytes that are all zero cost nothing."""
+    rows = np.ascontiguousarray(rows)
+    return zlib.compress(rows.view(np.uint8).reshape(len(rows), -1).T.tobytes(), 1)
 
 
-def _steps(row: dict, width: int) -> tuple[Steps, list[np.ndarray]]:
-    answers = []
-    for k in range(3):
-        if got := row.get(f"answers{k}"):
-            answers.append(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(a["answer"]), np.int64) for a in sorted(got, key=lambda a: a["part"]))]))
-        else:
-            answers.append(np.zeros(0, np.int64))
-    return Steps(Block(row["keys"], row["sizes"], row["data"], width)), answers
+def _rows(raw: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind) if n else np.zeros((0, 1), kind)
 
 
-def answered(blocks: DataFrame, ask: str, answer: Callable, number: int, width: int, parts: int) -> DataFrame:
-    """(block, answers): each block's keys go to hash parts, each part answers all keys that came together."""
+def _noted(arrays: tuple) -> bytes:
+    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
+
+
+def _opened(row: dict, width: int) -> tuple[Block, list, list]:
+    """A block with the notes and answers of the steps so far."""
+    notes, answers = [], []
+    for got in (row[c] for c in sorted(c for c in row if c.startswith("answers"))):
+        ordered = sorted(got, key=lambda a: a["part"])
+        notes.append(pickle.loads(zlib.decompress(ordered[0]["answer"])))  # this library's own arrays
+        answers.append(np.concatenate([np.zeros(0, np.int64), *(_rows(a["answer"][4:], int.from_bytes(a["answer"][:4], "little"), np.int64).ravel() for a in ordered[1:])]))
+    return Block(row["keys"], row["sizes"], row["data"], width), notes, answers
+
+
+def answered(blocks: DataFrame, ask: Callable, answer: Callable, number: int, width: int, parts: int) -> DataFrame:
+    """(block, answers): each block's keys go to hash parts, and each part answers all keys that came together.
+
+    A block's note takes the same way under a part number of its own, below zero.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                steps, answers = _steps(row, width)
-                keys, rest = getattr(steps, ask)(answers)
+                keys, rest, note = ask(*_opened(row, width))
                 cuts = np.searchsorted(keys, _bounds(parts)).tolist()
                 cuts[-1] = len(keys)
-                yield pa.RecordBatch.from_pylist([
-                    {"part": p, "block": row["block"], "keys": packed(keys[a:b]), "rest": zlib.compress(np.ascontiguousarray(rest[a:b]).tobytes(), 1)}
+                yield pa.RecordBatch.from_pylist([{"part": -1 - row["block"], "block": row["block"], "keys": _noted(note), "rest": b""}, *(
+                    {"part": p, "block": row["block"], "keys": packed(keys[a:b]), "rest": _planes(rest[a:b])}
                     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a
-                ], _SENT)
+                )], _SENT)
 
     def reply(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() < 0:
+            return table.select(["part", "block", "keys"]).rename_columns(["part", "block", "answer"])
         keys = [unpacked(k) for k in table["keys"].to_pylist()]
-        rest = [np.frombuffer(zlib.decompress(r), np.uint64) for r in table["rest"].to_pylist()]
-        found = answer(np.concatenate(keys), np.concatenate([r.reshape(len(k), -1) for k, r in zip(keys, rest, strict=True)]))
+        rest = [_rows(r, len(k), np.uint64) for k, r in zip(keys, table["rest"].to_pylist(), strict=True)]
+        found = answer(np.concatenate(keys), np.concatenate(rest))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"part": table["part"], "block": table["block"], "answer": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(found, cuts)], pa.binary())})
+        return pa.table({"part": table["part"], "block": table["block"], "answer": pa.array([len(x).to_bytes(4, "little") + _planes(x[:, None]) for x in np.split(found, cuts)], pa.binary())})
 
-    sent = blocks.mapInArrow(send, "part int, block long, keys binary, rest binary")
-    replies = sent.groupBy("part").applyInArrow(reply, "part int, block long, answer binary")
+    sent = blocks.mapInArrow(send, "part long, block long, keys binary, rest binary")
+    replies = sent.groupBy("part").applyInArrow(reply, "part long, block long, answer binary")
     return replies.groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias(f"answers{number}"))
 
 
@@ -252,17 +275,17 @@ def marked(docs: DataFrame, key: str, text: str, kernel: Callable[[Block, np.nda
     """`kernel(block, removed)` of every block of texts."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks_of(docs, key, text, block_bytes, parts)
-    for number, (ask, answer) in enumerate((("ask_phrases", first_of), ("ask_groups", in_several), ("ask_windows", first_of))):
+    for number, (ask, answer) in enumerate(((Step.phrases, first_of), (Step.groups, in_several), (Step.windows, first_of))):
         table = scratch(docs.sparkSession, f"answers{number}")
         answered(rows, ask, answer, number, width, parts).write.parquet(table)
         replies = docs.sparkSession.read.parquet(table)
-        rows = rows.join(replies.hint("shuffle_hash"), "block", "left")
+        rows = rows.join(replies.hint("shuffle_hash"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                steps, answers = _steps(row, width)
-                yield kernel(steps.block, steps.removed(answers))
+                block, notes, answers = _opened(row, width)
+                yield kernel(block, Step.removed(block, notes, answers))
 
     return rows.mapInArrow(run, schema)
 
