@@ -113,8 +113,11 @@ def descend(x: np.ndarray, seed: int, steps: int, batches, slope) -> Scorer:
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25) -> float:
     """Share of positives among unlabelled texts from scores of both: the least ratio of upper tails that hold `least` of the positives."""
     cuts = np.quantile(positive, np.linspace(0.02, 1 - least, 60))
-    ratio = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
-    return float(np.clip(min(ratio), 0.05, 0.98))
+    share = np.array([(unlabelled >= c).mean() for c in cuts])
+    # One standard error is added, as the least of many noisy ratios lies too low.
+    share += np.sqrt(share * (1 - share) / max(len(unlabelled), 1))
+    ratio = share / np.maximum([(positive >= c).mean() for c in cuts], 1e-9)
+    return float(np.clip(ratio.min(), 0.05, 0.98))
 
 
 def _epochs(rows: int, batch: int, epochs: int = 20) -> int:
