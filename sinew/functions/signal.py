@@ -116,18 +116,18 @@ def _seeded(x: np.ndarray, h: np.ndarray, dc: float) -> np.ndarray:
 def zero_phase(x: np.ndarray, design: tuple, taps: int, pad: int, at_start: bool, at_end: bool) -> np.ndarray:
     """Forward-backward filter of one stretch; ``pad`` samples of odd extension at session ends.
 
-    Inside a session the stretch carries a halo instead, so no extension is added there.
+    Inside a session the stretch carries a halo instead, so no extension is added there. A stretch
+    of no more samples than that is extended by what it has.
     """
+    pad = min(pad, len(x) - 1)
     h = impulse_response(*design, taps)
     dc = {"low": 1.0}.get(design[2], 0.0)
     parts = [x]
     lead = pad if at_start else 0
-    if lead and len(x) <= pad:
-        raise ValueError(f"zero-phase filtering needs more than {pad} samples")
     if at_start:
         parts.insert(0, 2 * x[:1] - x[pad:0:-1])
     if at_end:
-        parts.append(2 * x[-1:] - x[-2 : -pad - 2 : -1])
+        parts.append(2 * x[-1:] - x[::-1][1 : pad + 1])
     extended = np.concatenate(parts)
     forward = _seeded(extended, h, dc)
     backward = _seeded(forward[::-1], h, dc)[::-1]

@@ -120,11 +120,13 @@ def label_channel_std(windows: DataFrame, channel: int = 0) -> DataFrame:
 
 def histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
     """Equal-width counts between the overall extremes, the top edge in the last bin."""
-    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    low, high = float(ends["lo"]), float(ends["hi"])
-    width = (high - low) / bins if high > low else 1.0
-    place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
-    return rows.groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
+    ends = rows.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    width = F.when(span > 0, span / bins).otherwise(1.0)
+    place = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    # The extremes are one row.
+    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(ends.withColumn("_one", F.lit(1))), "_one")
+    return joined.groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def switch_ratio(outputs: DataFrame, truth: str = "label", output: str = "output", *, none=-1) -> DataFrame:

@@ -29,7 +29,7 @@ from sinew.constants import (
 from sinew.functions import arrow, signal
 from sinew.functions.columns import centred, let, sum_squares, total
 from sinew.operators.windows import CHUNK_SAMPLES, pack
-from sinew.ordered import CHUNK
+from sinew.ordered import CHUNK, stretches
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def chunk_windows(
             for row, at in enumerate(positions):
                 x = np.stack([t[row] for t in tracks], axis=1)
                 low, high = homes[row] * chunk, (homes[row] + 1) * chunk
-                for begin, end in _stretches(at):
+                for begin, end in stretches(at):
                     part, start = x[begin:end], int(at[begin])
                     if continuous:
                         part = signal.convolve_causal(part, response)
@@ -117,13 +117,6 @@ def chunk_windows(
     return packed.mapInArrow(run, _schema(samples, *fields))
 
 
-def _stretches(at: np.ndarray) -> list[tuple[int, int]]:
-    """Runs without a hole, as (begin, end) positions."""
-    cuts = np.flatnonzero(np.diff(at) != 1) + 1
-    edges = [0, *cuts.tolist(), len(at)]
-    return list(zip(edges[:-1], edges[1:]))
-
-
 def extract_features(
     samples: DataFrame,
     options: FeatureOptions = FeatureOptions(),

@@ -18,7 +18,7 @@ from sinew.constants import BICEP_CHANNEL, BICEP_SAMPLES, HOP, WINDOW
 from sinew.functions import arrow, signal
 from sinew.functions.columns import centred
 from sinew.operators.windows import CHANNEL_COLUMNS, pack
-from sinew.ordered import CHUNK, OWN, with_halo
+from sinew.ordered import CHUNK, OWN, stretches, with_halo
 
 CHUNK_SAMPLES = 16384
 HALO = 1000
@@ -34,10 +34,11 @@ def _per_chunk(
     before: int,
     after: int,
 ) -> DataFrame:
-    """Apply ``fn(x, at_start, at_end)`` to each chunk with halo and keep the chunk's own rows.
+    """Apply ``fn(x, at_start, at_end)`` to each unbroken stretch of a chunk with halo and keep the chunk's own rows.
 
-    A chunk whose halo is not filled holds the session's end; where the end falls on the last
-    halo sample it is too far from the chunk's own rows to matter. So no session length is needed.
+    A hole in ``i`` ends one stretch and starts the next, like the ends of a session. A stretch that
+    does not reach the edge of the halo has its end there; where an end falls on the last halo
+    sample it is too far from the chunk's own rows to matter. So no session length is needed.
     """
     packed = pack(samples, ["ts", *columns], size=size, before=before, after=after)
     fields = [T.StructField("i", T.LongType()), T.StructField("ts", T.DoubleType())]
@@ -55,8 +56,12 @@ def _per_chunk(
                 if not own.any():
                     continue
                 x = np.stack([t[row] for t in tracks], axis=1)
-                ends_here = positions[-1] < (homes[row] + 1) * size - 1 + after
-                y = fn(x, positions[0] == 0, ends_here)[own]
+                low, high = homes[row] * size - before, (homes[row] + 1) * size - 1 + after
+                parts = [
+                    fn(x[a:b], positions[a] == 0 or positions[a] > low, positions[b - 1] < high)
+                    for a, b in stretches(positions)
+                ]
+                y = np.concatenate(parts)[own]
                 keys = batch.column("session_id").take(pa.array(np.full(len(y), row)))
                 values = {name: pa.array(np.ascontiguousarray(y[:, n])) for n, name in enumerate(outputs)}
                 yield arrow.batch(
@@ -78,7 +83,7 @@ def bandpass_windows(windows: DataFrame) -> DataFrame:
 def bandpass_stream(
     samples: DataFrame, columns: Sequence[str] = CHANNEL_COLUMNS, *, size: int = CHUNK_SAMPLES
 ) -> DataFrame:
-    """20-450 Hz over the whole session from rest."""
+    """20-450 Hz over every unbroken stretch of the session from rest."""
     response = signal.impulse_response(*signal.BANDPASS, signal.BANDPASS_TAPS)
     return _per_chunk(
         samples, columns, lambda x, *_: signal.convolve_causal(x, response), columns,
@@ -128,9 +133,9 @@ def rms_across_channels(columns: Sequence[str] = CHANNEL_COLUMNS) -> Column:
 
 
 def moving_rms(samples: DataFrame, columns: Sequence[str] = CHANNEL_COLUMNS, n: int = WINDOW, *, size: int = CHUNK_SAMPLES) -> DataFrame:
-    """Centred moving RMS with zeros beyond the ends: rows −n/2 … n/2 − 1 over n."""
+    """Centred moving RMS with zeros beyond the ends and in holes: positions −n/2 … n/2 − 1 over n."""
     half = n // 2
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("i").rowsBetween(-half, n - half - 1)
+    frame = Window.partitionBy("session_id", CHUNK).orderBy("i").rangeBetween(-half, n - half - 1)
     placed = with_halo(samples.select("session_id", "i", *columns), "i", max(size, n), before=half, after=n)
     rms = [F.sqrt(F.sum(F.col(c) * F.col(c)).over(frame) / n).alias(c) for c in columns]
     return placed.select("session_id", "i", OWN, *rms).filter(OWN).drop(OWN)
@@ -138,8 +143,8 @@ def moving_rms(samples: DataFrame, columns: Sequence[str] = CHANNEL_COLUMNS, n:
 
 def recent_rms(filtered: DataFrame, n: int = BICEP_SAMPLES, column: str = f"ch{BICEP_CHANNEL}", warmup: int = WINDOW,
                *, size: int = CHUNK_SAMPLES) -> DataFrame:
-    """RMS of the last ``n`` filtered samples, 0 until ``warmup`` samples were seen."""
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("i").rowsBetween(-(n - 1), 0)
+    """RMS of the filtered samples at the last ``n`` positions, 0 before position ``warmup`` − 1."""
+    frame = Window.partitionBy("session_id", CHUNK).orderBy("i").rangeBetween(-(n - 1), 0)
     placed = with_halo(filtered.select("session_id", "i", column), "i", max(size, n), before=n)
     rms = F.sqrt(F.avg(F.col(column) * F.col(column)).over(frame))
     return placed.select(

@@ -25,15 +25,13 @@ from sinew.constants import (
     UNLABELED,
 )
 from sinew.ordered import (
-    CHUNK,
-    OWN,
     Scan,
     asof_backward,
     asof_nearest,
     chunk_of,
     interval_join,
     running,
-    with_halo,
+    with_neighbours,
 )
 from sinew.session import settle
 
@@ -120,15 +118,8 @@ def label_windows(
 
 
 def neighbours(df: DataFrame, columns: Sequence[str], *, order: str = "k", size: int = CHUNK_WINDOWS) -> DataFrame:
-    """Add ``prev_*`` and ``next_*`` of a dense sequence; chunks carry one row on either side."""
-    frame = Window.partitionBy("session_id", CHUNK).orderBy(order)
-    placed = with_halo(df, order, size, before=1, after=1)
-    shifted = placed.select(
-        "*",
-        *[F.lag(c).over(frame).alias(f"prev_{c}") for c in columns],
-        *[F.lead(c).over(frame).alias(f"next_{c}") for c in columns],
-    )
-    return shifted.filter(OWN).drop(CHUNK, OWN)
+    """Add ``prev_*`` and ``next_*``, the values of the rows before and after; positions may have holes."""
+    return with_neighbours(df, ["session_id"], order, columns, chunk_of(order, size), after=True)
 
 
 def label_transitions(labels: DataFrame, *, size: int = CHUNK_WINDOWS) -> DataFrame:

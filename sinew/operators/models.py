@@ -529,6 +529,17 @@ def random_fourier(features: DataFrame, dimensions: int = 256, gamma: float | No
     return features.select(*keep, "f").mapInArrow(run, features.select(*keep, "f").schema)
 
 
+def standardised(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``f`` scaled by the mean and deviation of ``train``."""
+    moments = train.select(F.posexplode("f").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    # Two numbers per feature.
+    found = sorted(tuple(r) for r in moments.collect())
+    mean = F.array(*[F.lit(m) for _, m, _ in found])
+    scale = F.array(*[F.lit(s if s and s > 1e-12 else 1.0) for _, _, s in found])
+    scaled = F.zip_with(F.zip_with("f", mean, lambda v, m: v - m), scale, lambda v, s: v / s)
+    return train.withColumn("f", scaled), test.withColumn("f", scaled)
+
+
 def _ml_fold_accuracy(rows: DataFrame, classes: Sequence[str], fold: str, train_and_predict) -> DataFrame:
     # Iterative trainers read their input many times.
     rows = settle(rows)
@@ -548,7 +559,8 @@ def classifier_benchmark(sets: dict[str, DataFrame], classes: Sequence[str], fol
     """``features, model, mean, std``: grouped accuracy of each model on each feature set.
 
     LDA and QDA come from fold statistics. The RBF machine is a linear one on random cosine
-    features, one against the rest; the perceptron is Spark ML's (128-64).
+    features, one against the rest; the perceptron is Spark ML's (128-64). Both see vectors
+    standardised by the training folds.
     """
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
@@ -565,13 +577,15 @@ def classifier_benchmark(sets: dict[str, DataFrame], classes: Sequence[str], fol
                         classifier=LinearSVC(regParam=1e-3, maxIter=iterations, featuresCol="_x"),
                         featuresCol="_x", labelCol="_y", predictionCol="_guess", parallelism=8,
                     )
+                    train, test = (_indexed(random_fourier(x.drop("_x", "_y")), classes) for x in standardised(train, test))
                     return machine.fit(train).transform(test)
 
-                scores = _ml_fold_accuracy(_indexed(random_fourier(rows), classes), classes, fold, svm)
+                scores = _ml_fold_accuracy(_indexed(rows, classes), classes, fold, svm)
             elif model == "mlp":
                 def mlp(train: DataFrame, test: DataFrame) -> DataFrame:
+                    train, test = standardised(train, test)
                     fitted = fit_mlp(train.drop("_x", "_y"), classes, (128, 64), iterations)
-                    return fitted.transform(test).withColumnRenamed("prediction", "_guess")
+                    return fitted.transform(_indexed(test.drop("_x", "_y"), classes)).withColumnRenamed("prediction", "_guess")
 
                 scores = _ml_fold_accuracy(_indexed(rows, classes), classes, fold, mlp)
             else:

@@ -1,7 +1,9 @@
 """Turning per-window probability vectors into stable outputs.
 
-``rows`` has ``session_id, k, p`` with a dense ``k``. Averages with bounded memory run over chunks
-with a halo, fill-forward steps as prefix scans, so a session of any length is cut by many tasks.
+``rows`` has ``session_id, k, p``; ``k`` may have holes, as windows over lost samples are absent. Every
+step goes from row to row, so averages and votes count rows, not positions, as a stream does. Averages
+with bounded memory run over chunks with a halo, fill-forward steps as prefix scans, so a session of any
+length is cut by many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinew.constants import DEBOUNCE, EMA_KEEP, ENTER, HOLD, REJECT, VOTES
-from sinew.ordered import CHUNK, OWN, Scan, chunk_of, running, with_halo
+from sinew.ordered import CHUNK, OWN, Scan, chunk_of, dense_index, running, with_halo, with_neighbours
 from sinew.session import settle
 
 CHUNK_ROWS = 4096
@@ -26,7 +28,7 @@ def _reach(keep: float) -> int:
 
 def averaged(rows: DataFrame, values: Sequence[Column], keep: float, start: float, names: Sequence[str],
              *, order: str = "k", size: int | None = None) -> DataFrame:
-    """Exponential averages s_t = keep·s_(t−1) + (1−keep)·v_t of non-negative values.
+    """Exponential averages s_t = keep·s_(t−1) + (1−keep)·v_t of non-negative values, t the row's rank by ``order``.
 
     Inside a chunk the recurrence is a running sum of v_t·keep^−t scaled back by keep^t: one window
     sum per value, no fold. All terms have one sign, so nothing cancels; the chunk length keeps
@@ -34,6 +36,8 @@ def averaged(rows: DataFrame, values: Sequence[Column], keep: float, start: floa
     """
     if keep <= 0:
         return rows.select("*", *[v.alias(n) for v, n in zip(values, names)])
+    kept, rank = rows.columns, "_rank"
+    rows, order = dense_index(rows, ["session_id"], [order], chunk_of(order, size or 1024), rank), rank
     halo = _reach(keep)
     limit = int(600 / -math.log(keep)) - halo
     size = max(halo, min(size or 1024, limit))
@@ -47,7 +51,7 @@ def averaged(rows: DataFrame, values: Sequence[Column], keep: float, start: floa
     sums = placed.select(
         "*", *[((1 - keep) * F.sum(v * weight).over(frame)).alias(f"_s_{n}") for v, n in zip(values, names)]
     )
-    return sums.filter(OWN).select(*rows.columns, *[(F.col(f"_s_{n}") * shrink + memory).alias(n) for n in names])
+    return sums.filter(OWN).select(*kept, *[(F.col(f"_s_{n}") * shrink + memory).alias(n) for n in names])
 
 
 def ema(rows: DataFrame, classes: int, keep: float = EMA_KEEP, *, size: int | None = None) -> DataFrame:
@@ -150,14 +154,9 @@ def smooth_vote_debounce(
 
 def with_changes(outputs: DataFrame, column: str = "output", *, size: int = CHUNK_ROWS) -> DataFrame:
     """Add ``changed``: the output differs from the one before; a first output counts as no change."""
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("k")
-    placed = with_halo(outputs, "k", size, before=1)
-    before = F.lag(column).over(frame)
-    return (
-        placed.withColumn("_before", before).filter(OWN)
-        .withColumn("changed", F.coalesce((F.col("_before") != F.col(column)) & (F.col("_before") != -1), F.lit(False)))
-        .drop(CHUNK, OWN, "_before")
-    )
+    placed = with_neighbours(outputs, ["session_id"], "k", [column], chunk_of("k", size))
+    before = F.col(f"prev_{column}")
+    return placed.withColumn("changed", F.coalesce((before != F.col(column)) & (before != -1), F.lit(False))).drop(f"prev_{column}")
 
 
 def stability_stats(outputs: DataFrame, *, size: int = CHUNK_ROWS) -> DataFrame:
@@ -177,19 +176,16 @@ def raw_vs_smoothed(outputs: DataFrame) -> DataFrame:
 
 def prediction_events(outputs: DataFrame, column: str = "output", *, none=-1, size: int = CHUNK_ROWS) -> DataFrame:
     """Only rows at which there is an output (not ``none``) and it is not the one before."""
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("k")
-    placed = with_halo(outputs, "k", size, before=1)
-    flagged = placed.withColumn("_before", F.lag(column).over(frame)).filter(OWN)
-    fresh = (F.col(column) != none) & (F.col("_before").isNull() | (F.col("_before") != F.col(column)))
-    return flagged.filter(fresh).drop(CHUNK, OWN, "_before")
+    flagged = with_neighbours(outputs, ["session_id"], "k", [column], chunk_of("k", size))
+    before = F.col(f"prev_{column}")
+    fresh = (F.col(column) != none) & (before.isNull() | (before != F.col(column)))
+    return flagged.filter(fresh).drop(f"prev_{column}")
 
 
 def reject_rate_by_run(outputs: DataFrame, *, size: int = CHUNK_ROWS) -> DataFrame:
     """Share of rejected rows between one output change and the next."""
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("k")
-    placed = with_halo(outputs.select("session_id", "k", "output", "rejected"), "k", size, before=1)
-    before = F.coalesce(F.lag("output").over(frame), F.lit(-1))
-    moved = placed.withColumn("_moved", (before != F.col("output")).cast("long")).filter(OWN).drop(CHUNK, OWN)
+    placed = with_neighbours(outputs.select("session_id", "k", "output", "rejected"), ["session_id"], "k", ["output"], chunk_of("k", size))
+    moved = placed.withColumn("_moved", (F.coalesce("prev_output", F.lit(-1)) != F.col("output")).cast("long"))
     runs = running(moved, ["session_id"], ["k"], chunk_of("k", size), {"run": Scan("sum", F.col("_moved"))})
     return runs.groupBy("session_id", "run").agg(
         F.min("k").alias("from_k"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sinew.constants import HOP, RATE_HZ, WINDOW
 from sinew.functions.columns import centred, sum_squares, total
-from sinew.ordered import CHUNK, with_halo
+from sinew.ordered import CHUNK, chunk_of, with_halo, with_neighbours
 
 CHUNK_SAMPLES = 6400
 CHANNEL_COLUMNS = ("ch0", "ch1", "ch2", "ch3")
@@ -160,17 +160,18 @@ def reconstruct_signal(
 ) -> DataFrame:
     """Overlapping windows back to one row per sample; where windows overlap the later one wins.
 
-    Each window owns its first ``hop`` samples, the last one all of them, so nothing is exploded
-    that an overlap would discard again. A ``label`` column, if present, follows the owner.
+    Each window owns its samples up to the start of the next window there is, the last one all of
+    them, so nothing is exploded that an overlap would discard again. A ``label`` column, if present,
+    follows the owner.
     """
-    counts = windows.groupBy("session_id").agg(F.max("k").alias("_last"))
     labels = [c for c in ("label",) if c in windows.columns]
-    owned = F.when(F.col("k") == F.col("_last"), F.col("x")).otherwise(
-        F.transform("x", lambda ch: F.slice(ch, 1, hop))
+    keys = with_neighbours(windows.select("session_id", "k"), ["session_id"], "k", ["k"], chunk_of("k", 4096), before=False, after=True)
+    owned = F.when(F.col("next_k").isNull(), F.col("x")).otherwise(
+        F.transform("x", lambda ch: F.slice(ch, F.lit(1), ((F.col("next_k") - F.col("k")) * hop).cast("int")))
     )
     zipped = F.arrays_zip(*[F.get("_x", F.lit(c)).alias(name) for c, name in enumerate(columns)])
     return (
-        windows.join(counts, "session_id")
+        windows.join(keys, ["session_id", "k"])
         .withColumn("_x", owned)
         .select("session_id", "k", *labels, F.posexplode(zipped).alias("_j", "_v"))
         .select(

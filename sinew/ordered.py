@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def with_halo(df: DataFrame, order: str, size: int, *, before: int = 0, after: i
     return placed.withColumn(OWN, F.col(CHUNK) == home)
 
 
+def stretches(at: np.ndarray) -> list[tuple[int, int]]:
+    """Runs without a hole, as (begin, end) positions."""
+    cuts = np.flatnonzero(np.diff(at) != 1) + 1
+    edges = [0, *cuts.tolist(), len(at)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running value: ``kind`` is sum, max, min, last or first (the last two skip nulls)."""
@@ -132,6 +140,27 @@ def running(
     )
 
 
+def with_neighbours(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: Column, *, before: bool = True, after: bool = False
+) -> DataFrame:
+    """Add ``prev_*`` and/or ``next_*``: values of the row before and after, however far away it is.
+
+    Positions may have holes, so the neighbour comes from a prefix scan and not from a halo.
+    """
+    value = F.struct(*columns)
+    scans = {}
+    if before:
+        scans["_prev"] = Scan("last", value, exclusive=True)
+    if after:
+        scans["_next"] = Scan("last", value, reverse=True, exclusive=True)
+    done = running(df, keys, [order], chunk, scans)
+    return done.select(
+        *df.columns,
+        *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in columns if before],
+        *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns if after],
+    )
+
+
 def dense_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "i"
 ) -> DataFrame:

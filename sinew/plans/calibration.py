@@ -109,7 +109,7 @@ def calibration_residual(spark, sf):
 
 
 DEVICE = f"""rs AS (SELECT session_id, pos, avg(v) AS mu, CASE WHEN var_pop(v) > 1e-12 THEN sqrt(var_pop(v)) ELSE 1e-6 END AS sd, count(*) AS n
-  FROM lf WHERE label = '{REST}' GROUP BY ALL HAVING count(*) >= 8)"""
+  FROM lf WHERE label = '{REST}' GROUP BY ALL HAVING count(*) >= 10)"""
 
 
 @register("device_calibration", S.sql(
@@ -118,7 +118,7 @@ FROM rs JOIN tr USING (pos) JOIN dl USING (pos)"""))
 def device_calibration(spark, sf):
     features = td.vectors(spark, sf)
     rest = features.filter(F.col("label") == REST)
-    fitted = C.device_calibration(rest, C.training_stats(features), C.rest_delta(features, REST), least=8)
+    fitted = C.device_calibration(rest, C.training_stats(features), C.rest_delta(features, REST))
     return rounded(fitted, ["mu", "sigma"])
 
 
@@ -127,7 +127,7 @@ def device_calibration(spark, sf):
 {q('greatest(sd, greatest(0.25e0 * avg(sd) OVER (PARTITION BY session_id), 1e-6))', 'sigma')} FROM rs"""))
 def device_calibration_floor(spark, sf):
     rest = td.vectors(spark, sf).filter(F.col("label") == REST)
-    return rounded(C.device_calibration(rest, least=8), ["mu", "sigma"])
+    return rounded(C.device_calibration(rest), ["mu", "sigma"])
 
 
 CLIP = f"""clip AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY k) - 1 AS n FROM lf WHERE label = '{REST}'),

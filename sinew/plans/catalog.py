@@ -48,6 +48,7 @@ def load() -> None:
     from sinew.plans import (  # noqa: F401
         calibration,
         evaluation,
+        holes,
         labelling,
         logs,
         models,

@@ -234,10 +234,10 @@ def lda_project(spark, sf):
 @register("fit_mlp")
 def fit_mlp(spark, sf):
     features = td.vectors(spark, sf)
-    model = M.fit_mlp(features, CLASSES, iterations=30)
+    model = M.fit_mlp(features, CLASSES)
     return M.predict_mlp(features, model, CLASSES).select("session_id", "k", "label", *_columns(10))
 
 
 @register("classifier_benchmark")
 def classifier_benchmark(spark, sf):
-    return M.classifier_benchmark({"vectors": _folded(spark, sf)}, CLASSES, models=("lda", "qda", "svm_rbf", "mlp"), iterations=10)
+    return M.classifier_benchmark({"vectors": _folded(spark, sf)}, CLASSES, models=("lda", "qda", "svm_rbf", "mlp"))

@@ -97,11 +97,10 @@ def flatten_windows(spark, sf):
     )
 
 
-@register("center_global", S.sql(S.FA, "m AS (SELECT session_id, avg(ch0) m0, avg(ch1) m1 FROM fa GROUP BY 1)",
-    select=f"SELECT session_id, i, {q('ch0 - m0', 'ch0', 9)}, {q('ch1 - m1', 'ch1', 4)} FROM fa JOIN m USING (session_id)"))
+@register("center_global", S.sql(S.FA, "m AS (SELECT session_id, avg(ch0) m0, avg(ch1) m1, avg(ch2) m2, avg(ch3) m3 FROM fa GROUP BY 1)",
+    select=f"SELECT session_id, i, {', '.join(q(f'ch{c} - m{c}', f'ch{c}', 4) for c in range(4))} FROM fa JOIN m USING (session_id)"))
 def center_global(spark, sf):
-    out = W.center_global(td.short_sessions(spark, sf), ("ch0", "ch1"))
-    return out.select("session_id", "i", r("ch0", 9).alias("ch0"), r("ch1", 4).alias("ch1"))
+    return rounded(W.center_global(td.short_sessions(spark, sf)).select("session_id", "i", *CH), CH, 4)
 
 
 @register("slice_time", S.sql(S.FA, select="SELECT session_id, i, ts, ch0 FROM fa WHERE ts >= 0.1e0 AND ts < 0.1e0 + 0.25e0"))
@@ -238,24 +237,24 @@ def zero_phase_sql(name: str, source: str, design, channels, pad: int) -> str:
     return ",\n".join([ends, forward, backward, strip])
 
 
-@register("zero_phase_high", S.sql(S.FA, zero_phase_sql("zp", "fa", signal.HIGHPASS_20, (0, 1), 9),
-    select=f"SELECT session_id, i, {q('ch0', 'ch0', 5)}, {q('ch1', 'ch1', 5)} FROM zp"))
+@register("zero_phase_high", S.sql(S.FA, zero_phase_sql("zp", "fa", signal.HIGHPASS_20, (0, 1, 2, 3), 9),
+    select=f"SELECT session_id, i, {', '.join(q(c, c, 5) for c in CH)} FROM zp"))
 def zero_phase_high(spark, sf):
-    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "high", ("ch0", "ch1")).drop("ts"), ["ch0", "ch1"], 5)
+    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "high").drop("ts"), CH, 5)
 
 
-@register("zero_phase_low", S.sql(S.FA, zero_phase_sql("zp", "fa", signal.LOWPASS_10, (0, 1), 9),
-    select=f"SELECT session_id, i, {q('ch0', 'ch0', 5)}, {q('ch1', 'ch1', 5)} FROM zp"))
+@register("zero_phase_low", S.sql(S.FA, zero_phase_sql("zp", "fa", signal.LOWPASS_10, (0, 1, 2, 3), 9),
+    select=f"SELECT session_id, i, {', '.join(q(c, c, 5) for c in CH)} FROM zp"))
 def zero_phase_low(spark, sf):
-    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "low", ("ch0", "ch1")).drop("ts"), ["ch0", "ch1"], 5)
+    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "low").drop("ts"), CH, 5)
 
 
-BAND4 = zero_phase_sql("zp", "fa", signal.BANDPASS_4, (0, 1, 2), 27)
+BAND4 = zero_phase_sql("zp", "fa", signal.BANDPASS_4, (0, 1, 2, 3), 27)
 
 
-@register("zero_phase_band", S.sql(S.FA, BAND4, select=f"SELECT session_id, i, {q('ch0', 'ch0', 4)}, {q('ch1', 'ch1', 4)} FROM zp"))
+@register("zero_phase_band", S.sql(S.FA, BAND4, select=f"SELECT session_id, i, {', '.join(q(c, c, 4) for c in CH)} FROM zp"))
 def zero_phase_band(spark, sf):
-    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "band", ("ch0", "ch1")).drop("ts"), ["ch0", "ch1"], 4)
+    return rounded(FI.zero_phase(td.short_sessions(spark, sf), "band").drop("ts"), CH, 4)
 
 
 ENVELOPE = (
@@ -276,10 +275,10 @@ def rms_across_channels(spark, sf):
 
 
 @register("moving_rms", S.sql(S.FA, select="SELECT session_id, i, " + ", ".join(
-    q(f"sqrt(sum(ch{c} * ch{c}) OVER s / 150)", f"ch{c}") for c in range(2))
+    q(f"sqrt(sum(ch{c} * ch{c}) OVER s / 150)", f"ch{c}") for c in range(4))
     + " FROM fa WINDOW s AS (PARTITION BY session_id ORDER BY i ROWS BETWEEN 75 PRECEDING AND 74 FOLLOWING)"))
 def moving_rms(spark, sf):
-    return rounded(FI.moving_rms(td.short_sessions(spark, sf), ("ch0", "ch1")), ["ch0", "ch1"])
+    return rounded(FI.moving_rms(td.short_sessions(spark, sf)), CH)
 
 
 AC = """ac AS MATERIALIZED (SELECT session_id, k, sqrt((""" + " + ".join(

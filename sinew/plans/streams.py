@@ -57,22 +57,22 @@ def stream_events(spark, sf):
 
 
 @register("stream_tumbling", S.sql(
-    S.FA, select=f"SELECT session_id, i // 150 AS w, count(*) AS n, {q('sqrt(avg(ch0 * ch0))', 'ch0')}, {q('sqrt(avg(ch1 * ch1))', 'ch1')} FROM fa GROUP BY ALL"))
+    S.FA, select=f"SELECT session_id, i // 150 AS w, count(*) AS n, {', '.join(q(f'sqrt(avg({c} * {c}))', c) for c in SG.CH)} FROM fa GROUP BY ALL"))
 def stream_tumbling(spark, sf):
-    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), "ch0", "ch1")
+    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), *SG.CH)
     out = RN.replay(
-        _slices(samples, "i", [137, 400]), lambda s: LV.time_windows(s, ["ch0", "ch1"], slide=None, lateness="1 hour"), mode="complete"
+        _slices(samples, "i", [137, 400]), lambda s: LV.time_windows(s, list(SG.CH), slide=None, lateness="1 hour"), mode="complete"
     )
-    return out.select("session_id", F.floor(F.unix_millis("start") / 150).alias("w"), "n", r("ch0").alias("ch0"), r("ch1").alias("ch1"))
+    return out.select("session_id", F.floor(F.unix_millis("start") / 150).alias("w"), "n", *[r(c).alias(c) for c in SG.CH])
 
 
 @register("stream_sliding_time", S.sql(
-    S.FA, "o AS (SELECT session_id, unnest(range(i // 25 - 5, i // 25 + 1)) AS w, ch0 FROM fa)",
-    select=f"SELECT session_id, w, count(*) AS n, {q('sqrt(avg(ch0 * ch0))', 'ch0')} FROM o GROUP BY ALL"))
+    S.FA, "o AS (SELECT session_id, unnest(range(i // 25 - 5, i // 25 + 1)) AS w, ch0, ch1, ch2, ch3 FROM fa)",
+    select=f"SELECT session_id, w, count(*) AS n, {', '.join(q(f'sqrt(avg({c} * {c}))', c) for c in SG.CH)} FROM o GROUP BY ALL"))
 def stream_sliding_time(spark, sf):
-    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), "ch0")
-    out = RN.replay(_slices(samples, "i", [300]), lambda s: LV.time_windows(s, ["ch0"], lateness="1 hour"), mode="complete")
-    return out.select("session_id", F.floor(F.unix_millis("start") / 25).alias("w"), "n", r("ch0").alias("ch0"))
+    samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), *SG.CH)
+    out = RN.replay(_slices(samples, "i", [300]), lambda s: LV.time_windows(s, list(SG.CH), lateness="1 hour"), mode="complete")
+    return out.select("session_id", F.floor(F.unix_millis("start") / 25).alias("w"), "n", *[r(c).alias(c) for c in SG.CH])
 
 
 GAP_US = 6 * 3600 * 1_000_000

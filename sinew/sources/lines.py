@@ -13,7 +13,7 @@ from sinew.constants import ALIASES, CHANNELS, COMMANDS, GESTURES
 from sinew.ordered import Scan, running
 
 # What counts as a number on a sample line.
-NUMBER = r"^\s*[+-]?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 FEATURES = 69
 
 
@@ -92,7 +92,7 @@ def parse_commands(lines: DataFrame) -> DataFrame:
 def parse_gesture_commands(lines: DataFrame, dialect: str = "model") -> DataFrame:
     """Gesture named on a line through the alias table; unknown spellings are ``none``."""
     keep = [c for c in lines.columns if c != "line"]
-    name = F.substring(F.regexp_extract("line", r'"gesture"[^:]*:[ "]*([^"]*)', 1), 1, 31)
+    name = F.regexp_extract("line", r'"gesture"[^:]*:[ "]*([^"]*)', 1)
     known = {spelling: gesture for d, spelling, gesture in ALIASES if d == dialect}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return lines.select(*keep, F.coalesce(F.try_element_at(table, name), F.lit("none")).alias("gesture"))
@@ -123,7 +123,7 @@ def read_feature_dump(lines: DataFrame, features: int = FEATURES, classes: int =
     keep = [c for c in lines.columns if c != "line"]
     parts = F.split(F.trim("line"), ",", -1)
     wanted = features + 2 * classes + 2
-    values = F.transform(F.slice(parts, 4, 1000), lambda v: F.trim(v).try_cast("double"))
+    values = F.transform(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), lambda v: F.trim(v).try_cast("double"))
     rows = lines.filter(F.trim("line").startswith("H,")).select(
         *keep,
         F.get(parts, F.lit(1)).try_cast("int").alias("hop"),
@@ -148,7 +148,8 @@ def read_dump_calibration(lines: DataFrame) -> DataFrame:
     """Mean and deviation vectors (CMEAN, CSTD lines) of each dump."""
     keep = [c for c in lines.columns if c not in ("line", "n")]
     text = F.trim("line")
-    numbers = F.transform(F.slice(F.split(text, ",", -1), 2, 1000), lambda v: F.trim(v).try_cast("double"))
+    parts = F.split(text, ",", -1)
+    numbers = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v: F.trim(v).try_cast("double"))
     pick = lambda mark: F.max_by(numbers, F.when(text.startswith(mark), F.col("n")))
     return (
         lines.filter(text.startswith("CMEAN") | text.startswith("CSTD"))

@@ -15,12 +15,6 @@ YEAR_LABELS = {
     1995: "rest", 1996: "open", 1997: "rest", 1998: "fist", 1999: "rest", 2000: "hook_em", 2001: "thumbs_up",
 }
 ORDER_KEYS_PER_CHUNK = 1 << 28
-MONTHLY_BYTES = 8 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan, from file sizes and schema."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +31,11 @@ def _samples(spark: SparkSession, sf_dir: str, session: Column) -> DataFrame:
         (F.col("l_tax") * 1000).alias("ch3"),
         F.year("l_shipdate").alias("y"),
     )
-    # Chunks grow along the sort order. A month per session is small enough for tables of this
-    # size; beyond it days are used, and order keys split a day.
-    if estimated_bytes(lines) <= MONTHLY_BYTES:
-        chunk = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    else:
-        chunk = F.struct(
-            F.to_date("l_shipdate").alias("day"),
-            F.floor(F.col("l_orderkey") / ORDER_KEYS_PER_CHUNK).alias("block"),
-        )
+    # Chunks grow along the sort order: days, split by order keys.
+    chunk = F.struct(
+        F.to_date("l_shipdate").alias("day"),
+        F.floor(F.col("l_orderkey") / ORDER_KEYS_PER_CHUNK).alias("block"),
+    )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"]
     indexed = dense_index(lines, ["session_id"], order, chunk)
     return indexed.select(
