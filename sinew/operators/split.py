@@ -116,9 +116,16 @@ def split_class_counts(rows: DataFrame, split: DataFrame, trial: str = "trial_id
 
 
 def shuffle_holdout(rows: DataFrame, keys: Sequence[str] = ("session_id", "k"), share: float = 0.1, seed: int = 0) -> DataFrame:
-    """Add ``holdout``: a share of rows chosen by the hash of their key, stable under repartitioning."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1_000_000))
-    return rows.withColumn("holdout", h >= int((1 - share) * 1_000_000))
+    """Add ``holdout``: the last ``share`` of the rows in the order of a hash of their (integer) key, n − ⌊n·(1 − share)⌋ rows.
+
+    The rank is a prefix scan over hash ranges, so rows are never ordered in one task.
+    """
+    mixed = sum((F.pmod(F.col(c).cast("long") + seed, F.lit(1 << 20)) * (31**n) for n, c in enumerate(keys)), F.lit(0).cast("long"))
+    keyed = rows.select(*keys).withColumns({"_h": trial_hash(mixed), "_one": F.lit(1)})
+    ranked = running(keyed, ["_one"], ["_h", *keys], F.shiftright("_h", 20), {"_rank": Scan("sum", F.lit(1).cast("long"))})
+    total = rows.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    held = ranked.join(F.broadcast(total), "_one").select(*keys, (F.col("_rank") > F.floor(F.col("_n") * (1 - share))).alias("holdout"))
+    return rows.join(held, list(keys))
 
 
 def leave_one_session_out(rows: DataFrame) -> DataFrame:

@@ -255,9 +255,11 @@ def split_class_counts(spark, sf):
     return SP.split_class_counts(features, SP.group_shuffle_split(features))
 
 
-@register("shuffle_holdout")
+@register("shuffle_holdout", S.sql(
+    S.VECTORS, "hs AS (SELECT session_id, k, ((session_id % 1048576 + k % 1048576 * 31) * 2654435761) % 4294967296 AS h FROM vec)",
+    select="SELECT session_id, k, row_number() OVER (ORDER BY h, session_id, k) > floor((SELECT count(*) FROM hs) * (1 - 0.1e0)) AS holdout FROM hs"))
 def shuffle_holdout(spark, sf):
-    return SP.shuffle_holdout(td.vectors(spark, sf)).groupBy("session_id", "holdout").agg(F.count("*").alias("n"))
+    return SP.shuffle_holdout(td.vectors(spark, sf)).select("session_id", "k", "holdout")
 
 
 @register("leave_one_session_out", S.sql(S.VECTORS, select="SELECT session_id AS fold, count(*) AS n FROM vec GROUP BY 1"))

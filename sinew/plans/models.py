@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sinew.operators import models as M
 from sinew.operators import split as SP
+from sinew.plans import discriminants as D
 from sinew.plans import fragments as S
 from sinew.plans.catalog import q, r, register, rounded
 from sinew.sources import testdata as td
@@ -177,14 +178,20 @@ def class_moments(spark, sf):
     return rounded(spark.createDataFrame(rows, "label string, a long, b long, mean double, scatter double, n double"), ["mean", "scatter"])
 
 
-@register("fit_lda")
+ALL = "tr AS MATERIALIZED (SELECT 0 AS g, label, f FROM vec)"
+
+
+@register("fit_lda", S.sql(
+    S.VECTORS, ALL, D.pooled("tr", WIDTH, 10), "rw AS MATERIALIZED (SELECT 0 AS g, session_id, k, label, f FROM vec)", D.posterior("ld", "tr", "rw", WIDTH, 10),
+    select=f"SELECT session_id, k, label, {_columns_sql(10)} FROM ld"))
 def fit_lda(spark, sf):
     features = td.vectors(spark, sf)
     model = M.fit_lda(M.by_class(M.class_moments(features)))
     return M.score(features, model, ["session_id", "k", "label"]).select("session_id", "k", "label", *_columns(10))
 
 
-@register("fit_qda")
+@register("fit_qda", S.sql(
+    S.VECTORS, ALL, D.quadratic("qd", "tr", "vec", WIDTH, 10, 0.1), select=f"SELECT session_id, k, label, {_columns_sql(10)} FROM qd"))
 def fit_qda(spark, sf):
     features = td.vectors(spark, sf)
     model = M.fit_qda(M.by_class(M.class_moments(features)))
@@ -197,18 +204,48 @@ def _folded(spark, sf):
     return features.join(folds, "trial_id")
 
 
-@register("out_of_fold_proba")
+FOLDS = """tz AS (SELECT trial_id, count(*) AS n FROM vec GROUP BY 1),
+od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, trial_id DESC) AS pos FROM tz),
+gk AS (
+  SELECT CAST(0 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS trial_id, -1 AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+  UNION ALL
+  SELECT o.pos, o.trial_id, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+    list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+  FROM gk JOIN od o ON o.pos = gk.pos + 1),
+fv AS MATERIALIZED (SELECT v.*, g.fold FROM vec v JOIN gk g ON g.trial_id = v.trial_id AND g.pos > 0)"""
+APART = "tr AS MATERIALIZED (SELECT g.fold AS g, v.label, v.f FROM (SELECT DISTINCT fold FROM fv) g JOIN fv v ON v.fold <> g.fold)"
+HELD = "rw AS MATERIALIZED (SELECT fold AS g, session_id, k, label, f FROM fv)"
+ACCURACY = "SELECT g AS fold, count(*) AS n, avg(CAST('c' || (list_position(p, list_max(p)) - 1) = label AS INTEGER)) AS accuracy FROM ld GROUP BY 1"
+
+
+def _blocks_sql() -> str:
+    """Posteriors of every specialist, fitted without the row's fold: ``ld0, ld1, …``."""
+    parts = []
+    for n, at in enumerate(BLOCKS.values()):
+        cut, size = f"f[{at[0] + 1}:{at[-1] + 1}]", len(at)
+        parts += [
+            f"tr{n} AS MATERIALIZED (SELECT g, label, {cut} AS f FROM tr)", D.pooled(f"tr{n}", size, 10),
+            f"rw{n} AS MATERIALIZED (SELECT g, session_id, k, label, {cut} AS f FROM rw)", D.posterior(f"ld{n}", f"tr{n}", f"rw{n}", size, 10),
+        ]
+    return ",\n".join(parts)
+
+
+@register("out_of_fold_proba", S.sql(
+    S.VECTORS, FOLDS, APART, HELD, _blocks_sql(),
+    "al AS (SELECT a.session_id, a.k, a.label, a.g AS fold, list_concat(list_concat(a.p, b.p), c.p) AS p FROM ld0 a JOIN ld1 b ON b.k = a.k JOIN ld2 c ON c.k = a.k)",
+    select=f"SELECT session_id, k, label, fold, {_columns_sql(30)} FROM al"))
 def out_of_fold_proba(spark, sf):
     held, _ = M.out_of_fold_proba(_folded(spark, sf), columns=BLOCKS)
     return held.select("session_id", "k", "label", "fold", *_columns(30))
 
 
-@register("cross_val_accuracy")
+@register("cross_val_accuracy", S.sql(S.VECTORS, FOLDS, APART, D.pooled("tr", WIDTH, 10), HELD, D.posterior("ld", "tr", "rw", WIDTH, 10), select=ACCURACY))
 def cross_val_accuracy(spark, sf):
     return M.cross_val_accuracy(_folded(spark, sf))
 
 
-@register("leave_one_session_out_accuracy")
+@register("leave_one_session_out_accuracy", S.sql(
+    S.VECTORS, "fv AS MATERIALIZED (SELECT *, session_id AS fold FROM vec)", APART, D.pooled("tr", WIDTH, 10), HELD, D.posterior("ld", "tr", "rw", WIDTH, 10), select=ACCURACY))
 def leave_one_session_out_accuracy(spark, sf):
     return M.cross_val_accuracy(SP.leave_one_session_out(td.vectors(spark, sf)))
 
