@@ -20,7 +20,7 @@ from sinew.llm.frames import field, map_texts
 from sinew.llm.text import PLAIN_WORD, Hasher, Texts, owners
 
 WIDTH = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 ITEM_BYTES = 2 << 20  # benchmark text that is searched in one pass over the documents
 LOCATED = 1 << 20  # suffixes located at once
 _HASH = Hasher(4)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sinew.llm.text import Texts
 from sinew.session import checkpoint_folder, prepare
 
-BLOCK = 4 << 20  # bytes of text handled together; a longer text makes a block of its own
+BLOCK = 1 << 20  # bytes of text handled together; a longer text makes a block of its own
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sinew.llm.backoff import _bounds, packed, unpacked
 from sinew.llm.frames import scratch
+from sinew.llm.text import PIECE as CACHED
 from sinew.llm.text import Hasher, Texts, owners
 
 WIDTH = 50
@@ -33,7 +34,6 @@ TRIGGER = 16  # bytes that decide on a phrase boundary
 SPACING = 128  # mean bytes of a phrase
 GRAM = 24  # bytes of the hashes that group windows
 BLOCK_BYTES = 4 << 20
-CACHED = 1 << 16  # bytes hashed at once, so that temporaries stay in the processor's cache
 _A, _B, _T, _G = Hasher(51), Hasher(52), Hasher(53), Hasher(54)
 _LAST = (1 << 63) - 1
 

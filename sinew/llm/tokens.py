@@ -59,14 +59,14 @@ _CUT = _cuts().ravel()
 class Pieces:
     """Ids of the pieces a worker has met, by hash: an open table that is emptied when full."""
 
-    def __init__(self, bits: int = 21):
-        self.mask, self.most = (1 << bits) - 1, 1 << (bits - 1)
+    def __init__(self, bits: int = 20):
+        self.mask, self.most = (1 << bits) - 1, 3 << (bits - 2)
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.place = np.zeros(self.mask + 1, np.int32)
-        self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.base, self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 where unknown. The key 0 is never stored."""
@@ -90,8 +90,8 @@ class Pieces:
     def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Store distinct unknown keys with their ids, flat."""
         place = np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32)
-        self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        self.base = np.concatenate([self.base, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
         slot = (keys & np.uint64(self.mask)).astype(np.int64)
         while len(keys):
@@ -164,7 +164,7 @@ class Encoder:
                 self.pieces = Pieces(int(len(distinct)).bit_length() + 1)
             self._learn(data, distinct, starts[new[at]], ends[new[at]])
             place = self.pieces.find(keys)
-        size, base = self.pieces.size[place], self.pieces.base[place]
+        size, base = self.pieces.size[place].astype(np.int64), self.pieces.base[place].astype(np.int64)
         upto = np.cumsum(size)
         ids = self.pieces.flat[np.repeat(base - (upto - size), size) + np.arange(int(size.sum()))]
         return ids, np.concatenate([[0], upto])[np.searchsorted(starts, texts.offsets)]
