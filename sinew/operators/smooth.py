@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from sinew.constants import DEBOUNCE, EMA_KEEP, ENTER, HOLD, REJECT, VOTES
 from sinew.ordered import CHUNK, OWN, Scan, chunk_of, dense_index, running, with_halo, with_neighbours
-from sinew.session import settle
 
 CHUNK_ROWS = 4096
 
@@ -86,8 +85,7 @@ def smooth_hysteresis(
     """
     if enter < hold:
         raise ValueError("enter must not be below hold")
-    # A few numbers per row; settled so that scoring upstream runs once and not once per scan side.
-    base = settle(smoothed(rows, classes, keep, size=size))
+    base = smoothed(rows, classes, keep, size=size)
     scans = {
         "_adopted": Scan("last", F.when(F.col("conf") >= enter, F.col("winner"))),
         "_opening": Scan("first", F.when(F.col("conf") >= hold, F.col("winner"))),
@@ -118,7 +116,7 @@ def smooth_vote_debounce(
     filled forward over all rows. A run of D equal votes reaches back D − 1 accepted rows, and a
     change needs at least two.
     """
-    base = settle(smoothed(rows, classes, keep, size=size))
+    base = smoothed(rows, classes, keep, size=size)
     accepted = base.filter(F.col("conf") >= reject)
     numbered = running(
         accepted.select("session_id", "k", "winner"), ["session_id"], ["k"], chunk_of("k", size),
@@ -138,7 +136,7 @@ def smooth_vote_debounce(
     decided = voted.withColumn("_switch", F.when(steady, F.col("majority"))).filter(OWN).select(
         "session_id", "k", "majority", "_share", "_switch"
     )
-    joined = settle(base.join(decided, ["session_id", "k"], "left"))
+    joined = base.join(decided, ["session_id", "k"], "left")
     done = running(
         joined, ["session_id"], ["k"], chunk_of("k", size),
         {"_latest": Scan("last", F.col("_switch")), "_opening": Scan("first", F.col("majority"))},

@@ -54,5 +54,6 @@ def load() -> None:
         models,
         signals,
         smoothing,
+        stores,
         streams,
     )

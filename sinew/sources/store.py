@@ -2,8 +2,9 @@
 
 A store holds ``sessions`` (one row each), ``windows`` and ``samples``. Both large tables are
 partitioned by a hash part of the session, so any number of sessions makes a bounded number of
-folders, and written per (part, cell of the position), so one long session is many files. Files
-are sorted, which lets a read of one session prune the folder and then the row groups.
+folders. Writing tasks take (part, session, cell of the position) groups, merged or split by their
+size, so their number grows with the data and one long session is many files. Files are sorted,
+which lets a read of one session prune the folder and then the row groups.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from sinew.session import settle
 CELL_WINDOWS = 1 << 17
 SESSIONS_PER_CHUNK = 1 << 16
 CELL_SAMPLES = CELL_WINDOWS * HOP
+# Of `<user>_<time>` names: reaches into the time, so that one user's sessions are many chunks.
+NAME_PREFIX = 24
 
 
 PARTS = 256
@@ -34,7 +37,7 @@ def part_of(session: F.Column, parts: int = PARTS) -> F.Column:
 
 def _write(rows: DataFrame, path: str, order: str, cell: int, mode: str) -> None:
     placed = rows.withColumn("part", part_of(F.col("session_id"))).withColumn("_cell", F.floor(F.col(order) / cell))
-    sorted_rows = placed.repartition("part", "_cell").sortWithinPartitions("part", "session_id", order).drop("_cell")
+    sorted_rows = placed.hint("rebalance", "part", "session_id", "_cell").sortWithinPartitions("part", "session_id", order).drop("_cell")
     sorted_rows.write.mode(mode).partitionBy("part").parquet(path)
 
 
@@ -152,7 +155,7 @@ def global_trials(rows: DataFrame) -> DataFrame:
     """
     per = rows.groupBy("session_id").agg((F.max("trial_id") + 1).alias("_n")).withColumn("_all", F.lit(0))
     numeric = isinstance(rows.schema["session_id"].dataType, T.IntegralType)
-    block = F.floor(F.col("session_id") / SESSIONS_PER_CHUNK) if numeric else F.substring("session_id", 1, 6)
+    block = F.floor(F.col("session_id") / SESSIONS_PER_CHUNK) if numeric else F.substring("session_id", 1, NAME_PREFIX)
     offsets = running(per, ["_all"], ["session_id"], block, {"_offset": Scan("sum", F.col("_n"), exclusive=True)})
     return (
         rows.join(offsets.select("session_id", F.coalesce("_offset", F.lit(0)).alias("_offset")), "session_id")
