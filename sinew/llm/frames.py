@@ -31,11 +31,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFrame:
-    """The rows as a written table: later steps read it instead of repeating the work, whichever executors are lost."""
+def stored(df: DataFrame, name: str, *, files: int | None = None) -> DataFrame:
+    """The rows as a written table: later steps read it instead of repeating the work, whichever executors are lost.
+
+    `files` is for small tables that are written often: so many files, uncompressed.
+    """
     path = scratch(df.sparkSession, name)
-    writer = df.write
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    if files:
+        df.repartition(files).write.option("compression", "none").parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

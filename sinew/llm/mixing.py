@@ -3,20 +3,23 @@
 Every document gets a rate r(size) = cap / (1 + (cap - 1) exp(-lambda x)), x its size over its source's typical
 size: the rates nearest to 1 in (bounded) entropy whose words sum to the source's target. The multipliers solve
 a convex dual problem, one equation per source, by Newton steps, kept inside a bracket. All steps work on a table of
-(source, size, number of documents), which holds the problem without loss. Rates are rounded into copies so that each
-source's words stay within half its largest document of the target.
+(source, size, number of documents), which holds the problem without loss. Rates are rounded into copies from the largest
+size down, each size making up for the words that the sizes before gave too many or too few.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sinew.llm.frames import fresh_name, stored
+from sinew.llm.frames import field, fresh_name, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
 ROUNDS = 60  # at most; Newton needs about ten
+FILES = 8  # of tables with a row per source
 CLOSE = 1e-6  # of a source's target
 CHUNK = 1000  # documents of one size that are ranked together
 
@@ -66,10 +69,13 @@ def balanced(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame
     scale = cells.where("size > 0").groupBy("source").agg((exact(n * size * size) / exact(n * size)).alias("scale"))
     full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
     scale = scale.withColumnRenamed("source", "of")
+    # The start is the solution for documents of typical size only.
+    mean = F.when(~full, F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-9)))
+    start = F.coalesce(F.log(mean * (cap - 1) / (cap - mean)), F.lit(0.0))
     state = wanted.where("source_size > 0").join(scale, F.col("source").eqNullSafe(F.col("of"))).select(
-        "source", "scale", "target", full.alias("full"), F.lit(0.0).alias("multiplier"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")
+        "source", "scale", "target", full.alias("full"), start.alias("multiplier"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high")
     )
-    state = stored(state.withColumn("open", ~F.col("full")), "multipliers")
+    state = stored(state.withColumn("open", ~F.col("full")), "multipliers", files=FILES)
     for _ in range(ROUNDS):
         if state.where("open").isEmpty():
             break
@@ -81,36 +87,49 @@ def balanced(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame
         )
         gap = F.col("target") - F.col("words")
         low, high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap > 0, F.col("high")).otherwise(F.col("multiplier"))
+        # A step at most doubles the multiplier, as far out the slope says little.
+        reach = F.greatest(F.abs("multiplier"), F.lit(2.0))
+        held = F.greatest(F.least(F.coalesce(F.try_divide(gap, F.col("slope")), F.signum(gap) * reach), reach), -reach)
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source", "scale", "target", "full", "open", "multiplier", low.alias("low"), high.alias("high"), gap.alias("gap"), (F.col("multiplier") + F.try_divide(gap, F.col("slope"))).alias("newton")
+            "source", "scale", "target", "full", "open", "multiplier", low.alias("low"), high.alias("high"), gap.alias("gap"), (F.col("multiplier") + held).alias("newton")
         )
         inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
         done = ~F.col("open") | (F.abs("gap") <= F.col("target") * CLOSE)
         following = F.when(done, F.col("multiplier")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
         state = stored(moved.select(
             "source", "scale", "target", "full", following.alias("multiplier"), F.when(done, 0.0).otherwise(F.col("low")).alias("low"), F.when(done, 0.0).otherwise(F.col("high")).alias("high"), (~done).alias("open"),
-        ), "multipliers")
+        ), "multipliers", files=FILES)
     return state.select("source", "scale", "multiplier", "full")
 
 
+def _rounded(table: pa.Table, cap: float) -> pa.Table:
+    """Copies for each size of a source; its table has a row per size."""
+    table = table.sort_by([("size", "descending")])
+    copies, owed = [], 0.0  # words
+    for size, n, r in zip(table["size"].to_pylist(), table["n"].to_pylist(), table["rate"].to_pylist(), strict=True):
+        taken = min(int(cap * n), max(0, int(n * r + owed / max(size, 1) + 0.5)))
+        owed += (n * r - taken) * size
+        copies.append(taken)
+    return table.append_column("copies", pa.array(copies, pa.int64()))
+
+
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = CAP) -> DataFrame:
     """Rows of `docs` (key, source, size, tie) with source_size, target, rate and copies.
 
-    Documents of one source and size have one rate. Their copies are what the running sum of rates over sizes gains
-    there, and go by rank of a hash of the key; the ranking is cut into chunks, so that no group grows with the input.
+    Documents of one source and size have one rate. Their copies go by rank of a hash of the key; the ranking is cut into
+    chunks, so that no group grows with the input.
     """
     cells = stored(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    wanted = stored(targets(sources, weights, cap), "targets")
+    wanted = stored(targets(sources, weights, cap), "targets", files=FILES)
     multipliers = balanced(cells, wanted, cap)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     joined = cells.join(wanted, same(cells, wanted)).drop(wanted["source"]).join(multipliers, same(cells, multipliers), "left").drop(multipliers["source"])
     solved = F.when(F.col("full"), F.lit(cap)).otherwise(rate(F.col("multiplier"), F.col("size") / F.col("scale"), cap))
     rated = joined.withColumn("rate", F.coalesce(F.when(F.col("size") > 0, solved), F.lit(1.0)))
-    running = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = rated.withColumn("upto", F.floor(running + 0.5))
-    counted = counted.withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("size")), F.lit(0)))
-    plan = counted.select("source", "size", "n", "copies", "rate", "source_size", "target", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    columns = rated.select("source", "size", "n", "rate", "source_size", "target", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    schema = T.StructType([*columns.schema.fields, field("copies", T.LongType())])
+    plan = columns.groupBy("source").applyInArrow(lambda table: _rounded(table, cap), schema)
     placed = docs.join(plan.withColumnRenamed("source", "of").withColumnRenamed("size", "of_size"), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))).drop("of", "of_size")
     placed = stored(placed.withColumn("chunk", F.pmod(F.xxhash64("key", "tie", F.lit("chunk")), F.col("chunks"))), "placed")
     # A chunk's share of its cell's copies: what the running share gains over it.
