@@ -47,6 +47,13 @@ class Moments:
             self.scatter + other.scatter + np.outer(gap, gap) * (self.n * other.n / n),
         )
 
+    def without(self, part: "Moments") -> "Moments":
+        """Moments of the rows that are not in ``part``, which is some of these rows but not all."""
+        n = self.n - part.n
+        mean = (self.n * self.mean - part.n * part.mean) / n
+        gap = mean - part.mean
+        return Moments(n, mean, self.scatter - part.scatter - np.outer(gap, gap) * (n * part.n / self.n))
+
     def subset(self, columns: Sequence[int]) -> "Moments":
         columns = list(columns)
         return Moments(self.n, self.mean[columns], self.scatter[np.ix_(columns, columns)])
@@ -74,48 +81,52 @@ def _moment_rows(keys: dict, found: dict[tuple, Moments]) -> pa.RecordBatch:
     })
 
 
-def class_moments(features: DataFrame, fold: str | None = None) -> dict[tuple[int, str], Moments]:
-    """Moments per (fold, label); fold 0 without ``fold``.
+def moment_table(features: DataFrame, fold: str | None = None) -> DataFrame:
+    """``fold, label, n, mean, scatter`` of each fold and class; fold 0 without ``fold``.
 
-    Partition results are merged in two rounds of bounded groups before the driver sees one
-    matrix per fold and class.
+    Partition results are merged in two rounds of bounded groups.
     """
-    rows = features.select(
-        (F.col(fold) if fold else F.lit(0)).cast("long").alias("fold"), F.col("label").cast("string").alias("label"), "f"
-    )
-    schema = f"part int, fold long, label string, {MOMENT_FIELDS}"
+    rows = features.select((F.col(fold) if fold else F.lit(0)).alias("fold"), F.col("label").cast("string").alias("label"), "f")
+    kind = rows.schema["fold"].dataType.simpleString()
+    schema = f"part int, fold {kind}, label string, {MOMENT_FIELDS}"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() % MERGE_GROUPS
         found: dict[tuple, Moments] = {}
+        fold_type = pa.int32()
         for batch in batches:
             if not batch.num_rows:
                 continue
+            fold_type = batch.column("fold").type
             x = arrow.matrix(batch.column("f"))
-            groups = pd.DataFrame(
-                {"fold": batch.column("fold").to_numpy(), "label": batch.column("label").to_numpy(zero_copy_only=False)}
-            ).groupby(["fold", "label"], sort=True).indices
+            groups = pd.DataFrame({
+                "fold": batch.column("fold").to_pandas(), "label": batch.column("label").to_numpy(zero_copy_only=False),
+            }).groupby(["fold", "label"], sort=True).indices
             for key, at in groups.items():
                 m = Moments.of(x[at])
-                key = (part, int(key[0]), str(key[1]))
+                key = (part, key[0].item() if hasattr(key[0], "item") else key[0], str(key[1]))
                 found[key] = found[key].merge(m) if key in found else m
         if found:
-            yield _moment_rows({"part": pa.int32(), "fold": pa.int64(), "label": pa.string()}, found)
+            yield _moment_rows({"part": pa.int32(), "fold": fold_type, "label": pa.string()}, found)
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         total = merged([_moments(r) for r in frame.itertuples()])
         first = frame.iloc[0]
         return pd.DataFrame({
-            "part": [int(first["part"])], "fold": [int(first["fold"])], "label": [first["label"]], "n": [total.n],
+            "part": [int(first["part"])], "fold": [first["fold"]], "label": [first["label"]], "n": [total.n],
             "mean": [total.mean.tolist()], "scatter": [total.scatter.ravel().tolist()],
         })
 
     parts = rows.mapInArrow(partial, schema)
     first = parts.groupBy("part", "fold", "label").applyInPandas(combine, schema)
-    last = first.groupBy("fold", "label").applyInPandas(combine, schema)
-    return {(r.fold, r.label): _moments(r) for r in last.toPandas().itertuples()}
+    return first.groupBy("fold", "label").applyInPandas(combine, schema).drop("part")
+
+
+def class_moments(features: DataFrame) -> dict[tuple[int, str], Moments]:
+    """Moments per (0, label): one matrix per class on the driver."""
+    return {(r.fold, r.label): _moments(r) for r in moment_table(features).toPandas().itertuples()}
 
 
 def _moments(row) -> Moments:
@@ -123,12 +134,11 @@ def _moments(row) -> Moments:
     return Moments(float(row.n), mean, np.asarray(row.scatter, dtype=float).reshape(len(mean), -1))
 
 
-def by_class(stats: dict[tuple[int, str], Moments], without: int | None = None) -> dict[str, Moments]:
-    """Moments per class over all folds, or all but one."""
-    labels = sorted({label for fold, label in stats if fold != without})
+def by_class(stats: dict[tuple[int, str], Moments]) -> dict[str, Moments]:
+    """Moments per class."""
     return {
-        label: merged([m for (fold, name), m in sorted(stats.items()) if name == label and fold != without])
-        for label in labels
+        label: merged([m for (_, name), m in sorted(stats.items()) if name == label])
+        for label in sorted({label for _, label in stats})
     }
 
 
@@ -295,25 +305,6 @@ def score(features: DataFrame, model, keep: Sequence[str] | None = None) -> Data
     return features.select(*keep, "f").mapInArrow(run, schema)
 
 
-def out_of_fold(features: DataFrame, fold: str, models: dict[int, object], keep: Sequence[str], width: int) -> DataFrame:
-    """Add ``p`` from the model that was not trained on the row's fold."""
-    keep = list(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, folds = arrow.matrix(batch.column("f")), batch.column("_fold").to_numpy()
-            p = np.zeros((len(x), width))
-            for f in np.unique(folds):
-                here = folds == f
-                p[here] = models[int(f)].probabilities(x[here])
-            yield arrow.batch({**{c: batch.column(c) for c in keep}, "p": arrow.list_column(p)})
-
-    schema = T.StructType([*[features.schema[c] for c in keep], PROBABILITIES])
-    return features.select(*keep, F.col(fold).cast("long").alias("_fold"), "f").mapInArrow(run, schema)
-
-
 @dataclass(frozen=True)
 class _Aligned:
     """A model that lacks classes of the full set scores them 0."""
@@ -327,27 +318,60 @@ class _Aligned:
         return p
 
 
+# Rows of a fold that one task scores.
+FOLD_ROWS = 20_000
+
+
 def out_of_fold_proba(
     features: DataFrame, fold: str = "fold", columns: dict[str, list[int]] | None = None,
     keep: Sequence[str] = ("session_id", "k", "label"), fit=fit_lda,
 ) -> tuple[DataFrame, tuple[str, ...]]:
     """Every row scored by models fitted without its fold; one statistics pass for all folds.
 
-    With ``columns`` the specialists' probabilities are concatenated. ``fold`` stays a column.
+    With ``columns`` the specialists' probabilities are concatenated. ``fold`` stays a column. Rows of a
+    fold meet its matrices in groups of bounded size, where total − fold is fitted, so the number of
+    folds is not bounded by the driver.
     """
-    stats = class_moments(features, fold)
-    classes = tuple(sorted({label for _, label in stats}))
-    models: dict[int, object] = {}
-    for f in sorted({f for f, _ in stats}):
-        train = by_class(stats, without=f)
+    # One row per fold and class, read for the total, the sizes and the fits.
+    table = settle(moment_table(features, fold))
+    total = _label_totals(table)
+    classes = tuple(sorted(total))
+    sizes = table.groupBy(F.col("fold").alias("_fold")).agg(F.ceil(F.sum("n") / FOLD_ROWS).cast("int").alias("_groups"))
+    keep = [*keep, *([fold] if fold not in keep else [])]
+    rows = features.select(*keep, F.col(fold).alias("_fold"), "f").join(sizes, "_fold")
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(*keep), F.col("_groups")).cast("int")).drop("_groups")
+    parts = table.withColumnRenamed("fold", "_fold").join(sizes, "_fold")
+    parts = parts.withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+
+    def run(held: pa.Table, own: pa.Table) -> pa.Table:
+        x = arrow.matrix(held["f"].combine_chunks()) if len(held) else np.empty((0, 0))
+        gone = {r["label"]: Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in own.to_pylist()}
+        train = {label: m.without(gone[label]) if label in gone else m for label, m in total.items() if label not in gone or m.n > gone[label].n}
         if columns is None:
-            models[f] = _Aligned(fit(train), classes)
+            model = _Aligned(fit(train), classes)
         else:
-            specialists = {n: _Aligned(m, classes) for n, m in fit_specialists(train, columns).items()}
-            models[f] = _Stack(columns, specialists)
-    width = len(classes) * (len(columns) if columns else 1)
-    keep = [*keep, *([fold] if fold not in keep else [])]
-    return out_of_fold(features, fold, models, keep, width), classes
+            model = _Stack(columns, {n: _Aligned(m, classes) for n, m in fit_specialists(train, columns).items()})
+        p = model.probabilities(x) if len(held) else np.empty((0, 1))
+        return held.select(keep).append_column("p", arrow.list_column(p))
+
+    schema = T.StructType([*[features.schema[c] for c in keep], PROBABILITIES])
+    by = ["_fold", "_group"]
+    return rows.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(run, schema), classes
+
+
+def _label_totals(table: DataFrame) -> dict[str, Moments]:
+    """Moments of each class over all folds, merged in bounded groups before one matrix per class is sent."""
+    schema = f"part int, label string, {MOMENT_FIELDS}"
+
+    def combine(frame: pd.DataFrame) -> pd.DataFrame:
+        m = merged([_moments(r) for r in frame.itertuples()])
+        first = frame.iloc[0]
+        return pd.DataFrame({"part": [int(first["part"])], "label": [first["label"]], "n": [m.n], "mean": [m.mean.tolist()], "scatter": [m.scatter.ravel().tolist()]})
+
+    rows = table.select(F.pmod(F.xxhash64("fold"), F.lit(MERGE_GROUPS)).cast("int").alias("part"), "label", "n", "mean", "scatter")
+    first = rows.groupBy("part", "label").applyInPandas(combine, schema)
+    last = first.groupBy("label").applyInPandas(combine, schema)
+    return {r.label: _moments(r) for r in last.toPandas().itertuples()}
 
 
 @dataclass(frozen=True)
