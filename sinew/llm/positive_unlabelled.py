@@ -27,6 +27,7 @@ SHAPES = 64  # hashed word shapes
 HIDDEN = 16
 _HASH, _SHAPE = Hasher(91), Hasher(92)
 _MARKS = b".,;:!?'\"()[]{}<>#*$%&|@/\\_=+-~^`0123456789"
+_CHARACTER = SPACED_WORD & (np.arange(256) & 0xC0 != 0x80)  # first bytes of characters in words
 _KIND = np.full(256, 4, np.uint8)  # shapes: lower, upper, digit, the mark itself, other characters
 _KIND[97:123] = 1
 _KIND[65:91] = 2
@@ -42,12 +43,13 @@ def features(texts: Texts) -> np.ndarray:
     starts, ends, first = texts.words(SPACED_WORD)
     owner, words, length = owners(first), np.diff(first), ends - starts
     many = np.maximum(words, 1)
-    count = lambda flags: per_text(flags, at) if len(data) else np.zeros(n, np.int64)
-    chars = np.maximum(count(SPACED_WORD[data] & (data & 0xC0 != 0x80)), 1)
-    upper, lower = count((data >= 65) & (data < 91)), count((data >= 97) & (data < 123))
+    # How often each text has each byte.
+    counts = np.bincount(np.repeat(np.arange(n) * 256, np.diff(at)) + data, minlength=n * 256).reshape(n, 256)
+    chars = np.maximum(counts[:, _CHARACTER].sum(axis=1), 1)
+    upper, lower = counts[:, 65:91].sum(axis=1), counts[:, 97:123].sum(axis=1)
     columns = [upper / np.maximum(upper + lower, 1)]
-    columns += [np.log1p(100 * count(data == m) / chars) for m in _MARKS]
-    columns.append(np.log1p(100 * count(data == 10) / many))
+    columns += [np.log1p(100 * counts[:, m] / chars) for m in _MARKS]
+    columns.append(np.log1p(100 * counts[:, 10] / many))
     hashes = _HASH.ranges(data, starts, ends)
     own = mixed(owner.astype(np.uint64))
     distinct = lambda h, o: np.bincount(o[np.unique(h, return_index=True)[1]], minlength=n)
