@@ -58,35 +58,45 @@ def train_models(matrix: DataFrame, folds: int = 5) -> Trained:
     )
 
 
+def _outside(moments: DataFrame, group: list[str], fold: str) -> DataFrame:
+    """``group…, fold, mu, sigma`` vectors of each group's rows outside each of its folds, classes weighing the same in ``mu``.
+
+    Sums are total − fold, about the group's mean, so that large offsets do not cancel. A group that lies in
+    one fold has none.
+    """
+    centre = moments.groupBy(*group, "pos").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_c"))
+    about = moments.join(centre, [*group, "pos"]).withColumn("_d", F.col("m") - F.col("_c"))
+    sums = {"_n": F.sum("n"), "_s": F.sum(F.col("n") * F.col("_d")), "_q": F.sum(F.col("n") * (F.col("s") + F.col("_d") * F.col("_d")))}
+    total = about.groupBy(*group, "label", "pos", "_c").agg(*[v.alias(k) for k, v in sums.items()])
+    own = about.groupBy(*group, "label", "pos", fold).agg(*[v.alias(f"_f{k}") for k, v in sums.items()])
+    # Every class of the group counts for every fold, also where the fold has no row of it.
+    grid = total.join(moments.select(*group, fold).distinct(), group).join(own, [*group, "label", "pos", fold], "left")
+    left = grid.select(*group, fold, "pos", "_c", *[(F.col(k) - F.coalesce(f"_f{k}", F.lit(0))).alias(k) for k in sums]).filter("_n > 0")
+    mean = F.sum("_s") / F.sum("_n")
+    stats = left.groupBy(*group, fold, "pos").agg(
+        (F.avg(F.col("_s") / F.col("_n")) + F.first("_c")).alias("mu"),
+        (F.sqrt(F.greatest(F.sum("_q") / F.sum("_n") - mean * mean, F.lit(0.0))) + C.EPSILON).alias("sigma"),
+    )
+    return C.to_vectors(stats, [*group, fold], ["mu", "sigma"])
+
+
 def fold_normalised(features: DataFrame, fold: str = "fold") -> DataFrame:
     """z-score with statistics of the rows outside the row's own fold.
 
-    ``features`` has raw vectors. Session moments per fold are additive, so a row's statistics are
-    the session's minus its fold's. Returns ``f`` per row, no rescan per fold.
+    ``features`` has raw vectors. Statistics come from the row's session; where the session lies in one fold, as
+    in leave-one-session-out, from all other sessions outside the fold. Returns ``f`` per row, no rescan per fold.
     """
-    from pyspark.sql import Window
-
     moments = (
         features.select("session_id", "label", fold, F.posexplode("f").alias("pos", "v"))
         .groupBy("session_id", "label", fold, "pos")
         .agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
     )
-    whole = Window.partitionBy("session_id", "label", "pos")
-    n, m, s = F.col("n"), F.col("m"), F.col("s")
-    others = moments.withColumn("_n", F.sum(n).over(whole) - n).withColumn(
-        "_m", (F.sum(n * m).over(whole) - n * m) / F.when(F.col("_n") > 0, F.col("_n"))
-    )
-    total_square = F.sum(n * (s + m * m)).over(whole) - n * (s + m * m)
-    others = others.withColumn("_q", total_square)
-    stats = others.filter("_n > 0").groupBy("session_id", fold, "pos").agg(
-        F.avg("_m").alias("mu"),
-        F.sqrt(F.greatest(F.sum("_q") / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_m")) / F.sum("_n"), 2), F.lit(0.0))).alias("sigma"),
-    ).withColumn("sigma", F.col("sigma") + C.EPSILON)
-    vectors = C.to_vectors(stats, ["session_id", fold], ["mu", "sigma"])
+    own = _outside(moments, ["session_id"], fold)
+    others = _outside(moments.withColumn("_all", F.lit(0)), ["_all"], fold).select(fold, F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))
     keep = [c for c in features.columns if c != "f"]
-    return features.join(vectors, ["session_id", fold], "left").select(
-        *keep, F.coalesce(C.standardise(F.col("f"), F.col("mu"), F.col("sigma")), F.col("f")).alias("f")
-    )
+    joined = features.join(own, ["session_id", fold], "left").join(others, fold, "left")
+    mu, sigma = F.coalesce("mu", "_mu"), F.coalesce("sigma", "_sigma")
+    return joined.select(*keep, C.standardise(F.col("f"), mu, sigma).alias("f"))
 
 
 def train_from_store(spark, path: str, folds: int = 5) -> Trained:
