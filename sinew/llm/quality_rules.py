@@ -11,7 +11,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 GAMMA = log(1.02)
 SMALLEST = 1e-6  # values below are one bucket
+FILES = 8  # of the table of sketches
 LEAST = 100  # documents for a sketch of its own
 REACH = 3.0  # quartile distances from the quartiles to the fences
 #: Metrics with the smallest spread that counts as one, on their scale (logarithmic for the first two).
@@ -104,31 +105,53 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _cells(only: Column | None = None) -> Column:
+    """A group's buckets in order, as an array: at most a few hundred for each metric."""
+    cell = F.struct("bucket", "n")
+    return F.array_sort(F.collect_list(cell if only is None else F.when(only, cell)))
+
+
+def _quantile(cells: Column, total: Column, share: float) -> Column:
+    """Middle of the first bucket that the share of all values reaches; null without values."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("found"))
+
+    def step(a: Column, c: Column) -> Column:
+        upto = a["upto"] + c["n"]
+        return F.struct(upto.alias("upto"), F.coalesce(a["found"], F.when(upto >= total * share, c["bucket"])).alias("found"))
+
+    return bucket_value(F.aggregate(cells, start, step, lambda a: a["found"]))
+
+
+def _total(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+
 def quantiles(sketch: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
     """(by, metric, n, a column for each share) from sketches."""
-    group = Window.partitionBy(*by, "metric")
-    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = sketch.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
-    reached = [bucket_value(F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket")))).alias(name) for name, q in shares.items()]
-    return ranked.groupBy(*by, "metric").agg(F.first("total").alias("n"), *reached)
+    gathered = sketch.groupBy(*by, "metric").agg(_cells().alias("cells")).withColumn("n", _total(F.col("cells")))
+    return gathered.select(*by, "metric", "n", *[_quantile(F.col("cells"), F.col("n"), q).alias(name) for name, q in shares.items()])
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, low and high fence of every metric): REACH quartile distances, of the metric's least spread or more, outside the quartiles."""
-    q = quantiles(sketch, by, {"q1": 0.25, "q3": 0.75})
-    logged = F.col("metric").isin(*_LOGARITHMIC)
-    q1, q3 = (F.when(logged, F.log(F.greatest(F.col(c), F.lit(SMALLEST)))).otherwise(F.col(c)) for c in ("q1", "q3"))
-    least = F.element_at(F.create_map(*[x for m, s in METRICS.items() for x in (F.lit(m), F.lit(s))]), F.col("metric"))
-    spread = F.greatest(q3 - q1, least) * REACH
-    back = lambda c: F.when(logged, F.exp(c)).otherwise(c)
-    wide = q.select(*by, "metric", "n", back(q1 - spread).alias("low"), back(q3 + spread).alias("high"))
-    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return wide.groupBy(*by).agg(F.max("n").alias("n"), *[at(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")])
+    gathered = sketch.groupBy(*by).agg(*[_cells(F.col("metric") == m).alias(m) for m in METRICS])
+    quartiles = gathered.select(*by, _total(F.col("size")).alias("n"), *[
+        _quantile(F.col(m), _total(F.col(m)), q).alias(f"{m}_{name}") for m in METRICS for name, q in (("q1", 0.25), ("q3", 0.75))
+    ])
+    columns = []
+    for m, least in METRICS.items():
+        q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
+        if m in _LOGARITHMIC:
+            q1, q3 = F.log(F.greatest(q1, F.lit(SMALLEST))), F.log(F.greatest(q3, F.lit(SMALLEST)))
+        spread = F.greatest(q3 - q1, F.lit(least)) * REACH
+        low, high = (F.exp(q1 - spread), F.exp(q3 + spread)) if m in _LOGARITHMIC else (q1 - spread, q3 + spread)
+        columns += [low.alias(f"{m}_low"), high.alias(f"{m}_high")]
+    return quartiles.select(*by, "n", *columns)
 
 
 def thresholds(rows: DataFrame, values: dict[str, Column], least: int = LEAST) -> DataFrame:
     """(lang, source, fences) for every group of `rows`, each from the smallest sketch with `least` documents."""
-    sketch = stored(sketches(rows, ["lang", "source"], values), "sketches")
+    sketch = stored(sketches(rows, ["lang", "source"], values), "sketches", files=FILES)
     own, lang, every = fences(sketch, ["lang", "source"]), fences(merged(sketch, ["lang"]), ["lang"]), fences(merged(sketch.withColumn("all", F.lit(1)), ["all"]), ["all"])
     names = [c for c in own.columns if c not in ("lang", "source", "n")]
     lang = lang.select(F.col("lang").alias("of_lang"), F.col("n").alias("lang_n"), *[F.col(c).alias(f"lang_{c}") for c in names])
@@ -150,7 +173,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = stored(measured(rows, "text", keep=["key", "lang", "source"]), "measured")
     count = {c: F.col(c) for c in _COUNTS}
     values = {m: metric(m, count) for m in METRICS}
-    limits = thresholds(rows, values, least)
+    limits = stored(thresholds(rows, values, least), "fences", files=FILES)
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
