@@ -157,11 +157,10 @@ class Network:
 
 def label_odds(number: np.ndarray, first: np.ndarray, label: np.ndarray, prior: float = 2.0) -> np.ndarray:
     """Smoothed log odds of label 1 for texts that have a bucket's words, against all texts."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.unique(text.astype(np.int64) * BUCKETS + number)
-    is_one = label[pairs // BUCKETS] == 1
-    with_one = np.bincount(pairs[is_one] % BUCKETS, minlength=BUCKETS)
-    with_zero = np.bincount(pairs[~is_one] % BUCKETS, minlength=BUCKETS)
+    having = np.zeros((2, BUCKETS))
+    for a, b, y in zip(first[:-1], first[1:], label, strict=True):
+        having[int(y == 1), np.unique(number[a:b])] += 1
+    with_zero, with_one = having
     ones, zeros = max(1, (label == 1).sum()), max(1, (label == 0).sum())
     odds = np.log((with_one + prior) / (ones + prior)) - np.log((with_zero + prior) / (zeros + prior))
     # A bucket that nothing was seen in says nothing.
@@ -210,9 +209,12 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     ints = T.ArrayType(T.IntegerType())
     table = map_texts(rows, "text", numbers, [field("word", ints), field("stem", ints)], keep=["key", "lang", "label"]).toArrow()
     table = table.sort_by([("key", "ascending")])
-    texts = [(w.values.to_numpy().astype(np.int32), s.values.to_numpy().astype(np.int32)) for w, s in zip(table["word"], table["stem"], strict=True)]
-    keys = table["key"].to_numpy()
-    return fit(texts, table["label"].to_numpy().astype(np.int64), table["lang"].to_pylist(), part_of(keys, 4), epochs=epochs)
+    # Views of the table's buffers: the sample is held once.
+    texts = [(w.values.to_numpy(), s.values.to_numpy()) for w, s in zip(table["word"], table["stem"], strict=True)]
+    network = fit(texts, table["label"].to_numpy().astype(np.int64), table["lang"].to_pylist(), part_of(table["key"].to_numpy(), 4), epochs=epochs)
+    del texts, table
+    pa.default_memory_pool().release_unused()
+    return network
 
 
 def scored(docs: DataFrame, network: Network, text: str, *, keep: list[str] | None = None, name: str = "score") -> DataFrame:
