@@ -10,7 +10,6 @@ from __future__ import annotations
 from math import log
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
