@@ -46,7 +46,6 @@ def _cuts() -> np.ndarray:
     """By classes of two neighbouring bytes: whether words are split between them whatever stands around."""
     out = np.zeros((6, 6), bool)
     out[1:4, 4:6] = True  # before white space
-    out[4, 1:4] = True  # after white space that does not join the next word
     for a in (1, 2, 3):
         for b in (1, 2, 3):
             out[a, b] = a != b
@@ -106,8 +105,9 @@ class Encoder:
     """Encodes many texts by their distinct pieces.
 
     A byte-level tokenizer splits texts into words before it merges anything. Texts are cut where that split has a
-    boundary whatever stands around: between two ASCII classes (letters, digits, others), before white space, and
-    after white space that is not a space. A text's ids are those of its pieces; only pieces a worker has not met go
+    boundary whatever stands around: between two ASCII classes (letters, digits, others), before white space, after
+    a single white space that is not a space, and before the last character of a longer run of white space that a
+    word follows. A text's ids are those of its pieces; only pieces a worker has not met go
     through the library, joined into longer texts at such boundaries. Texts with a special token go whole.
     """
 
@@ -135,7 +135,14 @@ class Encoder:
             # Contractions start with an apostrophe.
             cut[1:n] &= ~((data[:-1] == _APOSTROPHE) & (kind[1:] == 1))
             # Two-byte characters from U+00C0 on are no white space.
-            cut[2:n] |= (kind[2:] >= 4) & (data[1:-1] >= 0x80) & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+            word = (kind >= 1) & (kind <= 3)
+            solid = np.append(word[0], word[1:] | ((data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)))
+            cut[2:n] |= (kind[2:] >= 4) & solid[1:-1]
+            # A run of one stands alone if it is not a space; the last character of a longer run leaves the run before a word.
+            cut[2:n] |= word[2:] & (kind[1:-1] == 4) & solid[:-2]
+            head = np.zeros(n + 1, bool)
+            head[texts.offsets] = True
+            cut[1 : n - 1] |= word[2:] & (kind[1:-1] >= 4) & (kind[:-2] >= 4) & ~head[2:n]
         if self.special:
             raw = data.tobytes()
             for token in self.special:

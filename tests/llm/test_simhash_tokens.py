@@ -89,6 +89,25 @@ def test_tokens(llm, docs, corpus):
     assert {r["doc_id"]: (r["start"], len(r["ids"])) for r in rows} == {d: found[d][:2] for d in some[:2]}
 
 
+def test_pieces_of_white_space_runs():
+    from tokenizers import Tokenizer
+
+    from sinew.llm.text import Texts
+
+    runs = ["\n", "\t", "\n\n", "\n\n\n", "\n\n\n\n", "\t\t", "\t\t\t", " \n", "\n ", "\n  ", "  \n", "\r\n", "\r\n\r\n", "\n\t", " \n \n", "\u00a0\n", "\u2003\n", "\u3000 ", "\n\u00a0", "  ", "   ", "\x0b\x0c"]
+    sides = ["", "a", "Z9", "7", "!", "'s", "'", "é", "中", "\u0301", "«", "€5"]
+    cases = [left + run + right for run in runs for left in sides for right in sides]
+    cases += ["a\n\nb" + c for c in cases[:200]]
+    whole = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(cases, add_special_tokens=False)]
+    raw = [c.encode() for c in cases]
+    for size in (1, 50, len(cases)):
+        encoder = tokens.Encoder(PATH)
+        for a in range(0, len(cases), size):
+            part = raw[a : a + size]
+            ids, at = encoder.encode(Texts(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])])))
+            assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == whole[a : a + size]
+
+
 def test_tokens_of_repeated_and_null_keys(llm):
     rows = [(7, "a"), (7, "b"), (7, "b"), (None, "c"), (None, None), (3, None)]
     path = scratch(llm, "tokens")
