@@ -1,6 +1,6 @@
 """License scans with ordered signature rules, as built-in column functions only.
 
-A text that holds none of the gate strings has no signature. In the others every word that begins a rule (its lead)
+A text that holds none of the gate's parts of words has no signature. In the others every word that begins a rule (its lead)
 opens a stretch of words, which only the rules of that lead are tried on. Detections are intervals of words; one that lies
 inside another of the same or a higher priority is suppressed.
 """
@@ -113,23 +113,45 @@ SENTENCES = [
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 ]
 VERBS = "licensed|released|distributed|published|available|provided|dual licensed|covered|shared"
-#: A text without any of these strings (lower-cased) has no signature.
-GATE = ["licen", "copyright", "spdx", "gpl", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc0", "rights reserved", "proprietary", "advertising materials", "free software", "apache 2", "apache-2", "bsd", "mpl", "cddl", "eupl", "odbl", "epl ", "wtfpl", "mit no attribution", "dedication", "terms of use", "disclaimer", "as is"]
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 STRETCH = 28  # words a rule may look at
 #: By priority: a name; a name with its version; a sentence of the text; a grant; an identifier line.
 CONFIDENCE = {1: 0.6, 2: 0.75, 3: 0.85, 4: 0.95, 5: 1.0}
 
 
-def _leads(pattern: str) -> list[str]:
-    """First words of the alternatives; groups do not open a pattern."""
+def _alternatives(pattern: str) -> list[str]:
     depth, start, out = 0, 0, []
     for i, c in enumerate(pattern + "|"):
         depth += (c == "(") - (c == ")")
         if c == "|" and depth == 0:
-            out.append(re.match("[a-z0-9]+", pattern[start:i])[0])
+            out.append(pattern[start:i])
             start = i + 1
-    return sorted(set(out))
+    return out
+
+
+def _leads(pattern: str) -> list[str]:
+    """First words of the alternatives; groups do not open a pattern."""
+    return sorted({re.match("[a-z0-9]+", a)[0] for a in _alternatives(pattern)})
+
+
+def _fragments(pattern: str) -> list[str]:
+    """Runs of letters and digits that every match of an alternative holds: no groups, sets, classes or optional characters."""
+    while (inner := re.sub(r"\((?:\?:)?[^()]*\)[?*]?", "~", pattern)) != pattern:
+        pattern = inner
+    return re.findall("[a-z0-9]+", re.sub(r"\[[^]]*\]|\\.[*+?]?|\{[^}]*\}|.[?*]", "~", pattern))
+
+
+def gate() -> list[str]:
+    """Parts of single words, one for every alternative of the rules and base phrases: a text without any has no signature.
+
+    Grants hold a name. Words of a rule may stand apart by any punctuation or line breaks, so no part spans two words.
+    """
+    chosen = {"spdx"}
+    for pattern in [*NAMES.values(), *(p for _, p in SENTENCES), *BASE]:
+        for alternative in _alternatives(pattern):
+            parts = _fragments(alternative)
+            chosen.add("licen" if any(p.startswith("licen") for p in parts) else max(parts, key=len))
+    return sorted(c for c in chosen if not any(o != c and o in c for o in chosen))
 
 
 def _rule(label: str, priority: int, pattern: str, leads: list[str] | None = None) -> dict:
@@ -166,7 +188,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     leads = F.array(*[F.lit(x) for x in sorted({w for r in table for w in r["leads"]} | {p.split(" ")[0] for p in BASE})])
     low = F.col("_low")
     gated = F.lit(False)
-    for g in GATE:
+    for g in gate():
         gated = gated | F.contains(low, F.lit(g))
     words = F.when(gated, F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("_low", _lowered(text)).withColumn("n_words", F.regexp_count(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")).withColumn("_words", words)

@@ -40,6 +40,23 @@ def test_scan(llm):
         assert r["score"] == max([L.CONFIDENCE[d[2]] for d in expected] + ([0.6] if r["n_base"] else [0.0]))
 
 
+APART = [
+    "Photos: CC-BY-SA 4.0", "EPL-2.0", "GFDL 1.3", "CeCILL-2.1", "ASL 2.0", "Apache (2.0)", "released into the public\ndomain", "Creative\nCommons\tZero", "MIT-no-attribution",
+    "neither the name of X nor the names of its contributors may be used", "all\nrights\nreserved", "European-Union-Public-Licence", "Unicode: terms\nof use", "AGPLv3", "all advertising\nmaterials mentioning features or use of this software", "nothing of the kind",
+]
+
+
+def test_gate_lets_no_rule_out(llm):
+    df = llm.createDataFrame(list(enumerate(APART)), "doc_id int, text string")
+    for r in L.licences(df).collect():
+        assert sorted(tuple(d) for d in r["detections"]) == brute(APART[r["doc_id"]]), APART[r["doc_id"]]
+    assert all(brute(t) for t in APART[:-1])
+    assert all(re.fullmatch("[a-z0-9]+", part) for part in L.gate())
+    for pattern in [*L.NAMES.values(), *(p for _, p in L.SENTENCES), *L.BASE]:
+        for alternative in L._alternatives(pattern):
+            assert any(part in fragment for part in L.gate() for fragment in L._fragments(alternative)), alternative
+
+
 def test_rules_are_gated_by_their_leads():
     table = L.rules()
     assert len(table) > 200
