@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -97,3 +98,34 @@ def field(name: str, kind: T.DataType) -> T.StructField:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def digests(df: DataFrame, keys: list[str], order: list[str], piece: str, separator: str, name: str) -> DataFrame:
+    """(keys, name): lowercase SHA-256 of each key's pieces in `order`, joined by `separator`; null pieces are left out.
+
+    Rows of a key run through one sorted task and are hashed as they come, so no key is ever held as a whole.
+    """
+    schema = T.StructType([*(df.schema[k] for k in keys), field(name, T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, started = None, None, False
+        for batch in batches:
+            done = []
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != current:
+                    if current is not None:
+                        done.append([*current, state.hexdigest()])
+                    current, state, started = key, hashlib.sha256(), False
+                if text is not None:
+                    state.update((separator + text if started else text).encode())
+                    started = True
+            if done:
+                yield _rows(done)
+        if current is not None:
+            yield _rows([[*current, state.hexdigest()]])
+
+    def _rows(values: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*values, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.select(*keys, *order, piece).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, piece).mapInArrow(run, schema)

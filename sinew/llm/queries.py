@@ -17,6 +17,7 @@ from sinew.llm.mixing import mixed
 from sinew.llm.parsing import repeats
 from sinew.llm.positive_unlabelled import quality
 from sinew.llm.quality_rules import judged
+from sinew.llm.repair import audited, damaged
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
 from sinew.llm.toxicity import toxicity
@@ -88,4 +89,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+@register("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return audited(conversations, damaged(conversations))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -121,3 +121,89 @@ def licence_base(text):
     places = [(i, label) for i in range(len(w)) for phrase, label in PHRASES.items() if tuple(w[i : i + len(phrase)]) == phrase]
     starts = [i for i, _ in places]
     return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def damage(rows):
+    """rows: (conv_id, turn, role, text) with None; the rows after damage, in order, by conversation."""
+    out = {}
+    for conv, turn, role, text in rows:
+        name = lambda x: " " if x is None else str(x)
+        kind = zlib.crc32(f"{name(conv)}:{name(turn)}".encode()) % 20
+        own = out.setdefault(conv, [])
+        role, text = name(role), name(text)
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        own += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    for own in out.values():
+        own.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    return out
+
+
+def faults(rows):
+    """0 none, 1 blank, 2 duplicate, 3 truncated for (turn, role, text) rows."""
+    seen, out = set(), []
+    for _, role, text in rows:
+        said = re.findall("[^\x20\x09-\x0d]", text)
+        out.append(1 if not said else 2 if (role, text) in seen else 3 if said[-1] not in ".!?" else 0)
+        seen.add((role, text))
+    return out
+
+
+def repair(rows):
+    """(cost, audit, lines) of the cheapest repair, by recursion over rows and the initials so far."""
+    marks = faults(rows)
+
+    def state(initials):
+        for k, pattern in enumerate(("", "s", "s?(ua)*u", "s?(ua)+")):
+            if re.fullmatch(pattern, initials):
+                return ("", "s", "u", "ua")[k]
+        return None
+
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def best(i, so_far, inserts):
+        options = []
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", so_far):
+            options.append((0, "", ()))
+
+        def go(cost, letter, j, initials, line, k):
+            after = state(initials)
+            if after is not None:
+                rest = best(j, after, k)
+                if rest is not None:
+                    options.append((cost + rest[0], letter + rest[1], (*line, *rest[2])))
+
+        if inserts < 2:
+            for role in ("user", "assistant"):
+                go(5, "I", i, so_far + role[0], (f"{role}:",), inserts + 1)
+        if i < len(rows):
+            _, role, text = rows[i]
+            go(2, "D", i + 1, so_far, (), 0)
+            if marks[i] not in (1, 2):
+                extra = 5 if marks[i] == 3 else 0
+                go(extra, "K", i + 1, so_far + role[:1], (f"{role}:{text}",), 0)
+                for new in ("user", "assistant"):
+                    go(1 + extra, "R", i + 1, so_far + new[0], (f"{new}:{text}",), 0)
+        return min(options, key=lambda x: x[:2], default=None)
+
+    # Bounded recursion: from the end backwards, so that the cache is filled step by step.
+    for i in range(len(rows), -1, -1):
+        for so_far in ("", "s", "u", "ua"):
+            best(i, so_far, 0)
+    return best(0, "", 0)
+
+
+def audit(conversations):
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of the damaged rows."""
+    out = {}
+    for conv, rows in damage(conversations).items():
+        turns = [t for t, _, _ in rows if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        marks = faults(rows)
+        initials = [r[:1] for _, r, _ in rows]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, letters, lines = repair(rows)
+        out[conv] = (gaps, marks.count(1), marks.count(2), marks.count(3), illegal, cost, letters, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
