@@ -21,6 +21,8 @@ from sinew.llm.repair import audited, damaged
 from sinew.llm.simhash import near_duplicates
 from sinew.llm.tokens import token_digest, write_tokens
 from sinew.llm.toxicity import toxicity
+from sinew.llm.trie import prefix_trie, rebuilt
+from sinew.llm.wordtable import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,10 +91,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+@register("op11_conversation_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 @register("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return audited(conversations, damaged(conversations))
 
 
+@register("op13_bpe_words")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

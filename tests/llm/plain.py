@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -207,3 +208,32 @@ def audit(conversations):
         cost, letters, lines = repair(rows)
         out[conv] = (gaps, marks.count(1), marks.count(2), marks.count(3), illegal, cost, letters, hashlib.sha256("\n".join(lines).encode()).hexdigest())
     return out
+
+
+def trie(rows):
+    """Sorted node tuples of the rebuilt conversations of rows (conv_id, turn, role, text)."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [r[2:] for r in sorted(t)] for c, t in own.items()}
+    built = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = turns.get(c - int(np.fmod(c, 20)), [])[:h] + turns[c][h:]
+    members, ends = {}, {}
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members.setdefault(tuple(path[:d]), []).append(c)
+        ends.setdefault(tuple(path), []).append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, own_ in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(own_) - 1) * len(spaced(p[-1][1])) if p else 0
+    out = []
+    for p, own_ in members.items():
+        ids = ",".join(map(str, sorted(ends.get(p, []))))
+        out.append((min(own_), len(p), min(members[p[:-1]]) if p else None, len(own_), children[p], leaves[p], saved[p], hashlib.sha256(ids.encode()).hexdigest()))
+    return sorted(out, key=str)
