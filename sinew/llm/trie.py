@@ -4,12 +4,12 @@ A conversation is a sequence of turns; every prefix has a 128-bit hash, a runnin
 A compacted node stands for the stretch of depths (a, b] between two branchings or ends, with one conversation that runs
 through it. It is filed under the hash of its prefix at its handle: the depth in (a, b] with most trailing zero bits.
 
-Conversations are located in batches by fat binary search: for each number of trailing zeros, from many to none, the one
+Conversations come in batches and are located by fat binary search: for each number of trailing zeros, from many to none, the one
 depth of that kind within a conversation's bounds is looked up among the handles of that kind. A hit moves the lower
 bound to the node's end, a miss the upper bound below the depth; a hash of every step is shuffled once for all levels.
-The search ends at the exit node. Of all conversations that leave the trie at one point by the same turn one, drawn by a
-hash, becomes a leaf; points inside stretches become nodes; the others start the next round from the point. A round halves
-the conversations of a group on average, so rounds grow with the logarithm of the largest group.
+The search ends at the exit node. Of all conversations of a batch that leave the trie at one point by the same turn one, drawn by a
+hash, becomes a leaf, and points inside stretches become nodes; the others follow the new leaf's stretch to their next point.
+A round halves the conversations of a group on average, so rounds grow with the logarithm of the largest group.
 
 Sums over subtrees go up by doubling jumps along the parents; then stretches are expanded to a row per depth. Copies of a
 conversation are one string with a number of members, so a group of copies of any size costs its rows only.
@@ -24,6 +24,7 @@ from sinew.llm.frames import digests, stored
 from sinew.ordered import Scan, chunk_of, dense_index, running
 
 CHUNK_ROWS = 4096
+BATCHES = (6, 100)  # hundredths of the conversations that are in the trie after each batch
 FAMILY, SHARED = 20, 4  # conversations of one family share up to SHARED - 1 opening turns
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,59 +84,68 @@ def _filed(nodes: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def locate(strings: DataFrame, nodes: DataFrame, steps: DataFrame, levels: int) -> DataFrame:
-    """Fat binary search: `strings` (s, len, …, lo, lok, low) with lo at the deepest node of each one's path, and `exit`,
-    the node inside whose stretch it ends or leaves, if the search met that node."""
-    kept = [c for c in strings.columns if c not in ("lo", "lok", "low")]
-    now = strings.select("*", F.col("len").alias("hi"), F.lit(False).alias("unsure"), F.lit(None).cast("binary").alias("exit"))
+    """Fat binary search: `strings` (s, len, …) with lo, lok and low, the depth, hash and words of the deepest node that a hit led to,
+    and `exit`, the node inside whose stretch the string ends or leaves, if that is the node of the last hit.
+
+    A hit only says that a string has the node's prefix up to its handle. The search goes on from the node's end: if the string
+    leaves earlier, nothing below can be hit, and one comparison at the end tells.
+    """
+    zero = F.lit(0).cast("long")
+    now = strings.select("*", zero.alias("lo"), root().alias("lok"), zero.alias("low"), F.col("len").alias("hi"), F.lit(None).cast("binary").alias("exit"))
     for n, level in enumerate(range(levels - 1, -1, -1)):
         unit = 1 << level
         # Bounds hold one multiple of the unit at most: higher levels have dealt with their own.
         ask = F.expr(f"shiftleft(shiftright(hi, {level}), {level})")
-        of_level = lambda c: F.expr(f"{c} & {2 * unit - 1} = {unit}")
-        now = now.select(
-            "*", F.when(F.col("exit").isNull() & (ask > F.col("lo")), ask).alias("ask"),
-            F.when(F.col("exit").isNull() & F.col("unsure") & of_level("lo"), F.col("lo")).alias("check"),
-        )
-        hashes = steps.where(of_level("d"))
-        now = now.join(hashes.select(F.col("c").alias("s"), F.col("d").alias("ask"), F.col("k").alias("handle")), ["s", "ask"], "left")
-        now = now.join(hashes.select(F.col("c").alias("s"), F.col("d").alias("check"), F.col("k").alias("seen")), ["s", "check"], "left")
+        now = now.withColumn("ask", F.when(F.col("exit").isNull() & (ask > F.col("lo")), ask))
+        hashes = steps.where(f"d & {2 * unit - 1} = {unit}").select(F.col("c").alias("s"), F.col("d").alias("ask"), F.col("k").alias("handle"))
         filed = nodes.where(F.col("level") == level).select("handle", F.col("k").alias("hit"), F.col("b").alias("hit_b"), F.col("upto").alias("hit_upto"))
-        now = now.join(filed, "handle", "left")
-        failed = F.col("check").isNotNull() & (F.col("seen") != F.col("lok"))
-        leaves = F.when(F.col("exit").isNotNull(), F.col("exit")).when(failed, F.col("lok")).when(F.col("hit_b") > F.col("hi"), F.col("hit"))
-        moved = F.col("out").isNull() & F.col("hit").isNotNull()
-        now = now.withColumn("out", leaves).select(
-            *kept,
+        now = now.join(hashes, ["s", "ask"], "left").join(filed, "handle", "left")
+        beyond = F.col("hit_b") > F.col("hi")
+        moved = F.col("hit").isNotNull() & ~beyond
+        now = now.select(
+            *strings.columns,
             *[F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (("lo", "hit_b"), ("lok", "hit"), ("low", "hit_upto"))],
-            F.when(F.col("out").isNull() & F.col("ask").isNotNull() & F.col("hit").isNull(), F.col("ask") - 1).otherwise(F.col("hi")).alias("hi"),
-            F.when(moved, F.col("hit_b") != F.col("ask")).otherwise(F.col("unsure") & F.col("check").isNull()).alias("unsure"),
-            F.col("out").alias("exit"),
+            F.when(F.col("ask").isNotNull() & F.col("hit").isNull(), F.col("ask") - 1).otherwise(F.col("hi")).alias("hi"),
+            F.when(beyond, F.col("hit")).otherwise(F.col("exit")).alias("exit"),
         )
-        if n % 3 == 2:
+        if n % 5 == 4:
             now = stored(now, "search")
-    return now.select(*kept, "lo", "lok", "low", "exit")
+    seen = steps.select(F.col("c").alias("s"), F.col("d").alias("lo"), F.col("k").alias("seen"))
+    left = (F.col("lo") > 0) & (F.col("seen") != F.col("lok"))
+    return now.join(seen, ["s", "lo"], "left").select(*strings.columns, "lo", "lok", "low", F.when(left, F.col("lok")).otherwise(F.col("exit")).alias("exit"))
 
 
-def _points(found: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """Where located strings leave the trie: (s, len, key, upto, exit, at, pk, pw, turn); `exit` is set inside a stretch,
-    `turn` is the hash one turn beyond the point (null if the string ends there)."""
-    plain = ["s", "len", "key", "upto"]
+_PLAIN = ["s", "len", "key", "upto"]
+
+
+def _beyond(points: DataFrame, steps: DataFrame) -> DataFrame:
+    """`turn`, the hash one turn beyond each point (null if the string ends there)."""
+    following = steps.select(F.col("c").alias("s"), (F.col("d") - 1).alias("at"), F.col("k").alias("turn"))
+    return points.join(following, ["s", "at"], "left").select(*_PLAIN, "exit", "at", "pk", "pw", "turn")
+
+
+def _entries(found: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """Where located strings leave the trie: (s, len, key, upto, exit, at, pk, pw, turn); `exit` is set inside a stretch."""
     step = steps.select(F.col("c").alias("s"), F.col("d").alias("next"), F.col("k").alias("turn"))
     children = nodes.select(F.col("first").alias("turn"), F.col("k").alias("child"))
     found = found.withColumn("next", F.when(F.col("exit").isNull(), F.col("lo") + 1)).join(step, ["s", "next"], "left").join(children, "turn", "left")
     found = stored(found.withColumn("exit", F.coalesce("exit", "child")).drop("child", "next"), "found")
-    outside = found.where("exit IS NULL").select(*plain, "exit", F.col("lo").alias("at"), F.col("lok").alias("pk"), F.col("low").alias("pw"), "turn")
-    stretch = nodes.select(F.col("k").alias("exit"), "a", "b", "rep")
-    inside = found.where("exit IS NOT NULL").select(*plain, "exit").join(stretch, "exit")
+    outside = found.where("exit IS NULL").select(*_PLAIN, "exit", F.col("lo").alias("at"), F.col("lok").alias("pk"), F.col("low").alias("pw"), "turn")
+    return outside.unionByName(_inside(found.where("exit IS NOT NULL").select(*_PLAIN, "exit"), nodes, steps))
+
+
+def _inside(strings: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """The same for strings that enter the stretch of the node `exit`: how far they go along with it. At its end `exit` is null."""
     own = steps.select(F.col("c").alias("s"), "d", "k", F.col("upto").alias("pw"))
     its = steps.select(F.col("c").alias("rep"), "k")
-    common = inside.join(own, "s").where("d > a AND d <= least(b, len)").join(its, ["rep", "k"]).groupBy(*plain, "exit").agg(F.max(F.struct("d", "k", "pw")).alias("x"))
-    common = common.select(*plain, "exit", F.col("x.d").alias("at"), F.col("x.k").alias("pk"), F.col("x.pw").alias("pw"), (F.col("x.d") + 1).alias("next"))
-    return outside.unionByName(common.join(step, ["s", "next"], "left").drop("next"))
+    entered = strings.join(nodes.select(F.col("k").alias("exit"), "a", "b", "rep"), "exit")
+    common = entered.join(own, "s").where("d > a AND d <= least(b, len)").join(its, ["rep", "k"]).groupBy(*_PLAIN, "exit", "b").agg(F.max(F.struct("d", "k", "pw")).alias("x"))
+    points = common.select(*_PLAIN, F.when(F.col("x.d") < F.col("b"), F.col("exit")).alias("exit"), F.col("x.d").alias("at"), F.col("x.k").alias("pk"), F.col("x.pw").alias("pw"))
+    return _beyond(points, steps)
 
 
 def _insert(points: DataFrame, nodes: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes after a round, and the strings still to come, from their points on."""
+    """The nodes with the points and a leaf for one string of each group, and the other strings with the leaf they go along with."""
     bare = NODE[:7]
     cuts = points.where("exit IS NOT NULL").select(F.col("exit").alias("node"), "at", "pk", "pw").distinct()
     along = Window.partitionBy("node").orderBy("at")
@@ -147,28 +157,35 @@ def _insert(points: DataFrame, nodes: DataFrame, steps: DataFrame) -> tuple[Data
     lowest = cuts.groupBy("node").agg(F.max(F.struct("at", "pk", "pw")).alias("x")).select(F.col("node").alias("k"), "x")
     rest = nodes.join(lowest, "k").select("k", F.col("x.at").alias("a"), "b", "rep", F.col("x.pk").alias("parent"), F.col("x.pw").alias("above"), "upto")
     chosen = points.where("turn IS NOT NULL").groupBy("turn").agg(F.min_by(F.struct("s", "len", "key", "upto", "at", "pk", "pw"), F.struct(F.xxhash64("s"), "s")).alias("x"))
-    chosen = stored(chosen.select("x.*"), "leaves")
+    chosen = stored(chosen.select("turn", "x.*"), "leaves")
     leaves = chosen.select(F.col("key").alias("k"), F.col("at").alias("a"), F.col("len").alias("b"), F.col("s").alias("rep"), F.col("pk").alias("parent"), F.col("pw").alias("above"), "upto")
     changed = split.unionByName(rest).unionByName(leaves).select(*bare)
     nodes = nodes.join(lowest, "k", "left_anti").unionByName(_filed(changed, steps))
-    others = points.where("turn IS NOT NULL").join(chosen, "s", "left_anti")
-    return nodes, others.select("s", "len", "key", "upto", F.col("at").alias("lo"), F.col("pk").alias("lok"), F.col("pw").alias("low"))
+    others = points.where("turn IS NOT NULL").join(chosen.select("turn", F.col("s").alias("first"), F.col("key").alias("leaf")), "turn").where("s <> first")
+    return nodes, others.select(*_PLAIN, F.col("leaf").alias("exit"))
 
 
-def build(strings: DataFrame, steps: DataFrame) -> DataFrame:
+def build(strings: DataFrame, steps: DataFrame, *, shares: tuple[int, ...] = BATCHES) -> DataFrame:
     """Compacted nodes below the root, from distinct `strings` (s, len, key, upto) and their `steps` (c, d, k, words, upto).
 
     Columns k (hash of the prefix that ends the stretch), a, b (its depths (a, b]), rep (a string through it), parent (k of the
-    node at depth a), above and upto (words up to depth a and b), and the hashes it is filed under.
+    node at depth a), above and upto (words up to depth a and b), and the hashes it is filed under. Strings come in batches by a hash;
+    `shares` are the hundredths that have come after each batch.
     """
     spark = strings.sparkSession
-    open_ = strings.where("len > 0").select("*", F.lit(0).cast("long").alias("lo"), root().alias("lok"), F.lit(0).cast("long").alias("low"))
+    strings = strings.where("len > 0").select(*_PLAIN)
     levels = strings.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0].bit_length()
     nodes = spark.createDataFrame([], "k binary, a long, b long, rep long, parent binary, above long, upto long, handle binary, first binary, level int")
-    while not open_.isEmpty():
-        points = stored(_points(locate(open_, nodes, steps, levels), nodes, steps), "points")
-        nodes, open_ = _insert(points, nodes, steps)
-        nodes, open_ = stored(nodes, "nodes"), stored(open_, "open")
+    place = F.pmod(F.xxhash64("key"), F.lit(100))
+    for low, high in zip((0, *shares[:-1]), shares, strict=True):
+        batch = strings.where((place >= low) & (place < high))
+        points = stored(_entries(locate(batch, nodes, steps, levels), nodes, steps), "points")
+        while True:
+            nodes, others = _insert(points, nodes, steps)
+            nodes, others = stored(nodes, "nodes"), stored(others, "others")
+            if others.isEmpty():
+                break
+            points = stored(_inside(others, nodes, steps), "points")
     return nodes
 
 
