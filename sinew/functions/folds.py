@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sinew.ordered import CHUNK, chunk_of
+from sinew.session import settle
 
 Chunk = dict[str, np.ndarray]
 
@@ -27,34 +28,35 @@ def chunk_fold(
     size: int,
     *,
     start: Sequence[float],
-    summarise: Callable[[Chunk], np.ndarray],
+    summarise: Callable[[list[Chunk]], list[np.ndarray]],
     advance: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    replay: Callable[[Chunk, np.ndarray], dict[str, np.ndarray]],
+    replay: Callable[[list[Chunk], list[np.ndarray]], list[dict[str, np.ndarray]]],
     outputs: Sequence[T.StructField],
 ) -> DataFrame:
     """Fold ``columns`` in ``order`` per session; adds ``outputs`` for the rows ``replay`` returns.
 
-    ``summarise(chunk)`` gives the chunk's state map as numbers, ``advance(map, state)`` applies
-    it, ``replay(chunk, state)`` gives arrays including ``order``.
+    ``summarise(chunks)`` gives the chunks' state maps as numbers, ``advance(map, state)`` applies
+    one, ``replay(chunks, states)`` gives arrays including ``order``; both take a batch of chunks at once. The packed
+    chunks are written once and read for the maps and for the replay.
     """
     rows = F.sort_array(F.collect_list(F.struct(order, *columns)))
     packed = (
         df.groupBy("session_id", chunk_of(order, size).alias(CHUNK)).agg(rows.alias("_rows"))
         .select("session_id", CHUNK, *[F.col(f"_rows.{c}").alias(c) for c in (order, *columns)])
     )
+    packed = settle(packed)
     session = df.schema["session_id"]
     chunk_field = T.StructField(CHUNK, T.LongType())
     numbers = T.ArrayType(T.DoubleType())
     names = [order, *columns]
 
-    def chunks(frame: pd.DataFrame) -> Iterator[Chunk]:
-        for values in zip(*[frame[c] for c in names]):
-            yield {c: np.asarray(v) for c, v in zip(names, values)}
+    def chunks(frame: pd.DataFrame) -> list[Chunk]:
+        return [{c: np.asarray(v) for c, v in zip(names, values)} for values in zip(*[frame[c] for c in names])]
 
     def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = frame[["session_id", CHUNK]].copy()
-            out["_map"] = [summarise(c).tolist() for c in chunks(frame)]
+            out["_map"] = [m.tolist() for m in summarise(chunks(frame))]
             yield out
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,10 +73,8 @@ def chunk_fold(
 
     def replays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts = []
-            for sid, entry, chunk in zip(frame["session_id"], frame["_entry"], chunks(frame)):
-                result = replay(chunk, np.asarray(entry, dtype=float))
-                parts.append(pd.DataFrame(result).assign(session_id=sid))
+            results = replay(chunks(frame), [np.asarray(e, dtype=float) for e in frame["_entry"]])
+            parts = [pd.DataFrame(r).assign(session_id=sid) for sid, r in zip(frame["session_id"], results)]
             if parts:
                 yield pd.concat(parts)[["session_id", order, *[f.name for f in outputs]]]
 
@@ -86,33 +86,49 @@ def chunk_fold(
     return entered.mapInPandas(replays, T.StructType([session, df.schema[order], *outputs]))
 
 
+def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences side by side, and their lengths."""
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    out = np.zeros((len(rows), int(sizes.max(initial=0))))
+    for held, row in zip(out, rows):
+        held[: len(row)] = row
+    return out, sizes
+
+
 # ------------------------------------------------------------------------ rate-limited following
 
 
-def _toward(state: float, target: float, limit: float, low: float, high: float) -> float:
-    delta = target - state
-    moved = target if abs(delta) <= limit else state + (limit if delta > 0 else -limit)
-    return min(max(moved, low), high)
+def follow_many(targets: list[np.ndarray], states: np.ndarray, limit: float, low: float, high: float) -> list[np.ndarray]:
+    """Values that move towards their target by at most ``limit`` a row and stay within low and high; all sequences a row at a time."""
+    lines, sizes = padded(targets)
+    out = np.empty(lines.shape)
+    for j, target in enumerate(lines.T):
+        states = np.clip(np.maximum(states - limit, np.minimum(states + limit, target)), low, high)
+        out[:, j] = states
+    return [o[:n] for o, n in zip(out, sizes)]
 
 
 def follow(targets: np.ndarray, state: float, limit: float, low: float, high: float) -> np.ndarray:
+    """The same for one sequence."""
     out = np.empty(len(targets))
     for n, target in enumerate(targets.tolist()):
-        out[n] = state = _toward(state, target, limit, low, high)
+        out[n] = state = min(max(max(state - limit, min(state + limit, target)), low), high)
     return out
 
 
-def follow_map(targets: np.ndarray, limit: float, low: float, high: float) -> np.ndarray:
-    """Exit state as a piecewise linear function of the entry state: knots x then values y.
+def follow_maps(targets: list[np.ndarray], limit: float, low: float, high: float) -> list[np.ndarray]:
+    """Exit states as piecewise linear functions of the entry state: knots x then values y.
 
-    One step never decreases and never widens distances, so the composition is made of slopes 0
-    and 1. When both extremes meet, which is the usual case, it is constant.
+    One step never decreases and never widens distances. Where both extremes meet, which is the usual case, the map is constant.
     """
-    a, b = low, high
-    for target in targets.tolist():
-        a, b = _toward(a, target, limit, low, high), _toward(b, target, limit, low, high)
-    if a == b:
-        return np.array([low, high, a, b])
+    bottom, top = (follow_many(targets, np.full(len(targets), edge), limit, low, high) for edge in (low, high))
+    return [
+        np.array([low, high, a[-1], b[-1]]) if a[-1] == b[-1] else _follow_map(t, limit, low, high)
+        for t, a, b in zip(targets, bottom, top)
+    ]
+
+
+def _follow_map(targets: np.ndarray, limit: float, low: float, high: float) -> np.ndarray:
     xs, ys = np.array([low, high]), np.array([low, high])
     for target in targets.tolist():
         for level in (target - limit, target + limit, low - limit, high + limit):
@@ -137,8 +153,18 @@ def follow_advance(step: np.ndarray, state: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- threshold emission
 
 
+def emissions_many(values: list[np.ndarray], last: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Flags of values that differ from the last emitted one by at least ``threshold``; all sequences a row at a time."""
+    lines, sizes = padded(values)
+    flags, last = np.zeros(lines.shape, dtype=bool), last.copy()
+    for j, v in enumerate(lines.T):
+        flags[:, j] = np.abs(v - last) >= threshold
+        last = np.where(flags[:, j], v, last)
+    return [f[:n] for f, n in zip(flags, sizes)]
+
+
 def emissions(values: np.ndarray, last: float, threshold: float) -> np.ndarray:
-    """Flags of values that differ from the last emitted one by at least ``threshold``."""
+    """The same for one sequence."""
     flags = np.zeros(len(values), dtype=bool)
     for n, v in enumerate(values.tolist()):
         if abs(v - last) >= threshold:
@@ -146,37 +172,31 @@ def emissions(values: np.ndarray, last: float, threshold: float) -> np.ndarray:
     return flags
 
 
-def emission_map(values: np.ndarray, threshold: float) -> np.ndarray:
+def emission_maps(values: list[np.ndarray], threshold: float) -> list[np.ndarray]:
     """(value, exit) for each value an unknown entry may first be emitted at.
 
     The first value too far from the entry is always a new maximum or minimum of the chunk, and
     from there on the chain of emissions no longer depends on the entry. Once the extremes are
-    two thresholds apart no entry can still be silent.
+    two thresholds apart no entry can still be silent. The chains of all candidates of all chunks run side by side.
     """
-    items = values.tolist()
-    exits: dict[int, float] = {}
-
-    def chain(n: int) -> float:
-        path, last = [n], items[n]
-        for m in range(n + 1, len(items)):
-            if abs(items[m] - last) >= threshold:
-                if m in exits:
-                    last = exits[m]
-                    break
-                last = items[m]
-                path.append(m)
-        for p in path:
-            exits[p] = last
-        return last
-
-    low, high, pieces = np.inf, -np.inf, []
-    for n, v in enumerate(items):
-        if v < low or v > high:
-            pieces.append((v, chain(n)))
-            low, high = min(low, v), max(high, v)
-        if high - low >= 2 * threshold:
-            break
-    return np.array(pieces, dtype=float).ravel()
+    lines, sizes = padded(values)
+    owner, start = [], []
+    for n, v in enumerate(values):
+        high, low = np.maximum.accumulate(v), np.minimum.accumulate(v)
+        fresh = np.concatenate([[True], (v[1:] > high[:-1]) | (v[1:] < low[:-1])])
+        apart = np.flatnonzero(high - low >= 2 * threshold)
+        at = np.flatnonzero(fresh[: apart[0] + 1] if len(apart) else fresh)
+        owner.append(np.full(len(at), n))
+        start.append(at)
+    owner, start = np.concatenate(owner), np.concatenate(start)
+    last = lines[owner, start]
+    first = last.copy()
+    for j in range(1, lines.shape[1]):
+        v = lines[owner, j]
+        moved = (start < j) & (j < sizes[owner]) & (np.abs(v - last) >= threshold)
+        last = np.where(moved, v, last)
+    pieces = np.stack([first, last], axis=1)
+    return [pieces[owner == n].ravel() for n in range(len(values))]
 
 
 def emission_advance(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -186,3 +206,53 @@ def emission_advance(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.
         return np.array([pieces[hit[0], 1]]) if len(hit) else state
 
     return advance
+
+
+# ----------------------------------------------------------------------------------- collecting
+
+
+class Collected:
+    """Where a sequence of kinds 0 … kinds − 1 has shown every kind since the last such place, by jump pointers.
+
+    From any place the next full set ends at the largest of the kinds' next places, so full sets form chains, and doubling jumps
+    follow all of them at once.
+    """
+
+    def __init__(self, kind: np.ndarray, kinds: int):
+        self.n, self.kinds = len(kind), kinds
+        self.places = [np.flatnonzero(kind == c) for c in range(kinds)]
+        after = np.arange(-1, self.n)
+        self.next = np.stack([np.append(p, self.n)[np.searchsorted(p, after, "right")] for p in self.places])
+        # The place n stands for "not in this chunk".
+        self.jump = np.append(self.next.max(axis=0)[1:], self.n)
+
+    def first(self, mask: int) -> int:
+        """The first full set when the kinds of ``mask`` were seen before the chunk."""
+        return max(int(self.next[c, 0]) for c in range(self.kinds) if not mask >> c & 1)
+
+    def exits(self) -> list[int]:
+        """The kinds seen since the last full set, by the kinds seen before the chunk."""
+        last = np.array([p[-1] if len(p) else -1 for p in self.places])
+        bits = 1 << np.arange(self.kinds)
+        end = np.where(self.jump == self.n, np.arange(self.n + 1), self.jump)
+        for _ in range(self.n.bit_length()):
+            end = end[end]
+        out = []
+        for mask in range((1 << self.kinds) - 1):
+            q = self.first(mask)
+            out.append(mask | int(bits[last >= 0].sum()) if q == self.n else int(bits[last > end[q]].sum()))
+        return out
+
+    def ends(self, mask: int) -> np.ndarray:
+        """Places of all full sets after ``mask``."""
+        reached = np.zeros(self.n + 1, dtype=bool)
+        reached[self.first(mask)] = True
+        jump = self.jump
+        for _ in range(self.n.bit_length() + 1):
+            reached[jump[np.flatnonzero(reached)]] = True
+            jump = jump[jump]
+        return np.flatnonzero(reached[: self.n])
+
+    def latest(self, at: np.ndarray) -> np.ndarray:
+        """(kinds, places) the last place of each kind up to ``at``, −1 if there is none."""
+        return np.stack([np.append(-1, p)[np.searchsorted(p, at, "right")] for p in self.places])

@@ -70,48 +70,41 @@ def assemble_scans(readings: DataFrame, channels: int = CHANNELS) -> DataFrame:
 
 
 def assemble_channels(readings: DataFrame, channels: int = CHANNELS, *, size: int = 16384) -> DataFrame:
-    """Any reading order: a sample each time all channels were seen since the last one.
+    """Any reading order: a sample each time all channels were seen since the last one; the latest values win.
 
     The state is the set of channels seen and the latest values. Per chunk the map over all sets
-    is tabulated, so chunks can be replayed independently.
+    is tabulated, so chunks can be replayed independently. Readings of other channels are left out.
     """
     full = (1 << channels) - 1
 
-    def walk(bits: list[int], mask: int) -> int:
-        for b in bits:
-            mask |= b
-            if mask == full:
-                mask = 0
-        return mask
-
-    def summarise(chunk: folds.Chunk) -> np.ndarray:
-        bits = [1 << int(c) if 0 <= c < channels else 0 for c in chunk["channel"]]
-        ends = [walk(bits, mask) for mask in range(full)]
-        latest = np.full(channels, np.nan)
-        for c in range(channels):
-            hits = np.flatnonzero(chunk["channel"] == c)
-            if len(hits):
-                latest[c] = chunk["value"][hits[-1]]
-        return np.concatenate([ends, latest])
+    def valid(chunk: folds.Chunk) -> tuple[folds.Chunk, folds.Collected]:
+        own = (chunk["channel"] >= 0) & (chunk["channel"] < channels)
+        chunk = {name: v[own] for name, v in chunk.items()}
+        return chunk, folds.Collected(chunk["channel"], channels)
+
+    def picked(chunk: folds.Chunk, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """(places, channels) the latest values, those of ``before`` where a channel has none yet."""
+        values = np.append(chunk["value"], np.nan)[at]
+        return np.where(at.T >= 0, values.T, before)
+
+    def summarise(chunks: list[folds.Chunk]) -> list[np.ndarray]:
+        out = []
+        for chunk, collected in map(valid, chunks):
+            last = collected.latest(np.array([collected.n]))
+            out.append(np.concatenate([collected.exits(), picked(chunk, last, np.full(channels, np.nan))[0]]))
+        return out
 
     def advance(step: np.ndarray, state: np.ndarray) -> np.ndarray:
         latest = step[full:]
         return np.concatenate([[step[int(state[0])]], np.where(np.isnan(latest), state[1:], latest)])
 
-    def replay(chunk: folds.Chunk, state: np.ndarray) -> dict[str, np.ndarray]:
-        mask, latest = int(state[0]), state[1:].copy()
-        at, rows = [], []
-        for seq, c, v in zip(chunk["seq"].tolist(), chunk["channel"].tolist(), chunk["value"].tolist()):
-            if not 0 <= c < channels:
-                continue
-            latest[c] = v
-            mask |= 1 << int(c)
-            if mask == full:
-                at.append(seq)
-                rows.append(latest.copy())
-                mask = 0
-        values = np.array(rows).reshape(-1, channels)
-        return {"seq": np.array(at, dtype=np.int64), **{f"ch{c}": values[:, c] for c in range(channels)}}
+    def replay(chunks: list[folds.Chunk], states: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+        out = []
+        for (chunk, collected), state in zip(map(valid, chunks), states):
+            ends = collected.ends(int(state[0]))
+            values = picked(chunk, collected.latest(ends), state[1:])
+            out.append({"seq": chunk["seq"][ends].astype(np.int64), **{f"ch{c}": values[:, c] for c in range(channels)}})
+        return out
 
     return folds.chunk_fold(
         readings.select("session_id", "seq", "channel", F.col("value").cast("double").alias("value")),

@@ -324,17 +324,17 @@ FOLD_ROWS = 20_000
 
 def out_of_fold_proba(
     features: DataFrame, fold: str = "fold", columns: dict[str, list[int]] | None = None,
-    keep: Sequence[str] = ("session_id", "k", "label"), fit=fit_lda,
+    keep: Sequence[str] = ("session_id", "k", "label"), fit=fit_lda, table: DataFrame | None = None,
 ) -> tuple[DataFrame, tuple[str, ...]]:
     """Every row scored by models fitted without its fold; one statistics pass for all folds.
 
     With ``columns`` the specialists' probabilities are concatenated. ``fold`` stays a column. Rows of a
     fold meet its matrices in groups of bounded size, where total − fold is fitted, so the number of
-    folds is not bounded by the driver.
+    folds is not bounded by the driver. ``table`` is the ``moment_table`` of the folds, if it is there already.
     """
     # One row per fold and class, read for the total, the sizes and the fits.
-    table = settle(moment_table(features, fold))
-    total = _label_totals(table)
+    table = settle(moment_table(features, fold)) if table is None else table
+    total = label_totals(table)
     classes = tuple(sorted(total))
     sizes = table.groupBy(F.col("fold").alias("_fold")).agg(F.ceil(F.sum("n") / FOLD_ROWS).cast("int").alias("_groups"))
     keep = [*keep, *([fold] if fold not in keep else [])]
@@ -359,7 +359,7 @@ def out_of_fold_proba(
     return rows.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(run, schema), classes
 
 
-def _label_totals(table: DataFrame) -> dict[str, Moments]:
+def label_totals(table: DataFrame) -> dict[str, Moments]:
     """Moments of each class over all folds, merged in bounded groups before one matrix per class is sent."""
     schema = f"part int, label string, {MOMENT_FIELDS}"
 
@@ -506,119 +506,3 @@ class DenseNet:
     def from_table(cls, rows: DataFrame, classes: Sequence[str]) -> "DenseNet":
         found = rows.orderBy("layer").collect()
         return cls(tuple(classes), [np.array(r["w"]) for r in found], [np.array(r["b"]) for r in found])
-
-
-def _indexed(features: DataFrame, classes: Sequence[str]) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    names = F.array(*[F.lit(c) for c in classes])
-    return features.withColumn("_y", (F.array_position(names, F.col("label")) - 1).cast("double")).withColumn(
-        "_x", array_to_vector("f")
-    )
-
-
-def fit_mlp(features: DataFrame, classes: Sequence[str], hidden: Sequence[int] = (32, 16), iterations: int = 150, seed: int = 42):
-    """Spark ML perceptron on the cluster: same layers, sigmoid units and L-BFGS."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-
-    width = len(features.select("f").first()["f"])
-    trainer = MultilayerPerceptronClassifier(
-        layers=[width, *hidden, len(classes)], maxIter=iterations, seed=seed, featuresCol="_x", labelCol="_y"
-    )
-    return trainer.fit(_indexed(features, classes))
-
-
-def predict_mlp(features: DataFrame, model, classes: Sequence[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    keep = [c for c in features.columns if c != "f"]
-    return model.transform(_indexed(features, classes)).select(*keep, vector_to_array("probability").alias("p"))
-
-
-def random_fourier(features: DataFrame, dimensions: int = 256, gamma: float | None = None, seed: int = 7) -> DataFrame:
-    """Random cosine features whose products approximate an RBF kernel."""
-    width = len(features.select("f").first()["f"])
-    rng = np.random.default_rng(seed)
-    gamma = 1.0 / width if gamma is None else gamma
-    w = rng.normal(0.0, np.sqrt(2 * gamma), (width, dimensions))
-    b = rng.uniform(0, 2 * np.pi, dimensions)
-    keep = [c for c in features.columns if c != "f"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                z = np.sqrt(2.0 / dimensions) * np.cos(arrow.matrix(batch.column("f")) @ w + b)
-                yield arrow.batch({**{c: batch.column(c) for c in keep}, "f": arrow.list_column(z)})
-
-    return features.select(*keep, "f").mapInArrow(run, features.select(*keep, "f").schema)
-
-
-def standardised(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables with ``f`` scaled by the mean and deviation of ``train``."""
-    moments = train.select(F.posexplode("f").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    # Two numbers per feature.
-    found = sorted(tuple(r) for r in moments.collect())
-    mean = F.array(*[F.lit(m) for _, m, _ in found])
-    scale = F.array(*[F.lit(s if s and s > 1e-12 else 1.0) for _, _, s in found])
-    scaled = F.zip_with(F.zip_with("f", mean, lambda v, m: v - m), scale, lambda v, s: v / s)
-    return train.withColumn("f", scaled), test.withColumn("f", scaled)
-
-
-def _ml_fold_accuracy(rows: DataFrame, classes: Sequence[str], fold: str, train_and_predict) -> DataFrame:
-    # Iterative trainers read their input many times.
-    rows = settle(rows)
-    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
-        predicted = train_and_predict(rows.filter(F.col(fold) != f), rows.filter(F.col(fold) == f))
-        parts.append(predicted.agg(F.lit(f).alias("fold"), F.count("*").alias("n"), F.avg((F.col("_guess") == F.col("_y")).cast("double")).alias("accuracy")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def classifier_benchmark(sets: dict[str, DataFrame], classes: Sequence[str], fold: str = "fold",
-                         models: Sequence[str] = ("lda", "qda", "svm_rbf", "mlp"), iterations: int = 100) -> DataFrame:
-    """``features, model, mean, std``: grouped accuracy of each model on each feature set.
-
-    LDA and QDA come from fold statistics. The RBF machine is a linear one on random cosine
-    features, one against the rest; the perceptron is Spark ML's (128-64). Both see vectors
-    standardised by the training folds.
-    """
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-
-    results = []
-    for name, rows in sets.items():
-        for model in models:
-            if model == "lda":
-                scores = cross_val_accuracy(rows, fold)
-            elif model == "qda":
-                scores = cross_val_accuracy(rows, fold, fit=fit_qda)
-            elif model == "svm_rbf":
-                def svm(train: DataFrame, test: DataFrame) -> DataFrame:
-                    machine = OneVsRest(
-                        classifier=LinearSVC(regParam=1e-3, maxIter=iterations, featuresCol="_x"),
-                        featuresCol="_x", labelCol="_y", predictionCol="_guess", parallelism=8,
-                    )
-                    train, test = (_indexed(random_fourier(x.drop("_x", "_y")), classes) for x in standardised(train, test))
-                    return machine.fit(train).transform(test)
-
-                scores = _ml_fold_accuracy(_indexed(rows, classes), classes, fold, svm)
-            elif model == "mlp":
-                def mlp(train: DataFrame, test: DataFrame) -> DataFrame:
-                    train, test = standardised(train, test)
-                    fitted = fit_mlp(train.drop("_x", "_y"), classes, (128, 64), iterations)
-                    return fitted.transform(_indexed(test.drop("_x", "_y"), classes)).withColumnRenamed("prediction", "_guess")
-
-                scores = _ml_fold_accuracy(_indexed(rows, classes), classes, fold, mlp)
-            else:
-                raise ValueError(model)
-            results.append(scores.agg(
-                F.lit(name).alias("features"), F.lit(model).alias("model"),
-                F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"),
-            ))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out

@@ -103,13 +103,18 @@ def level_ema(rows: DataFrame, value: str = "level", keep: float = LEVEL_KEEP, *
 def slew_limit(rows: DataFrame, value: str = "level_ema", limit: float = SLEW_DEG, *, size: int = CHUNK_ROWS) -> DataFrame:
     """``session_id, k, angle``: the angle follows 60 + 80·level by at most ``limit`` per row."""
     low, high = ANGLE_REST, ANGLE_FLEX
+
+    def replay(chunks: list[folds.Chunk], states: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+        angles = folds.follow_many([c["_target"] for c in chunks], np.array([s[0] for s in states]), limit, low, high)
+        return [{"k": c["k"], "angle": a} for c, a in zip(chunks, angles)]
+
     targets = rows.select("session_id", "k", (F.lit(low) + (high - low) * F.col(value)).alias("_target"))
     return folds.chunk_fold(
         targets, "k", ["_target"], size,
         start=[low],
-        summarise=lambda c: folds.follow_map(c["_target"], limit, low, high),
+        summarise=lambda chunks: folds.follow_maps([c["_target"] for c in chunks], limit, low, high),
         advance=folds.follow_advance,
-        replay=lambda c, s: {"k": c["k"], "angle": folds.follow(c["_target"], float(s[0]), limit, low, high)},
+        replay=replay,
         outputs=[T.StructField("angle", T.DoubleType())],
     )
 
@@ -117,14 +122,14 @@ def slew_limit(rows: DataFrame, value: str = "level_ema", limit: float = SLEW_DE
 def write_filter(rows: DataFrame, threshold: float = WRITE_DEG, *, size: int = CHUNK_ROWS) -> DataFrame:
     """Only angles that moved at least ``threshold`` since the last one written (−1 at first)."""
 
-    def replay(chunk: folds.Chunk, state: np.ndarray) -> dict[str, np.ndarray]:
-        sent = folds.emissions(chunk["angle"], float(state[0]), threshold)
-        return {"k": chunk["k"][sent], "angle": chunk["angle"][sent]}
+    def replay(chunks: list[folds.Chunk], states: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+        sent = folds.emissions_many([c["angle"] for c in chunks], np.array([s[0] for s in states]), threshold)
+        return [{"k": c["k"][f], "angle": c["angle"][f]} for c, f in zip(chunks, sent)]
 
     return folds.chunk_fold(
         rows.select("session_id", "k", "angle"), "k", ["angle"], size,
         start=[-1.0],
-        summarise=lambda c: folds.emission_map(c["angle"], threshold),
+        summarise=lambda chunks: folds.emission_maps([c["angle"] for c in chunks], threshold),
         advance=folds.emission_advance(threshold),
         replay=replay,
         outputs=[T.StructField("angle", T.DoubleType())],

@@ -112,33 +112,30 @@ def smooth_vote_debounce(
     """Average, reject weak rows, vote over the last accepted rows, switch after equal votes in a row.
 
     Adds ``rejected, majority, confidence, output`` to ``smoothed``. Votes and debounce only see
-    accepted rows, so these get their own dense numbering and short frames; the output is then
-    filled forward over all rows. A run of D equal votes reaches back D − 1 accepted rows, and a
-    change needs at least two.
+    accepted rows: every row carries the number of accepted rows up to it, and the frames run over the accepted rows of a chunk
+    of such numbers and the few before it. Rejected rows go along beside them, so nothing is joined back; the output is
+    filled forward over all rows. A run of D equal votes reaches back D − 1 accepted rows, and a change needs at least two.
     """
     base = smoothed(rows, classes, keep, size=size)
-    accepted = base.filter(F.col("conf") >= reject)
-    numbered = running(
-        accepted.select("session_id", "k", "winner"), ["session_id"], ["k"], chunk_of("k", size),
-        {"a": Scan("sum", F.lit(1).cast("long"))},
-    ).withColumn("a", F.col("a") - 1)
+    accepted = F.col("conf") >= reject
+    numbered = running(base, ["session_id"], ["k"], chunk_of("k", size), {"_a": Scan("sum", accepted.cast("long"))})
     length = max(2, debounce)
-    placed = with_halo(numbered, "a", max(size, votes + length), before=votes + length)
-    frame = Window.partitionBy("session_id", CHUNK).orderBy("a")
-    voted = placed.withColumn(
-        "_m", _majority(F.collect_list("winner").over(frame.rowsBetween(-(votes - 1), 0)))
-    ).select(
-        "session_id", "k", "a", CHUNK, OWN, F.col("_m.v").alias("majority"),
-        (F.col("_m.n") / F.least(F.lit(votes), F.col("a") + 1)).alias("_share"),
+    # Rejected rows stand at the number of the accepted row before them; only accepted rows are copied as a halo.
+    width = max(size, votes + length)
+    at, accepted = F.col("_a") - 1, F.col("conf") >= reject
+    home = F.floor(at / width)
+    halo = F.when(accepted & (at - home * width >= width - votes - length), home + 1)
+    placed = numbered.withColumn(CHUNK, F.explode(F.array_compact(F.array(home, halo)))).withColumn(OWN, F.col(CHUNK) == home)
+    frame = Window.partitionBy("session_id", CHUNK, accepted).orderBy("_a", "k")
+    vote = _majority(F.collect_list(F.when(accepted, F.col("winner"))).over(frame.rowsBetween(-(votes - 1), 0)))
+    voted = placed.withColumn("_m", F.when(accepted, vote))
+    recent = F.collect_list("_m.v").over(frame.rowsBetween(-(length - 1), 0))
+    steady = accepted & (F.size(F.array_distinct(recent)) == 1) & (F.size(recent) == length)
+    decided = voted.withColumn("_switch", F.when(steady, F.col("_m.v"))).filter(OWN).select(
+        *base.columns, F.col("_m.v").alias("majority"), (F.col("_m.n") / F.least(F.lit(votes), F.col("_a"))).alias("_share"), "_switch",
     )
-    recent = F.collect_list("majority").over(frame.rowsBetween(-(length - 1), 0))
-    steady = (F.size(F.array_distinct(recent)) == 1) & (F.size(recent) == length)
-    decided = voted.withColumn("_switch", F.when(steady, F.col("majority"))).filter(OWN).select(
-        "session_id", "k", "majority", "_share", "_switch"
-    )
-    joined = base.join(decided, ["session_id", "k"], "left")
     done = running(
-        joined, ["session_id"], ["k"], chunk_of("k", size),
+        decided, ["session_id"], ["k"], chunk_of("k", size),
         {"_latest": Scan("last", F.col("_switch")), "_opening": Scan("first", F.col("majority"))},
     )
     return done.select(

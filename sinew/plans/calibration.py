@@ -273,11 +273,50 @@ def tile_groups(spark, sf):
     return AU.tile_groups(td.vectors(spark, sf).drop("f"))
 
 
-@register("augment")
+LOW = 4294967295
+
+
+def _mix(values: str) -> str:
+    """The 32-bit mix of every item of a list."""
+    for shift, factor in AU.MIX:
+        step = f"xor(x, x >> {shift})"
+        values = f"list_transform({values}, lambda x: {f'({step} * {factor}) & {LOW}' if factor else step})"
+    return values
+
+
+def _uniforms(numbers: str) -> str:
+    counters = f"list_transform({numbers}, lambda j: (b + CAST(j AS UBIGINT)) & {LOW})"
+    return f"list_transform({_mix(f'list_transform({_mix(counters)}, lambda x: xor(x, a))')}, lambda x: (x + 0.5e0) / 4294967296e0)"
+
+
+def _word(n: int) -> str:
+    return f"CAST('0x' || substr(md5(session_id || ':' || k || ':' || copy || ':42'), {8 * n + 1}, 8) AS UBIGINT)"
+
+
+def copies_sql(source: str = "w", multiplier: int = 3) -> str:
+    """Windows (session_id, k, x0 … x3) to ``ag``: copies 0 … ``multiplier`` − 1 with their noise."""
+    square = " + ".join(f"list_sum(list_transform(x{c}, lambda v: v * v))" for c in range(4))
+    noisy = ", ".join(f"list_transform(range(1, 151), lambda i: x{c}[i] * g + z[(i - 1) * 4 + {c + 1}] * (0.05e0 * lv) + 20 * (2 * few[{c + 3}] - 1)) AS y{c}" for c in range(4))
+    turned = ", ".join(f"CASE WHEN copy = 0 THEN x{c} ELSE list_transform(range(0, 150), lambda i: y{c}[((i - s + 150) % 150) + 1]) END AS x{c}" for c in range(4))
+    return f"""cp AS (SELECT * REPLACE (CAST(copy AS INTEGER) AS copy), {_word(0)} AS a, {_word(1)} AS b FROM (SELECT *, unnest(range(0, {multiplier})) AS copy FROM {source})),
+fw AS MATERIALIZED (SELECT *, {_uniforms('[0, 1, 2, 3, 4, 5]')} AS few, {_uniforms('range(64, 1264)')} AS u FROM cp),
+gn AS (SELECT *, 0.8e0 + 0.4e0 * few[1] AS g, CAST(floor(few[2] * 11) AS BIGINT) - 5 AS s,
+  list_transform(range(1, 601), lambda n: sqrt(-2 * ln(u[2 * n - 1])) * cos(2 * pi() * u[2 * n])) AS z FROM fw),
+lv AS (SELECT *, g * sqrt(({square}) / 600) + 1e-8 AS lv FROM gn),
+ny AS (SELECT *, {noisy} FROM lv),
+ag AS MATERIALIZED (SELECT * EXCLUDE (x0, x1, x2, x3, y0, y1, y2, y3, z, u, few), {turned} FROM ny)"""
+
+
+@register("augment", S.sql(S.FA, S.windows(), copies_sql(), select=f"""SELECT session_id, k, copy, copy = 0 AS is_real,
+{q("sqrt((" + " + ".join(f"list_sum(list_transform(x{c}, lambda v: (v - list_avg(x{c})) * (v - list_avg(x{c}))))" for c in range(4)) + ") / 600)", "ac_rms", 4)},
+{q("x1[1]", "first1", 4)}, {q("x2[150]", "last2", 4)}, {q("list_sum(x0)", "sum0", 4)} FROM ag"""))
 def augment(spark, sf):
     windows = W.sliding_windows(td.short_sessions(spark, sf))
     copies = AU.augment(windows)
-    return copies.select("session_id", "k", "copy", "is_real", r(W.window_rms(), 4).alias("ac_rms"))
+    return copies.select(
+        "session_id", "k", "copy", "is_real", r(W.window_rms(), 4).alias("ac_rms"), r(F.col("x")[1][0], 4).alias("first1"),
+        r(F.col("x")[2][149], 4).alias("last2"), r(F.aggregate(F.col("x")[0], F.lit(0.0), lambda a, v: a + v), 4).alias("sum0"),
+    )
 
 
 @register("training_matrix")

@@ -5,11 +5,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from sinew.operators import calibrate as C
+from sinew.operators import features as FE
+from sinew.operators import labels as L
 from sinew.operators import models as M
+from sinew.operators import networks as N
 from sinew.operators import split as SP
+from sinew.operators import windows as W
 from sinew.plans import discriminants as D
 from sinew.plans import fragments as S
+from sinew.plans import signals as SG
+from sinew.plans import workflows as WF
 from sinew.plans.catalog import q, r, register, rounded
+from sinew.session import settle
 from sinew.sources import testdata as td
 
 CLASSES = tuple(f"c{n}" for n in range(10))
@@ -271,10 +279,67 @@ def lda_project(spark, sf):
 @register("fit_mlp")
 def fit_mlp(spark, sf):
     features = td.vectors(spark, sf)
-    model = M.fit_mlp(features, CLASSES)
-    return M.predict_mlp(features, model, CLASSES).select("session_id", "k", "label", *_columns(10))
+    net = N.fit_perceptron(features, CLASSES, epochs=60, rate=1e-2)
+    return M.score(features, net, ["session_id", "k", "label"]).select("session_id", "k", "label", *_columns(10))
 
 
 @register("classifier_benchmark")
 def classifier_benchmark(spark, sf):
-    return M.classifier_benchmark({"vectors": _folded(spark, sf)}, CLASSES, models=("lda", "qda", "svm_rbf", "mlp"))
+    """Base 69 and base + MPF 105 values of the long sessions' windows, z-scored per session, folds of whole trials."""
+    samples = td.long_sessions(spark, sf)
+    keys = td.labelled_windows(spark, sf).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
+    base = C.session_zscore(FE.extract_features(samples).join(keys, ["session_id", "k"]))
+    bands = C.session_zscore(FE.cross_spectrum(samples).join(keys, ["session_id", "k"])).select("session_id", "k", F.col("f").alias("m"))
+    folds = SP.group_kfold(keys, ["session_id", "trial_id"]).drop("n")
+    rows = settle(base.join(bands, ["session_id", "k"]).join(folds, ["session_id", "trial_id"]))
+    sets = {"base": rows, "base_mpf": rows.withColumn("f", F.concat("f", "m"))}
+    return N.classifier_benchmark(sets, ("fist", "hook_em", "open", "rest", "thumbs_up"))
+
+
+def _matrix(spark, sf):
+    """The training matrix of the long sessions: labelled windows, transitions left out, features, z-scores."""
+    keys = td.labelled_windows(spark, sf).withColumn("trial_id", (F.col("y") - 1995).cast("long"))
+    kept = L.drop_transitions(keys).select("session_id", "k", "label", "trial_id")
+    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", "x").join(kept, ["session_id", "k"])
+    return WF.training_matrix(windows)
+
+
+@register("train_sessions")
+def train_sessions(spark, sf):
+    """Samples → labels → 69 features → z-scores → discriminant, specialists and ensemble: grouped accuracy of each."""
+    return rounded(WF.train_models(_matrix(spark, sf)).accuracy, ["accuracy"])
+
+
+DEVICE_MODEL = M.LinearModel(("fist", "hook_em", "open", "rest", "thumbs_up"), _weights(5, 69) / 10, (np.arange(5) % 3 - 1) / 4.0)
+_SCORES = "list_transform(range(0, 5), lambda r: (r % 3 - 1) / 4e0 + list_sum(list_transform(range(0, 69), lambda c: ((r * 31 + c * 17) % 23 - 11) / 70e0 * z[c + 1])))"
+#: Device features to probability vectors: each session in units of its first windows, then the rule-given model.
+PREDICT = (
+    *SG.DEVICE, f"dv AS MATERIALIZED (SELECT session_id, k, [{', '.join(SG.NAMES)}] AS f FROM ({SG.feature_sql(SG.NAMES, exact=True)}))",
+    "dl AS (SELECT session_id, k, unnest(range(1, 70)) AS pos, unnest(f) AS v FROM dv WHERE k < 120)",
+    "dc AS (SELECT session_id, pos, avg(v) AS mu, greatest(stddev_pop(v), 1e-6) AS sd FROM dl GROUP BY ALL)",
+    "dp AS (SELECT session_id, list(mu ORDER BY pos) AS mu, list(sd ORDER BY pos) AS sd FROM dc GROUP BY 1)",
+    "dz AS (SELECT session_id, k, list_transform(range(1, 70), lambda n: (f[n] - mu[n]) / sd[n]) AS z FROM dv JOIN dp USING (session_id))",
+    f"ds AS MATERIALIZED (SELECT session_id, k, {_SCORES} AS s FROM dz)",
+    f"fc AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM ds)",
+)
+
+
+@register("predict_sessions", S.sql(
+    *PREDICT, S.HYST.removeprefix(S.FC).lstrip(",\n"), select=f"SELECT session_id, k, raw, winner, {q('conf', 'conf', 5)}, output FROM hs"))
+def predict_sessions(spark, sf):
+    """Samples → device features → calibration → probabilities → average → hysteresis."""
+    samples = td.short_sessions(spark, sf).drop("y")
+    stats = C.rest_calibration(FE.extract_features(samples, continuous=True, first=25))
+    calibration = C.to_vectors(stats, ["session_id"], ["mu", "sigma"])
+    return rounded(WF.predict_sessions(samples, calibration, [DEVICE_MODEL]), ["conf"], 5)
+
+
+@register("predict_sessions_voted", S.sql(
+    *PREDICT, S.VOTE.removeprefix(S.FC).lstrip(",\n"),
+    select="SELECT session_id, k, winner, rejected, coalesce(majority, -1) AS majority, output FROM vd"))
+def predict_sessions_voted(spark, sf):
+    """The same with votes and debounce."""
+    samples = td.short_sessions(spark, sf).drop("y")
+    stats = C.rest_calibration(FE.extract_features(samples, continuous=True, first=25))
+    out = WF.predict_sessions(samples, C.to_vectors(stats, ["session_id"], ["mu", "sigma"]), [DEVICE_MODEL], smoother="votes")
+    return out.select("session_id", "k", "winner", "rejected", F.coalesce("majority", F.lit(-1)).alias("majority"), "output")

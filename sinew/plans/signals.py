@@ -369,12 +369,16 @@ CROSS = "cc AS MATERIALIZED (SELECT pw.session_id, pw.k, " + ", ".join(
     f"JOIN td t{c} ON t{c}.session_id = pw.session_id AND t{c}.k = pw.k AND t{c}.channel = {c}" for c in HAND_CHANNELS) + ")"
 
 
+_rounded = q
+
+
 def _digits(name: str) -> int:
     return FLAT_DIGITS.get(name.split("_")[-1], 5)
 
 
-def feature_sql(names: list[str], normalize: bool = True) -> str:
-    """One column per feature name from the parts above."""
+def feature_sql(names: list[str], normalize: bool = True, exact: bool = False) -> str:
+    """One column per feature name from the parts above, rounded unless ``exact``."""
+    q = (lambda value, name, digits: f"{value} AS {name}") if exact else _rounded
     home = {}
     for key in ("rms", "wl", "zc", "ssc", "mav", "var", "iemg", "wamp"):
         home[key] = "td"
@@ -465,21 +469,21 @@ def cross_channel(spark, sf):
     return _named(FE.extract_features(td.short_sessions(spark, sf)), FULL, PAIR_NAMES)
 
 
-@register("power_spectrum", S.sql(*_all_parts(SPECTRUM), select=f"""SELECT session_id, k, channel, {q('sum(p)', 'total', 3)}, {q('max(p)', 'peak', 3)},
-{q('max(p) FILTER (b = 0)', 'p0', 3)}, {q('max(p) FILTER (b = 64)', 'p64', 3)}, {q('max(p) FILTER (b = 128)', 'p128', 3)} FROM ps GROUP BY ALL"""))
+@register("power_spectrum", S.sql(*_all_parts(SPECTRUM), select=f"SELECT session_id, k, channel, CAST(b AS INTEGER) AS bin, {q('p', 'p', 2)} FROM ps"))
 def power_spectrum(spark, sf):
+    """All 129 bins of every window and channel."""
     spec = FE.power_spectrum(td.short_sessions(spark, sf))
-    return spec.select(
-        "session_id", "k", "channel",
-        r(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), r(F.array_max("p"), 3).alias("peak"),
-        *[r(F.col("p")[b], 3).alias(f"p{b}") for b in (0, 64, 128)],
-    )
+    return spec.select("session_id", "k", "channel", F.posexplode("p").alias("bin", "p")).withColumn("p", r("p", 2))
 
 
-@register("device_features", S.sql(
+DEVICE = (
     S.FA, recursion("bs", "fa", signal.BANDPASS, HAND_CHANNELS),
     "fbs AS MATERIALIZED (SELECT session_id, i, CAST(i AS DOUBLE) / 1000 AS ts, y[1] AS ch0, y[2] AS ch1, y[3] AS ch2 FROM bs WHERE i >= 0)",
-    S.windows("fbs", first=25, channels=HAND_CHANNELS), prepared(bandpass=False), TD, AR, SPECTRUM, CROSS, select=feature_sql(NAMES)))
+    S.windows("fbs", first=25, channels=HAND_CHANNELS), prepared(bandpass=False), TD, AR, SPECTRUM, CROSS,
+)
+
+
+@register("device_features", S.sql(*DEVICE, select=feature_sql(NAMES)))
 def device_features(spark, sf):
     """The device's phase and session-long filter."""
     features = FE.extract_features(td.short_sessions(spark, sf), continuous=True, first=25)

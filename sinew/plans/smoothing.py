@@ -147,12 +147,13 @@ sw AS (
     FROM sw s JOIN lm l ON l.session_id = s.session_id AND l.k = s.k + 1))"""
 
 
-def _levels(spark, sf):
+def activations(spark, sf):
     gated = F.col("value") * F.when(F.col("k") % 24 < 12, 1).otherwise(0)
-    rows = td.event_rows(spark, sf).select(
-        "session_id", "k", P.activation_level(gated, F.lit(2.0), F.lit(30.0)).alias("level")
-    )
-    return P.level_ema(rows)
+    return td.event_rows(spark, sf).select("session_id", "k", P.activation_level(gated, F.lit(2.0), F.lit(30.0)).alias("level"))
+
+
+def _levels(spark, sf):
+    return P.level_ema(activations(spark, sf))
 
 
 @register("level_ema", S.sql(LEVEL, select=f"SELECT session_id, k, {q('e', 'level_ema')} FROM lm"))

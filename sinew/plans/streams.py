@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from sinew.operators.features import by_name
 from sinew.plans import fragments as S
 from sinew.plans import signals as SG
+from sinew.plans import smoothing as SM
 from sinew.plans.catalog import q, r, register, rounded
 from sinew.sources import testdata as td
 from sinew.session import settle
 from sinew.streaming import live as LV
+from sinew.streaming import outputs as LO
 from sinew.streaming import runs as RN
 
 
@@ -27,6 +29,12 @@ def _slices(df, order: str, edges):
         yield part
 
 
+def _closed(slices, rows, operator):
+    """Append mode: windows come out as the watermark passes them, the last ones after a heartbeat."""
+    out = RN.replay([*slices, LV.heartbeat(rows)], operator)
+    return out.filter("session_id IS NOT NULL")
+
+
 @register("stream_windows", S.sql(S.FA, S.windows(), select=SG.CHECKS))
 def stream_windows(spark, sf):
     samples = td.short_sessions(spark, sf).drop("y")
@@ -56,13 +64,43 @@ def stream_events(spark, sf):
     return out.select("session_id", "k", "output")
 
 
+@register("stream_vote_debounce", S.sql(
+    S.VOTE, select=f"SELECT session_id, k, raw, winner, {q('conf', 'conf')}, rejected, coalesce(majority, -1) AS majority, {q('confidence', 'confidence')}, output FROM vd"))
+def stream_vote_debounce(spark, sf):
+    """The SQL of the batch query: votes and debounce over three triggers."""
+    proba = td.probabilities(spark, sf).select("session_id", "k", "p")
+    out = RN.replay(_slices(proba, "k", [13, 40]), LO.stream_vote_debounce)
+    return rounded(out.withColumn("majority", F.coalesce("majority", F.lit(-1))), ["conf", "confidence"])
+
+
+@register("stream_write_filter", S.sql(SM.SLEW, select=f"SELECT session_id, k, {q('angle', 'angle')} FROM sw WHERE emit"))
+def stream_write_filter(spark, sf):
+    """Levels to written angles over three triggers, by the SQL of the batch chain."""
+    levels = SM.activations(spark, sf)
+    return rounded(RN.replay(_slices(levels, "k", [9, 31]), LO.stream_write_filter), ["angle"])
+
+
+#: Positions that never come, and positions that come two triggers late.
+GONE, DELAYED = "i % 97 = 5", "i % 50 = 7 AND i >= 100 AND i < 300"
+
+
+@register("stream_late_rows", S.sql(
+    S.FA, f"a AS (SELECT session_id, i, {GONE} AS gone, {DELAYED} AS delayed FROM fa)",
+    select="""SELECT session_id, CAST(count_if(delayed AND NOT gone) AS BIGINT) AS late,
+CAST(max(i) FILTER (NOT gone AND NOT delayed) + 1 - count_if(NOT gone AND NOT delayed) AS BIGINT) AS lost, CAST(0 AS BIGINT) AS repeated FROM a GROUP BY 1"""))
+def stream_late_rows(spark, sf):
+    """Rows left out as late and positions lost, counted per session over three triggers."""
+    came = settle(td.short_sessions(spark, sf).drop("y").filter(f"NOT ({GONE})"))
+    first, second, third = _slices(came.filter(f"NOT ({DELAYED})"), "i", [200, 400])
+    out = RN.replay([first, second, third.unionByName(came.filter(DELAYED))], LV.stream_late_rows)
+    return out.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in ("late", "lost", "repeated")])
+
+
 @register("stream_tumbling", S.sql(
     S.FA, select=f"SELECT session_id, i // 150 AS w, count(*) AS n, {', '.join(q(f'sqrt(avg({c} * {c}))', c) for c in SG.CH)} FROM fa GROUP BY ALL"))
 def stream_tumbling(spark, sf):
     samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), *SG.CH)
-    out = RN.replay(
-        _slices(samples, "i", [137, 400]), lambda s: LV.time_windows(s, list(SG.CH), slide=None, lateness="1 hour"), mode="complete"
-    )
+    out = _closed(_slices(samples, "i", [137, 400]), samples, lambda s: LV.time_windows(s, list(SG.CH), slide=None, lateness="50 milliseconds"))
     return out.select("session_id", F.floor(F.unix_millis("start") / 150).alias("w"), "n", *[r(c).alias(c) for c in SG.CH])
 
 
@@ -71,7 +109,7 @@ def stream_tumbling(spark, sf):
     select=f"SELECT session_id, w, count(*) AS n, {', '.join(q(f'sqrt(avg({c} * {c}))', c) for c in SG.CH)} FROM o GROUP BY ALL"))
 def stream_sliding_time(spark, sf):
     samples = td.short_sessions(spark, sf).select("session_id", "i", F.timestamp_millis("i").alias("at"), *SG.CH)
-    out = RN.replay(_slices(samples, "i", [300]), lambda s: LV.time_windows(s, list(SG.CH), lateness="1 hour"), mode="complete")
+    out = _closed(_slices(samples, "i", [137, 300, 450]), samples, lambda s: LV.time_windows(s, list(SG.CH), lateness="50 milliseconds"))
     return out.select("session_id", F.floor(F.unix_millis("start") / 25).alias("w"), "n", *[r(c).alias(c) for c in SG.CH])
 
 
@@ -83,8 +121,10 @@ GAP_US = 6 * 3600 * 1_000_000
     "h AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts_us) AS run FROM g)",
     select=f"SELECT session_id, min(ts_us) AS start_us, max(ts_us) + {GAP_US} AS end_us, count(*) AS n FROM h GROUP BY session_id, run"))
 def stream_sessions(spark, sf):
-    rows = td.event_rows(spark, sf).select("session_id", "k", F.timestamp_micros("ts_us").alias("at"))
-    out = RN.replay(_slices(rows, "k", [20, 45]), lambda s: LV.activity_sessions(s, "6 hours", "60 days"), mode="complete")
+    rows = settle(td.event_rows(spark, sf).select("session_id", "k", "ts_us", F.timestamp_micros("ts_us").alias("at")))
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    edges = [first + (last - first) * n // 3 for n in (1, 2)]
+    out = _closed(_slices(rows, "ts_us", edges), rows, lambda s: LV.activity_sessions(s, "6 hours", "1 hour"))
     return out.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

@@ -14,6 +14,7 @@ from sinew.operators import labels as L
 from sinew.operators import models as M
 from sinew.operators import smooth as SM
 from sinew.operators import split as SP
+from sinew.session import settle
 from sinew.sources import lines as LN
 from sinew.sources import store
 
@@ -40,22 +41,42 @@ def training_matrix(windows: DataFrame, options: FE.FeatureOptions = FE.FeatureO
 class Trained:
     lda: M.LinearModel
     ensemble: M.Ensemble
+    #: ``model, fold, n, accuracy`` of the discriminant, each specialist and the ensemble
     accuracy: DataFrame
+    #: ``pos, importance`` of the discriminant
+    importance: DataFrame
 
 
 def train_models(matrix: DataFrame, folds: int = 5) -> Trained:
-    """Discriminant, ensemble and grouped accuracy from a training matrix.
+    """Discriminant, ensemble, grouped accuracy and importance from one stored training matrix.
 
-    Normalisation happened before the folds, so its statistics include the held-out rows; use
-    ``fold_normalised`` to keep a held-out session's statistics out.
+    One pass over it gives the moments per fold and class, whose sums and sub-blocks are all statistics of all models;
+    a second one scores every row by the models that did not see its fold. Normalisation happened before the folds, so its
+    statistics include the held-out rows; use ``fold_normalised`` to keep a held-out session's statistics out.
     """
+    spark = matrix.sparkSession
     assigned = SP.group_kfold(matrix.filter("is_real"), ["session_id", "trial_id"], folds).drop("n")
-    rows = matrix.join(assigned, ["session_id", "trial_id"])
-    return Trained(
-        M.fit_lda(M.by_class(M.class_moments(matrix))),
-        M.fit_ensemble(rows),
-        M.cross_val_accuracy(rows),
-    )
+    rows = settle(matrix.join(assigned, ["session_id", "trial_id"]).select("session_id", "k", "label", "fold", "f"))
+    table = settle(M.moment_table(rows, "fold"))
+    total = M.label_totals(table)
+    columns = M.specialist_columns(len(next(iter(total.values())).mean))
+    lda, specialists = M.fit_lda(total), M.fit_specialists(total, columns)
+    heads = {**columns, "lda": list(range(sum(map(len, columns.values()))))}
+    held, classes = M.out_of_fold_proba(rows, "fold", heads, keep=("session_id", "k", "label", "fold"), table=table)
+    held, k, inner = settle(held), len(classes), len(classes) * len(columns)
+    stacked = held.select("label", "fold", F.slice("p", 1, inner).alias("f"))
+    meta_table = settle(M.moment_table(stacked, "fold"))
+    meta = M.fit_lda(M.label_totals(meta_table))
+    outer, _ = M.out_of_fold_proba(stacked, "fold", keep=("label", "fold"), table=meta_table)
+
+    def hits(p, scored: DataFrame, name: str) -> DataFrame:
+        return scored.select(F.lit(name).alias("model"), "fold", (M.predict_label(p, classes) == F.col("label")).alias("hit"))
+
+    every = hits(F.col("p"), outer, "meta")
+    for n, name in enumerate(heads):
+        every = every.unionByName(hits(F.slice("p", n * k + 1, k), held, name))
+    accuracy = every.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    return Trained(lda, M.Ensemble(columns, specialists, meta), accuracy, M.feature_importance(lda.table(spark, "lda")))
 
 
 def _outside(moments: DataFrame, group: list[str], fold: str) -> DataFrame:

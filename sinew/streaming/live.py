@@ -115,9 +115,9 @@ def _collect(frames: Iterator[pd.DataFrame], columns: Sequence[str], order: str
     return frame.drop_duplicates(order).sort_values(order)
 
 
-def _stateful(samples: DataFrame, fn, fields: Sequence[T.StructField], timeout=GroupStateTimeout.NoTimeout) -> DataFrame:
+def _stateful(samples: DataFrame, fn, fields: Sequence[T.StructField], timeout=GroupStateTimeout.NoTimeout, state: T.StructType = STATE) -> DataFrame:
     schema = T.StructType([samples.schema["session_id"], *fields])
-    return samples.groupBy("session_id").applyInPandasWithState(fn, schema, STATE, "append", timeout)
+    return samples.groupBy("session_id").applyInPandasWithState(fn, schema, state, "append", timeout)
 
 
 K = T.StructField("k", T.IntegerType())
@@ -258,7 +258,10 @@ def stream_predict(
 
 def time_windows(samples: DataFrame, columns: Sequence[str], size: str = "150 milliseconds", slide: str | None = "25 milliseconds",
                  lateness: str = "1 second") -> DataFrame:
-    """RMS per epoch-aligned time window; tumbling without ``slide``. ``samples`` has a timestamp ``at``."""
+    """RMS per epoch-aligned time window; tumbling without ``slide``. ``samples`` has a timestamp ``at``.
+
+    In append mode a window comes out, and leaves the state, once the watermark has passed its end; `heartbeat` closes the last ones.
+    """
     span = F.window("at", size, slide) if slide else F.window("at", size)
     return (
         samples.withWatermark("at", lateness).groupBy("session_id", span.alias("w"))
@@ -268,13 +271,22 @@ def time_windows(samples: DataFrame, columns: Sequence[str], size: str = "150 mi
 
 
 def activity_sessions(rows: DataFrame, gap: str = "3 seconds", lateness: str = "1 second") -> DataFrame:
-    """Stretches without a pause longer than ``gap``."""
+    """Stretches without a pause longer than ``gap``; in append mode each comes out once the watermark has passed its end."""
     return (
         rows.withWatermark("at", lateness).groupBy("session_id", F.session_window("at", gap).alias("w"))
         .agg(F.count("*").alias("n")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
     )
 
 
+def heartbeat(rows: DataFrame, ahead: str = "1 day") -> DataFrame:
+    """One row without session, ``ahead`` of all ``rows``: a closing trigger moves the watermark past every open window.
+
+    Its own window has no session and stays open. ``ahead`` must exceed lateness plus window or gap.
+    """
+    newest = rows.agg((F.max("at") + F.expr(f"INTERVAL {ahead}")).alias("at"))
+    return newest.select(*[F.col("at") if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def silence_alarms(rows: DataFrame, limit_ms: int = 3000, lateness: str = "0 seconds") -> DataFrame:
     """A row per session each time nothing came for ``limit_ms`` of event time: ``session_id, silent_from``."""
     state = T.StructType([T.StructField("last_ms", T.LongType())])
@@ -296,6 +308,35 @@ def silence_alarms(rows: DataFrame, limit_ms: int = 3000, lateness: str = "0 sec
     return timed.groupBy("session_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+ARRIVAL_STATE = T.StructType([T.StructField("next_i", T.LongType())])
+ARRIVALS = [T.StructField(name, T.LongType()) for name in ("from_i", "late", "lost", "repeated")]
+
+
+def stream_late_rows(samples: DataFrame) -> DataFrame:
+    """What the stateful operators leave out, per session and trigger: ``session_id, from_i, late, lost, repeated``.
+
+    ``late`` rows came after a row of higher ``i`` had been handled, ``repeated`` ones twice in one trigger; both are dropped. ``lost`` is the
+    number of positions that were passed over, where windows and filters start anew; a row that comes late stays lost. ``from_i`` is the
+    first position the trigger handled (null if all rows were late). Triggers with nothing to report give no row; sums over them are
+    the totals, whatever the triggers.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        i = np.sort(np.concatenate([f["i"].to_numpy() for f in frames]))
+        next_i = state.get[0] if state.exists else None
+        fresh = i if next_i is None else i[i >= next_i]
+        own = np.unique(fresh)
+        late, repeated, lost = len(i) - len(fresh), len(fresh) - len(own), 0
+        if len(own):
+            lost = int(own[-1] - (own[0] if next_i is None else next_i) + 1 - len(own))
+            state.update((int(own[-1]) + 1,))
+        if late or lost or repeated:
+            first = pd.array([own[0] if len(own) else None], dtype="Int64")
+            yield pd.DataFrame({"session_id": [key[0]], "from_i": first, "late": [late], "lost": [lost], "repeated": [repeated]})
+
+    return _stateful(samples.select("session_id", "i"), step, ARRIVALS, state=ARRIVAL_STATE)
+
+
 def observed(lines: DataFrame, name: str = "quality") -> DataFrame:
     """Count good and rejected lines of a stream as metrics of each trigger."""
     from sinew.sources.lines import is_sample

@@ -14,7 +14,7 @@ angles = st.lists(st.floats(60, 140), min_size=1, max_size=60)
 def test_follow_map_is_the_chunk(targets, entry):
     targets = np.array(targets)
     exact = folds.follow(targets, entry, 6.0, 60.0, 140.0)[-1]
-    mapped = folds.follow_advance(folds.follow_map(targets, 6.0, 60.0, 140.0), np.array([entry]))[0]
+    mapped = folds.follow_advance(folds.follow_maps([targets], 6.0, 60.0, 140.0)[0], np.array([entry]))[0]
     assert abs(exact - mapped) < 1e-9
 
 
@@ -24,7 +24,7 @@ def test_emission_map_is_the_chunk(values, entry):
     values = np.array(values)
     flags = folds.emissions(values, entry, 0.5)
     exact = values[flags][-1] if flags.any() else entry
-    mapped = folds.emission_advance(0.5)(folds.emission_map(values, 0.5), np.array([entry]))[0]
+    mapped = folds.emission_advance(0.5)(folds.emission_maps([values], 0.5)[0], np.array([entry]))[0]
     assert exact == mapped
 
 
