@@ -309,13 +309,13 @@ ag AS MATERIALIZED (SELECT * EXCLUDE (x0, x1, x2, x3, y0, y1, y2, y3, z, u, few)
 
 @register("augment", S.sql(S.FA, S.windows(), copies_sql(), select=f"""SELECT session_id, k, copy, copy = 0 AS is_real,
 {q("sqrt((" + " + ".join(f"list_sum(list_transform(x{c}, lambda v: (v - list_avg(x{c})) * (v - list_avg(x{c}))))" for c in range(4)) + ") / 600)", "ac_rms", 4)},
-{q("x1[1]", "first1", 4)}, {q("x2[150]", "last2", 4)}, {q("list_sum(x0)", "sum0", 4)} FROM ag"""))
+{q("x1[1]", "first1", 6)}, {q("x2[150]", "last2", 6)}, {q("list_sum(x0)", "sum0", 4)} FROM ag"""))
 def augment(spark, sf):
     windows = W.sliding_windows(td.short_sessions(spark, sf))
     copies = AU.augment(windows)
     return copies.select(
-        "session_id", "k", "copy", "is_real", r(W.window_rms(), 4).alias("ac_rms"), r(F.col("x")[1][0], 4).alias("first1"),
-        r(F.col("x")[2][149], 4).alias("last2"), r(F.aggregate(F.col("x")[0], F.lit(0.0), lambda a, v: a + v), 4).alias("sum0"),
+        "session_id", "k", "copy", "is_real", r(W.window_rms(), 4).alias("ac_rms"), r(F.col("x")[1][0]).alias("first1"),
+        r(F.col("x")[2][149]).alias("last2"), r(F.aggregate(F.col("x")[0], F.lit(0.0), lambda a, v: a + v), 4).alias("sum0"),
     )
 
 

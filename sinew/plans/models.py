@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from sinew.plans import fragments as S
 from sinew.plans import signals as SG
 from sinew.plans import workflows as WF
 from sinew.plans.catalog import q, r, register, rounded
-from sinew.session import settle
+from sinew.session import checkpoint_folder, settle
+from sinew.sources import store
 from sinew.sources import testdata as td
 
 CLASSES = tuple(f"c{n}" for n in range(10))
@@ -312,34 +315,55 @@ def train_sessions(spark, sf):
 
 DEVICE_MODEL = M.LinearModel(("fist", "hook_em", "open", "rest", "thumbs_up"), _weights(5, 69) / 10, (np.arange(5) % 3 - 1) / 4.0)
 _SCORES = "list_transform(range(0, 5), lambda r: (r % 3 - 1) / 4e0 + list_sum(list_transform(range(0, 69), lambda c: ((r * 31 + c * 17) % 23 - 11) / 70e0 * z[c + 1])))"
-#: Device features to probability vectors: each session in units of its first windows, then the rule-given model.
-PREDICT = (
-    *SG.DEVICE, f"dv AS MATERIALIZED (SELECT session_id, k, [{', '.join(SG.NAMES)}] AS f FROM ({SG.feature_sql(SG.NAMES, exact=True)}))",
-    "dl AS (SELECT session_id, k, unnest(range(1, 70)) AS pos, unnest(f) AS v FROM dv WHERE k < 120)",
-    "dc AS (SELECT session_id, pos, avg(v) AS mu, greatest(stddev_pop(v), 1e-6) AS sd FROM dl GROUP BY ALL)",
-    "dp AS (SELECT session_id, list(mu ORDER BY pos) AS mu, list(sd ORDER BY pos) AS sd FROM dc GROUP BY 1)",
-    "dz AS (SELECT session_id, k, list_transform(range(1, 70), lambda n: (f[n] - mu[n]) / sd[n]) AS z FROM dv JOIN dp USING (session_id))",
-    f"ds AS MATERIALIZED (SELECT session_id, k, {_SCORES} AS s FROM dz)",
-    f"fc AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM ds)",
-)
+
+
+def predict_sql(calibrates: str = "k < 120", scored: str = "true", number: str = "k") -> tuple[str, ...]:
+    """Device features to probability vectors: each session in units of its first windows, then the rule-given model."""
+    return (
+        *SG.DEVICE, f"dv AS MATERIALIZED (SELECT session_id, k, [{', '.join(SG.NAMES)}] AS f FROM ({SG.feature_sql(SG.NAMES, exact=True)}))",
+        f"dl AS (SELECT session_id, k, unnest(range(1, 70)) AS pos, unnest(f) AS v FROM dv WHERE {calibrates})",
+        "dc AS (SELECT session_id, pos, avg(v) AS mu, greatest(stddev_pop(v), 1e-6) AS sd FROM dl GROUP BY ALL)",
+        "dp AS (SELECT session_id, list(mu ORDER BY pos) AS mu, list(sd ORDER BY pos) AS sd FROM dc GROUP BY 1)",
+        f"dz AS (SELECT session_id, {number} AS k, list_transform(range(1, 70), lambda n: (f[n] - mu[n]) / sd[n]) AS z FROM dv JOIN dp USING (session_id) WHERE {scored})",
+        f"ds AS MATERIALIZED (SELECT session_id, k, {_SCORES} AS s FROM dz)",
+        f"fc AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM ds)",
+    )
 
 
 @register("predict_sessions", S.sql(
-    *PREDICT, S.HYST.removeprefix(S.FC).lstrip(",\n"), select=f"SELECT session_id, k, raw, winner, {q('conf', 'conf', 5)}, output FROM hs"))
+    *predict_sql(), S.HYST.removeprefix(S.FC).lstrip(",\n"), select=f"SELECT session_id, k, raw, winner, {q('conf', 'conf', 5)}, output FROM hs"))
 def predict_sessions(spark, sf):
     """Samples → device features → calibration → probabilities → average → hysteresis."""
     samples = td.short_sessions(spark, sf).drop("y")
     stats = C.rest_calibration(FE.extract_features(samples, continuous=True, first=25))
     calibration = C.to_vectors(stats, ["session_id"], ["mu", "sigma"])
-    return rounded(WF.predict_sessions(samples, calibration, [DEVICE_MODEL]), ["conf"], 5)
+    out = WF.predict_sessions(samples, calibration, [DEVICE_MODEL])
+    return rounded(out.withColumn("k", F.col("k").cast("long")), ["conf"], 5)
 
 
 @register("predict_sessions_voted", S.sql(
-    *PREDICT, S.VOTE.removeprefix(S.FC).lstrip(",\n"),
+    *predict_sql(), S.VOTE.removeprefix(S.FC).lstrip(",\n"),
     select="SELECT session_id, k, winner, rejected, coalesce(majority, -1) AS majority, output FROM vd"))
 def predict_sessions_voted(spark, sf):
     """The same with votes and debounce."""
     samples = td.short_sessions(spark, sf).drop("y")
     stats = C.rest_calibration(FE.extract_features(samples, continuous=True, first=25))
     out = WF.predict_sessions(samples, C.to_vectors(stats, ["session_id"], ["mu", "sigma"]), [DEVICE_MODEL], smoother="votes")
-    return out.select("session_id", "k", "winner", "rejected", F.coalesce("majority", F.lit(-1)).alias("majority"), "output")
+    return out.select("session_id", F.col("k").cast("long").alias("k"), "winner", "rejected", F.coalesce("majority", F.lit(-1)).alias("majority"), "output")
+
+
+@register("stored_model_scores", S.sql(
+    S.VECTORS, f"sc AS MATERIALIZED (SELECT *, {_scores_sql('f', 10, WIDTH, 5)} AS s FROM vec)",
+    f"pr AS MATERIALIZED (SELECT session_id, k, {_softmax_sql('s')} AS p FROM sc)", select=f"SELECT session_id, k, {_columns_sql(10)} FROM pr"))
+def stored_model_scores(spark, sf):
+    """Three models saved, the newest single one found, loaded and applied."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    for name, shift in (("older", 2), ("newer", 5), ("ensemble_parts", 9)):
+        store.save_model(spark, path, name, _linear(10, WIDTH, shift).table(spark, name), {"channels": [0, 1, 2]})
+    name = store.latest_model(spark, path)
+    rows, settings = store.load_model(spark, path, name)
+    if not (settings["expanded"] and settings["cross_channel"]):
+        raise ValueError("settings that follow from the vector's length are missing")
+    model = M.LinearModel.from_table(rows, name)
+    model = M.LinearModel(CLASSES, *(np.asarray(x)[[model.classes.index(c) for c in CLASSES]] for x in (model.weights, model.intercepts)))
+    return M.score(td.vectors(spark, sf), model, ["session_id", "k"]).select("session_id", "k", *_columns(10))

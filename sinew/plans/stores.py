@@ -17,7 +17,7 @@ from sinew.sources import testdata as td
 ONE = 0  # a session every size has
 
 
-def _stored(spark, sf) -> str:
+def stored_sessions(spark, sf) -> str:
     """Path of a store that holds all long sessions, trials being the years."""
     path = f"{checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
     labels = td.labelled_windows(spark, sf).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
@@ -40,7 +40,7 @@ def _sums(windows):
     select=f"""SELECT w.session_id, w.k, {q('w.start_time', 'start_time')}, {q('w.end_time', 'end_time')}, l.label, l.label AS label_original, l.y - 1995 AS trial_id, {SUMS}
 FROM w JOIN lw l ON l.session_id = w.session_id AND l.k = w.k WHERE w.session_id = {ONE}"""))
 def read_session(spark, sf):
-    return rounded(_sums(store.read_session(spark, _stored(spark, sf), ONE)), ["start_time", "end_time"])
+    return rounded(_sums(store.read_session(spark, stored_sessions(spark, sf), ONE)), ["start_time", "end_time"])
 
 
 @register("read_training", S.sql(
@@ -48,7 +48,7 @@ def read_session(spark, sf):
     select=f"""SELECT session_id, k, label, y - 1995 AS trial_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id
 FROM kept WHERE session_id = {ONE}"""))
 def read_training(spark, sf):
-    return store.read_training(spark, _stored(spark, sf), ONE).select("session_id", "k", "label", "trial_id", "label_id")
+    return store.read_training(spark, stored_sessions(spark, sf), ONE).select("session_id", "k", "label", "trial_id", "label_id")
 
 
 @register("read_all_training", S.sql(
@@ -58,21 +58,21 @@ def read_training(spark, sf):
     select="""SELECT session_id, k, label, CAST(y - 1995 + off AS BIGINT) AS trial_id,
 CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM kept JOIN o USING (session_id)"""))
 def read_all_training(spark, sf):
-    return store.read_all_training(spark, _stored(spark, sf)).select("session_id", "k", "label", "trial_id", "label_id")
+    return store.read_all_training(spark, stored_sessions(spark, sf)).select("session_id", "k", "label", "trial_id", "label_id")
 
 
 @register("session_info", S.sql(
     S.FB, S.windows("fb"), select="""SELECT session_id, 'user' || session_id % 3 AS user_id, count(*) AS num_windows, 150 AS window_samples,
 false AS alignment_enabled, true AS has_trial_ids FROM w GROUP BY 1"""))
 def session_info(spark, sf):
-    return store.session_info(spark, _stored(spark, sf))
+    return store.session_info(spark, stored_sessions(spark, sf))
 
 
 @register("list_sessions", S.sql(S.FB, S.windows("fb"), select="SELECT DISTINCT session_id FROM w"))
 def list_sessions(spark, sf):
-    return store.list_sessions(spark, _stored(spark, sf))
+    return store.list_sessions(spark, stored_sessions(spark, sf))
 
 
 @register("stored_samples", S.sql(S.FB, select=f"SELECT session_id, i, {q('ts', 'ts')}, ch0, {q('ch1', 'ch1')}, ch2, ch3 FROM fb"))
 def stored_samples(spark, sf):
-    return rounded(spark.read.parquet(f"{_stored(spark, sf)}/samples").drop("part"), ["ts", "ch1"])
+    return rounded(spark.read.parquet(f"{stored_sessions(spark, sf)}/samples").drop("part"), ["ts", "ch1"])

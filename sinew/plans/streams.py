@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sinew.operators.features import by_name
 from sinew.plans import fragments as S
+from sinew.plans import models as MO
 from sinew.plans import signals as SG
 from sinew.plans import smoothing as SM
+from sinew.plans import stores as ST
 from sinew.plans.catalog import q, r, register, rounded
+from sinew.sources import store
 from sinew.sources import testdata as td
 from sinew.session import settle
 from sinew.streaming import live as LV
@@ -128,12 +131,41 @@ def stream_sessions(spark, sf):
     return out.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@register("stream_predict")
+@register("silence_alarms", S.sql(
+    S.EVENTS, "m AS (SELECT session_id, ts_us // 1000 AS ms FROM ev)",
+    "n AS (SELECT session_id, ms, lead(ms) OVER (PARTITION BY session_id ORDER BY ms) AS later FROM m)",
+    select=f"SELECT session_id, ms AS silent_from FROM n WHERE later IS NULL OR later - ms > {GAP_US // 1000}"))
+def silence_alarms(spark, sf):
+    """Pauses of more than six hours and the last row of every user, over three triggers and a heartbeat."""
+    rows = settle(td.event_rows(spark, sf).select("session_id", "ts_us", F.timestamp_micros("ts_us").alias("at")))
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    edges = [first + (last - first) * n // 3 for n in (1, 2)]
+    slices = [*_slices(rows, "ts_us", edges), LV.heartbeat(rows), LV.heartbeat(rows, "2 days")]
+    return RN.replay(slices, lambda s: LV.silence_alarms(s, GAP_US // 1000)).filter("session_id IS NOT NULL")
+
+
+@register("stream_features_continuous", S.sql(*SG.DEVICE, select=SG.feature_sql(SG.NAMES)))
+def stream_features_continuous(spark, sf):
+    """Device features from a filter that runs on over the triggers."""
+    samples = td.short_sessions(spark, sf).drop("y")
+    out = RN.replay(_slices(samples, "i", [137, 400]), lambda s: LV.stream_features(s, first=25, continuous=True))
+    return SG._named(out, SG.FULL, SG.NAMES)
+
+
+@register("stream_predict", S.sql(
+    *MO.predict_sql("k < 8", "k >= 8", "k - 8"), S.HYST.removeprefix(S.FC).lstrip(",\n"),
+    select=f"SELECT session_id, CAST(k + 8 AS INTEGER) AS k, winner, {q('conf', 'conf', 5)}, output FROM hs"))
 def stream_predict(spark, sf):
-    """Samples to smoothed classes with running calibration and a rule-given model."""
-    from sinew.operators.models import LinearModel
-    from sinew.plans.models import _weights
+    """Samples to smoothed classes: the first eight windows calibrate, the others are scored with a rule-given model."""
+    samples = td.short_sessions(spark, sf).drop("y")
+    out = RN.replay(_slices(samples, "i", [300, 450]), lambda s: LV.stream_predict(s, MO.DEVICE_MODEL, calibration_windows=8))
+    return rounded(out.select("session_id", "k", "winner", "conf", "output"), ["conf"], 5)
+
 
-    model = LinearModel(("fist", "hook_em", "open", "rest", "thumbs_up"), _weights(5, 69) / 10, _weights(5, 1)[:, 0])
-    samples = td.long_sessions(spark, sf).drop("y")
-    return rounded(RN.replay(_slices(samples, "i", [1500, 4000]), lambda s: LV.stream_predict(s, model)), ["conf"], 5)
+@register("replay_session", S.sql(S.FB, S.windows("fb"), select=SG.CHECKS))
+def replay_session(spark, sf):
+    """Stored samples as a stream, a file per trigger, cut into windows."""
+    source = store.replay_stream(spark, ST.stored_sessions(spark, sf))
+    base = RN.scratch(spark, "replay")
+    RN.run_available(LV.stream_windows(source), f"{base}/out", f"{base}/state")
+    return SG._checks(spark.read.parquet(f"{base}/out"))

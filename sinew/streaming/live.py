@@ -288,7 +288,11 @@ def heartbeat(rows: DataFrame, ahead: str = "1 day") -> DataFrame:
 
 
 def silence_alarms(rows: DataFrame, limit_ms: int = 3000, lateness: str = "0 seconds") -> DataFrame:
-    """A row per session each time nothing came for ``limit_ms`` of event time: ``session_id, silent_from``."""
+    """A row per session each time nothing came for more than ``limit_ms`` of event time: ``session_id, silent_from``.
+
+    A pause between two rows of one trigger counts like one that the watermark finds, so alarms do not depend on the triggers, as
+    long as no row comes behind the watermark. The last row of a session raises one once the watermark has passed it by the limit.
+    """
     state = T.StructType([T.StructField("last_ms", T.LongType())])
     schema = T.StructType([rows.schema["session_id"], T.StructField("silent_from", T.LongType())])
 
@@ -298,9 +302,13 @@ def silence_alarms(rows: DataFrame, limit_ms: int = 3000, lateness: str = "0 sec
             group.remove()
             yield pd.DataFrame({"session_id": [key[0]], "silent_from": [last]})
             return
-        newest = max(int(f["_ms"].max()) for f in frames)
+        times = np.sort(np.concatenate([f["_ms"].to_numpy() for f in frames]))
         if group.exists:
-            newest = max(newest, group.get[0])
+            times = np.sort(np.append(times, group.get[0]))
+        silent = times[:-1][np.diff(times) > limit_ms]
+        if len(silent):
+            yield pd.DataFrame({"session_id": key[0], "silent_from": silent})
+        newest = int(times[-1])
         group.update((newest,))
         group.setTimeoutTimestamp(max(newest + limit_ms, group.getCurrentWatermarkMs() + 1))
 
