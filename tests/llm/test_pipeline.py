@@ -59,7 +59,7 @@ def test_run(llm, folder):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(ORACLES) <= set(QUERIES)
     package = Path(inspect.getfile(corpus_pipeline)).parent / "sinew"
     for source in package.rglob("*.py"):
