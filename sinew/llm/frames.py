@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,14 @@ def stored(df: DataFrame, name: str, *, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Give memory that Arrow and the C library keep for reuse back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fresh_name(columns: list[str], wanted: str) -> str:
     """`wanted`, or with underscores until no column has it (Spark does not tell upper from lower case)."""
     taken = {c.lower() for c in columns}
@@ -83,6 +92,7 @@ def map_texts(
                 arrays = [rows.column(i) for i in range(len(carried))]
                 arrays += [m if isinstance(m, pa.Array) else pa.array(m, arrow.field(len(carried) + i).type) for i, m in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, arrow, strict=True)], names=arrow.names)
+        released()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 

@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sinew.llm.frames import released
 from sinew.llm.text import Hasher, Texts, mixed, owners
 
 SHARD_BYTES = 2 << 20  # text bytes encoded into one shard; a longer text makes a shard of its own
+STRETCH = 1 << 18  # text bytes encoded at once, if a single text is not longer
 JOINED = 1 << 16  # bytes of new pieces that go through the library together
 #: Classes of bytes: 0 part of other characters, 1 letter, 2 digit, 3 other printing ASCII, 4 white space, 5 the space.
 _CLASS = np.zeros(256, np.uint8)
@@ -318,9 +320,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for seq, (keys, texts) in enumerate(_shards(batches)):
-            yield _shard(encoder(tokenizer), part, seq, keys, texts, end)
+        yield from _shards(batches, encoder(tokenizer), TaskContext.get().partitionId(), end)
 
     rows.mapInArrow(run, SHARDS).write.option("compression", "none").option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards").select("part", "seq", "n_ids")
@@ -333,31 +333,48 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     ).write.parquet(f"{path}/starts")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    held, size = [], 0
+class _Shard:
+    """The keys, ids and offsets of a shard's texts, as they are encoded."""
+
+    def __init__(self):
+        self.keys, self.ids, self.sizes, self.bytes, self.n_ids = [], [], [], 0, 0
+
+    def add(self, by: Encoder, keys: pa.Array, texts: Texts, end: int) -> None:
+        for a, b in texts.blocks(STRETCH):
+            ids, offsets = ended(*by.encode(texts.part(a, b)), end)
+            self.ids.append(ids.astype(f"<u{by.width}"))
+            self.sizes.append(np.diff(offsets))
+            self.n_ids += len(ids)
+        self.keys.append(keys)
+        self.bytes += len(texts.data)
+
+    def row(self, by: Encoder, part: int, seq: int) -> pa.RecordBatch:
+        keys = pa.concat_arrays(self.keys)
+        known = keys.drop_null().to_numpy().astype(np.int64)
+        offsets = np.concatenate([[0], *self.sizes]).cumsum()
+        index = Index.build(known, keys.null_count, offsets).pack()
+        first, last = (int(known[0]), int(known[-1])) if len(known) else (None, None)
+        raw = b"".join(x.data for x in self.ids)
+        row = {"part": part, "seq": seq, "first_key": first, "last_key": last, "n_texts": len(keys), "n_ids": self.n_ids, "width": by.width, "ids": raw, "index": index}
+        types = {"part": pa.int32(), "seq": pa.int32(), "width": pa.int32(), "ids": pa.binary(), "index": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], names=list(row))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], by: Encoder, part: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Rows of shards; a shard holds its ids, and of its texts only the batch that is being encoded."""
+    seq, shard = 0, _Shard()
     for batch in batches:
-        for a, b in Texts.of(batch.column(1)).blocks(SHARD_BYTES):
-            rows = batch.slice(a, b - a)
-            held.append(rows)
-            size += len(Texts.of(rows.column(1)).data)
-            if size >= SHARD_BYTES:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield table.column(0), table.column(1)
-                held, size = [], 0
-    if sum(map(len, held)):
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table.column(0), table.column(1)
-
-
-def _shard(by: Encoder, part: int, seq: int, keys: pa.Array, texts: pa.Array, end: int) -> pa.RecordBatch:
-    ids, offsets = ended(*by.encode(Texts.of(texts)), end)
-    nulls = keys.null_count
-    known = keys.drop_null().to_numpy().astype(np.int64)
-    index = Index.build(known, nulls, offsets).pack()
-    first, last = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-    row = {"part": part, "seq": seq, "first_key": first, "last_key": last, "n_texts": len(keys), "n_ids": len(ids), "width": by.width, "ids": ids.astype(f"<u{by.width}").tobytes(), "index": index}
-    types = {"part": pa.int32(), "seq": pa.int32(), "width": pa.int32(), "ids": pa.binary(), "index": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.int64())) for k, v in row.items()], names=list(row))
+        texts = Texts.of(batch.column(1))
+        for a, b in texts.blocks(STRETCH):
+            # The keys are copied, so that they do not hold their batch.
+            shard.add(by, pa.array(batch.column(0).slice(a, b - a).to_pylist(), pa.int64()), texts.part(a, b), end)
+            if shard.bytes >= SHARD_BYTES:
+                yield shard.row(by, part, seq)
+                seq, shard = seq + 1, _Shard()
+        del texts, batch
+        released()
+    if shard.keys:
+        yield shard.row(by, part, seq)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: str, of_text: Callable[[int | None, int, np.ndarray], tuple]) -> DataFrame:
