@@ -216,13 +216,16 @@ def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
 
 
 @lru_cache(maxsize=1)
-def pieces(path: str) -> dict[int, bytes]:
-    """The bytes of each id's piece: a byte-level vocabulary writes a byte as one character, printable ones as themselves."""
+def pieces(path: str) -> np.ndarray:
+    """The bytes of each id's piece, and none after the last id: a byte-level vocabulary writes a byte as one character, printable ones as themselves."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {chr(b): b for b in shown}
     letters |= {chr(0x100 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
     vocabulary = encoder(path).tokenizer.get_vocab(with_added_tokens=True)
-    return {i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode() for token, i in vocabulary.items()}
+    out = np.full(max(vocabulary.values()) + 2, b"", object)
+    for token, i in vocabulary.items():
+        out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+    return out
 
 
 def decoded(rows: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -235,7 +238,11 @@ def decoded(rows: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(tokenizer)
         for batch in batches:
-            texts = [None if row is None else b"".join([table.get(i, b"") for i in row]).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            found = table[np.where((flat >= 0) & (flat < len(table)), flat, len(table) - 1)]
+            upto = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            texts = [b"".join(found[a:b].tolist()).decode("utf-8", "replace") if known else None for a, b, known in zip(upto[:-1], upto[1:], column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[key, ids, "text"])
 
     kind = rows.schema[key].dataType.simpleString()
