@@ -114,7 +114,6 @@ SENTENCES = [
 ]
 VERBS = "licensed|released|distributed|published|available|provided|dual licensed|covered|shared"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-STRETCH = 28  # words a rule may look at
 #: By priority: a name; a name with its version; a sentence of the text; a grant; an identifier line.
 CONFIDENCE = {1: 0.6, 2: 0.75, 3: 0.85, 4: 0.95, 5: 1.0}
 
@@ -171,6 +170,20 @@ def rules() -> list[dict]:
     return [{"id": i, **r} for i, r in enumerate(out)]
 
 
+def _most_words(pattern: str) -> int:
+    """Words that the longest match can have: spaces by alternative, two characters a word where any character may stand."""
+    pattern = re.sub(r"\.\{\d+,(\d+)\}", lambda m: " " * ((int(m[1]) + 1) // 2), pattern.removesuffix("(?= |$)"))
+    inner = r"\((?:\?:)?([^()]*)\)"
+    while re.search(inner, pattern):
+        pattern = re.sub(inner, lambda m: " " * max(a.count(" ") for a in m[1].split("|")), pattern)
+    return max(a.count(" ") for a in pattern.split("|")) + 1
+
+
+def stretch() -> int:
+    """Words from a lead on that the rules may look at: as many as the widest one can take up."""
+    return max(_most_words(r["pattern"]) for r in rules())
+
+
 def _lowered(text: str) -> Column:
     upper = "".join(map(chr, range(65, 91)))
     return F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())
@@ -194,8 +207,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("_low", _lowered(text)).withColumn("n_words", F.regexp_count(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")).withColumn("_words", words)
     indexed = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("start"), w.alias("lead"))), lambda s: F.array_contains(leads, s["lead"]))
     out = out.withColumn("_starts", indexed)
-    stretch = F.transform("_starts", lambda s: F.struct(s["start"].alias("start"), s["lead"].alias("lead"), F.array_join(F.slice("_words", s["start"] + 1, STRETCH), " ").alias("words")))
-    out = out.withColumn("_stretches", stretch)
+    width = stretch()
+    stretches = F.transform("_starts", lambda s: F.struct(s["start"].alias("start"), s["lead"].alias("lead"), F.array_join(F.slice("_words", s["start"] + 1, width), " ").alias("words")))
+    out = out.withColumn("_stretches", stretches)
     places = F.flatten(F.transform("_stretches", lambda s: F.filter(
         F.array(*[F.struct(s["start"].cast("long").alias("start"), F.when(F.startswith(F.concat(s["words"], F.lit(" ")), F.lit(p + " ")), label).alias("label")) for p, label in BASE.items()]),
         lambda b: b["label"].isNotNull(),
