@@ -22,7 +22,7 @@ from sinew.llm.text import SPACED_WORD, Hasher, Texts, joined, mixed, owners, pe
 CUT = 0.7
 #: Bounds of the fitting sample: trusted positives, and labelled negatives that only set where the score crosses CUT.
 SAMPLE = {1: 6000, 0: 3000}
-UNLABELLED = 12_000  # texts of any kind, by a hash of the key
+UNLABELLED = 12_000  # texts of any kind for the gradient steps, by a hash of the key
 SHAPES = 64  # hashed word shapes
 HIDDEN = 16
 _HASH, _SHAPE = Hasher(91), Hasher(92)
@@ -112,12 +112,15 @@ def descend(x: np.ndarray, seed: int, steps: int, batches, slope) -> Scorer:
     return net
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25) -> float:
-    """Share of positives among unlabelled texts from scores of both: the least ratio of upper tails that hold `least` of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.02, 1 - least, 60))
-    share = np.array([(unlabelled >= c).mean() for c in cuts])
+def prior_cuts(positive: np.ndarray, least: float = 0.25) -> np.ndarray:
+    """Ascending scores whose upper tails hold from nearly all down to `least` of the positives."""
+    return np.quantile(positive, np.linspace(0.02, 1 - least, 60))
+
+
+def estimated_prior(positive: np.ndarray, cuts: np.ndarray, tails: np.ndarray, n: int) -> float:
+    """Share of positives among n texts of which the shares `tails` lie above the cuts: the least ratio of upper tails."""
     # One standard error is added, as the least of many noisy ratios lies too low.
-    share += np.sqrt(share * (1 - share) / max(len(unlabelled), 1))
+    share = tails + np.sqrt(tails * (1 - tails) / max(n, 1))
     ratio = share / np.maximum([(positive >= c).mean() for c in cuts], 1e-9)
     return float(np.clip(ratio.min(), 0.05, 0.98))
 
@@ -126,12 +129,13 @@ def _epochs(rows: int, batch: int, epochs: int = 20) -> int:
     return int(np.clip(epochs * rows / batch, 150, 1500))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, batch: int = 256, seed: int = 0) -> tuple[Scorer, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, *, halves: tuple[np.ndarray, np.ndarray] | None = None, tails=None, batch: int = 256, seed: int = 0) -> tuple[Scorer, float]:
     """The scorer of least non-negative risk, and the prior used.
 
     Risk with the sigmoid loss: prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)); where the second part falls below
     zero its gradient is turned round, as it then only fits noise. The prior comes from scores of texts that the scoring
-    network has not seen: it is fitted on one half of both samples and judged on the other, both ways.
+    network has not seen: it is fitted on one half of both samples and judged on the other, both ways. `tails(nets, cuts)` counts, for
+    both networks, how many texts of the other half of the corpus lie above each cut, and how many there are; without it the sample's do.
     """
 
     def against(z, _):  # positives against unlabelled
@@ -140,13 +144,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, batch: int = 256, seed:
     def draw(p: int, u: int):
         return lambda rng: (np.concatenate([rng.integers(0, p, batch), p + rng.integers(0, u, batch)]), None)
 
-    found = []
-    for fold in (0, 1):
-        p, u = (positive[fold::2], unlabelled[fold::2]) if min(len(positive), len(unlabelled)) > 1 else (positive, unlabelled)
-        other_p, other_u = (positive[1 - fold :: 2], unlabelled[1 - fold :: 2]) if p is not positive else (positive, unlabelled)
-        net = descend(np.concatenate([p, u]), seed, _epochs(len(p) + len(u), batch, 5), draw(len(p), len(u)), against)
-        found.append(estimated_prior(net.logits(other_p), net.logits(other_u)))
-    prior = float(np.mean(found))
+    own_p, own_u = halves or (np.arange(len(positive)) % 2, np.arange(len(unlabelled)) % 2)
+    if min((own_p == 0).sum(), (own_p == 1).sum(), (own_u == 0).sum(), (own_u == 1).sum()) == 0:
+        own_p, own_u = np.full(len(positive), 2), np.full(len(unlabelled), 2)  # too few to halve: both see all
+    nets, cuts, unseen = [], [], []
+    for half in (0, 1):
+        p, u = positive[(own_p == half) | (own_p == 2)], unlabelled[(own_u == half) | (own_u == 2)]
+        nets.append(descend(np.concatenate([p, u]), seed, _epochs(len(p) + len(u), batch, 5), draw(len(p), len(u)), against))
+        unseen.append(nets[half].logits(positive[own_p != half]))
+        cuts.append(prior_cuts(unseen[half]))
+    if tails is None:
+        counts = [(nets[h].logits(unlabelled[own_u != h])[:, None] >= cuts[h]).sum(axis=0) for h in (0, 1)]
+        sizes = [int((own_u != h).sum()) for h in (0, 1)]
+    else:
+        counts, sizes = tails(nets, cuts)
+    prior = float(np.mean([estimated_prior(unseen[h], cuts[h], counts[h] / max(sizes[h], 1), sizes[h]) for h in (0, 1) if sizes[h]] or [0.5]))
 
     def slope(z, _):
         s = sigmoid(z)
@@ -160,13 +172,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, batch: int = 256, seed:
     return descend(x, seed + 1, _epochs(len(x), batch), draw(len(positive), len(unlabelled)), slope), prior
 
 
+def corpus_tails(rows: DataFrame, nets: list[Scorer], cuts: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """How many of all rows (text, half) score at each network's cuts or above, counted in Spark; network h only judges rows of the other half."""
+
+    def levels(texts: Texts, batch: pa.RecordBatch) -> list:
+        x, half = features(texts), batch.column(batch.schema.get_field_index("half")).to_numpy()
+        level = np.zeros(len(x), np.int32)
+        for h in (0, 1):
+            level[half != h] = np.searchsorted(cuts[h], nets[h].logits(x[half != h]), "right")
+        return [level]
+
+    found = map_texts(rows, "text", levels, [field("level", T.IntegerType())], keep=["half"]).groupBy("half", "level").count().collect()
+    counts = np.zeros((2, len(cuts[0]) + 1), np.int64)
+    for r in found:
+        counts[1 - r["half"], r["level"]] = r["count"]
+    above = [c[::-1].cumsum()[::-1] for c in counts]
+    return [a[1:] for a in above], [int(a[0]) for a in above]
+
+
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *, modulus: int = 4, rest: int = 2, sample: dict[int, int] = SAMPLE, unlabelled: int = UNLABELLED) -> Scorer:
     """The scorer, learnt from labels of keys whose crc32 does not leave `rest`; its score crosses CUT between the labelled classes.
 
-    Positives labelled 1 are trusted; unlabelled texts are a sample of all documents, labels unseen. A fourth of the labelled
-    sample is kept out of the fit and sets the cut.
+    Positives labelled 1 are trusted; unlabelled texts are a sample of all documents, labels unseen. The sample only serves the
+    gradient steps: the class prior comes from the scores of all documents, each judged by the network that saw the other half of keys.
+    A fourth of the labelled sample is kept out of the fit and sets the cut.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    half = F.pmod(F.xxhash64(F.col("key"), F.lit("half")), F.lit(2)).cast("int")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("half", half)
     chosen = chosen_labels(labels, key, label, ~held_out(key, modulus, rest), sample)
     some = rows.select("key").where("key IS NOT NULL").orderBy(F.xxhash64("key", F.lit("web")), "key").limit(unlabelled).distinct().withColumn("label", F.lit(-1))
 
@@ -174,16 +206,17 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         x = features(texts)
         return [lists(x.ravel(), np.arange(len(x) + 1) * x.shape[1], pa.float64())]
 
-    table = map_texts(matched(rows, chosen.unionByName(some)), "text", rows_of, [field("x", T.ArrayType(T.DoubleType()))], keep=["key", "label"]).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    table = map_texts(matched(rows, chosen.unionByName(some)), "text", rows_of, [field("x", T.ArrayType(T.DoubleType()))], keep=["key", "label", "half"]).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     if not len(table):
         return constant()
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-    kind, keys = table["label"].to_numpy(), table["key"].to_numpy()
+    kind, keys, part = table["label"].to_numpy(), table["key"].to_numpy(), table["half"].to_numpy()
     kept_out = part_of(keys, 4) & (kind >= 0)
     positive, web = x[(kind == 1) & ~kept_out], x[kind == -1]
     if not len(positive) or not len(web):
         return constant(x.shape[1])
-    scorer, _ = fit(positive, web)
+    halves = part[(kind == 1) & ~kept_out], part[kind == -1]
+    scorer, _ = fit(positive, web, halves=halves, tails=lambda nets, cuts: corpus_tails(rows, nets, cuts))
     rows_ = kept_out if kept_out.any() else kind >= 0
     scorer.base += logit(CUT) - best_cut(scorer.logits(x[rows_]), kind[rows_], balanced=True)
     return scorer
