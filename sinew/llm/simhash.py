@@ -206,7 +206,7 @@ def links(nodes: DataFrame, most: int = 4) -> DataFrame:
     `nodes` has distinct fingerprints. Keys shared by many give a spanning forest, not all pairs.
     """
     count, both = bit_counts(nodes)
-    chosen = masks(allocate(count, both, most))
+    chosen = masks(allocate(max(count, 1), both, most))
     keys = nodes.select("fingerprint", F.posexplode(F.array(*[F.lit(_signed(m)) for m in chosen])).alias("m", "mask"))
     keys = keys.select("m", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("v"), "fingerprint")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
