@@ -310,7 +310,7 @@ def _matrix(spark, sf):
 @register("train_sessions")
 def train_sessions(spark, sf):
     """Samples → labels → 69 features → z-scores → discriminant, specialists and ensemble: grouped accuracy of each."""
-    return rounded(WF.train_models(_matrix(spark, sf)).accuracy, ["accuracy"])
+    return rounded(WF.train_models(_matrix(spark, sf)).scores, ["accuracy"])
 
 
 DEVICE_MODEL = M.LinearModel(("fist", "hook_em", "open", "rest", "thumbs_up"), _weights(5, 69) / 10, (np.arange(5) % 3 - 1) / 4.0)

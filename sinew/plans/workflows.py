@@ -41,8 +41,10 @@ def training_matrix(windows: DataFrame, options: FE.FeatureOptions = FE.FeatureO
 class Trained:
     lda: M.LinearModel
     ensemble: M.Ensemble
-    #: ``model, fold, n, accuracy`` of the discriminant, each specialist and the ensemble
+    #: ``fold, n, accuracy`` of the discriminant
     accuracy: DataFrame
+    #: ``model, fold, n, accuracy`` of the discriminant, each specialist and the ensemble
+    scores: DataFrame
     #: ``pos, importance`` of the discriminant
     importance: DataFrame
 
@@ -75,8 +77,9 @@ def train_models(matrix: DataFrame, folds: int = 5) -> Trained:
     every = hits(F.col("p"), outer, "meta")
     for n, name in enumerate(heads):
         every = every.unionByName(hits(F.slice("p", n * k + 1, k), held, name))
-    accuracy = every.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
-    return Trained(lda, M.Ensemble(columns, specialists, meta), accuracy, M.feature_importance(lda.table(spark, "lda")))
+    scores = every.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    accuracy = scores.filter("model = 'lda'").drop("model")
+    return Trained(lda, M.Ensemble(columns, specialists, meta), accuracy, scores, M.feature_importance(lda.table(spark, "lda")))
 
 
 def _outside(moments: DataFrame, group: list[str], fold: str) -> DataFrame:

@@ -7,6 +7,7 @@ from sinew.operators import augment as AU
 from sinew.operators import windows as W
 from sinew.plans import workflows as WF
 from sinew.operators import models as M
+from sinew.operators import split as SP
 from sinew.sources import lines as LN
 from sinew.sources import store
 
@@ -63,6 +64,23 @@ def test_training_job(spark):
     assert trained.ensemble.meta.weights.shape == (2, 6)
 
 
+def test_one_matrix_gives_what_separate_fits_give(spark):
+    """Discriminant, specialists, ensemble and accuracies of the shared passes equal those of trainers that read the matrix by themselves."""
+    _, windows, labels, _ = recorded(spark)
+    matrix = WF.training_matrix(windows.join(labels, ["session_id", "k"]), multiplier=2)
+    trained = WF.train_models(matrix, folds=3)
+    folds = SP.group_kfold(matrix.filter("is_real"), ["session_id", "trial_id"], 3).drop("n")
+    rows = matrix.join(folds, ["session_id", "trial_id"])
+    alone = M.fit_ensemble(rows)
+    np.testing.assert_allclose(trained.lda.weights, M.fit_lda(M.by_class(M.class_moments(matrix))).weights, rtol=1e-6, atol=1e-8)
+    for name, model in alone.specialists.items():
+        np.testing.assert_allclose(trained.ensemble.specialists[name].weights, model.weights, rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose(trained.ensemble.meta.weights, alone.meta.weights, rtol=1e-5, atol=1e-7)
+    want = {r.fold: (r.n, r.accuracy) for r in M.cross_val_accuracy(rows).collect()}
+    assert {r.fold: (r.n, r.accuracy) for r in trained.accuracy.collect()} == want
+    assert {r["model"] for r in trained.scores.collect()} == {"td", "fd", "cc", "lda", "meta"}
+
+
 def test_models_round_trip(spark, tmp_path):
     path = str(tmp_path)
     model = M.LinearModel(("a", "b"), np.eye(2, 5), np.array([0.5, -0.5]))
