@@ -88,6 +88,13 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def distinct_keys(members: DataFrame) -> DataFrame:
+    """`members` (key, node, …) without keys that have the very nodes of a smaller key: alike texts share many keys, and one says it all."""
+    hashes = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x")
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), *hashes).groupBy("n", "s", "x").agg(F.min("key").alias("key"))
+    return members.join(alike.select("key"), "key", "left_semi")
+
+
 def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(node, root) over the verified links of `members` (band key, node, size); `sets` has each node's set.
 
@@ -139,7 +146,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", *, wi
     nodes = stored(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
     keyed = prints.select(F.explode("bands").alias("key"), "node", "size").distinct()
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = stored(keyed.join(shared, "key"), "members")
+    members = stored(distinct_keys(stored(keyed.join(shared, "key"), "keyed")), "members")
 
     def whole(texts: Texts, _) -> list:
         flat, first = shingle_sets(texts, width)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sinew.llm.frames import field, fresh_name, lists, map_texts
+from sinew.llm.frames import field, fresh_name, lists, map_texts, released
 from sinew.llm.labelled import best_cut, chosen_labels, held_out, matched, part_of, sigmoid
 from sinew.llm.text import PLAIN_WORD, Hasher, Texts
 
@@ -213,7 +213,7 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     texts = [(w.values.to_numpy(), s.values.to_numpy()) for w, s in zip(table["word"], table["stem"], strict=True)]
     network = fit(texts, table["label"].to_numpy().astype(np.int64), table["lang"].to_pylist(), part_of(table["key"].to_numpy(), 4), epochs=epochs)
     del texts, table
-    pa.default_memory_pool().release_unused()
+    released()
     return network
 
 
