@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinew.llm.frames import BLOCK
+from sinew.llm.frames import BLOCK, released
 from sinew.llm.text import Hasher, Texts
 from sinew.llm.tokens import encoder
 
@@ -120,6 +120,7 @@ def _send(path: str, parts: int, size: int):
                     pa.array([sizes[a:b] for _, a, b in rows], pa.list_(pa.int32())),
                     pa.array([_gathered(texts.data, starts[a:b], sizes[a:b]).tobytes() for _, a, b in rows], pa.binary()),
                 ], names=["bucket", "block", "sizes", "words"])
+            released()
 
     return run
 
@@ -164,6 +165,7 @@ def _texts(size: int):
                 pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([np.diff(texts.offsets)], pa.list_(pa.int64())),
                 pa.array([len(raw)], pa.int64()), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary()),
             ], names=["block", "keys", "sizes", "bytes", "data"])
+            released()
 
     return run
 
@@ -171,6 +173,7 @@ def _texts(size: int):
 def _join(path: str, parts: int, key: str):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         """(key, ids) of a block's texts from the ids of its distinct words, in ascending order of their hashes."""
+        released()
         (row,) = texts.to_pylist()
         data = np.frombuffer(pa.decompress(row["data"], row["bytes"], codec="zstd", asbytes=True), np.uint8) if row["bytes"] else np.zeros(0, np.uint8)
         block = Block(Texts(data, np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)), path)
@@ -240,10 +243,11 @@ def decoded(rows: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "id
         for batch in batches:
             column = batch.column(1)
             flat = column.flatten().to_numpy(zero_copy_only=False)
-            found = table[np.where((flat >= 0) & (flat < len(table)), flat, len(table) - 1)]
+            joined = lambda ids: b"".join(table[np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)].tolist())
             upto = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            texts = [b"".join(found[a:b].tolist()).decode("utf-8", "replace") if known else None for a, b, known in zip(upto[:-1], upto[1:], column.is_valid().to_pylist(), strict=True)]
+            texts = [joined(flat[a:b]).decode("utf-8", "replace") if known else None for a, b, known in zip(upto[:-1], upto[1:], column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[key, ids, "text"])
+        released()
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(f"`{key}`"), F.col(f"`{ids}`")).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>, text string")
