@@ -2,11 +2,14 @@
 
 A word's vector is the sum of a vector of its hash and one of the hash of its first bytes, which words of one stem
 share. Filters of several widths slide over all words of a text; each filter's maximum feeds a logistic output. The
-network is fitted on a bounded sample of labelled rows and applied to whole texts inside Spark tasks.
+network is fitted on all labelled rows and applied to whole texts, both inside Spark tasks: an epoch is one job, in which every shard
+of the rows takes its steps from the same state.
 """
 
 from __future__ import annotations
 
+import copy
+from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
@@ -15,17 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sinew.llm.frames import field, fresh_name, lists, map_texts, released
-from sinew.llm.labelled import best_cut, chosen_labels, held_out, matched, part_of, sigmoid
+from sinew.llm.frames import BLOCK, field, fresh_name, map_texts, released, stored
+from sinew.llm.labelled import best_cut_counted, held_out, known_labels, part_of, sigmoid
 from sinew.llm.text import PLAIN_WORD, Hasher, Texts
+from sinew.session import settle
 
 BUCKETS = 1 << 17
 STEM = 5  # bytes
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
-#: Bounds of the fitting sample, by label.
-SAMPLE = {1: 2500, 0: 3500}
+SHARD_ROWS = 6000  # labels whose texts one state passes through in an epoch
+TASKS = 64  # at most so many tasks of an epoch send their sums
+SLICE = 1 << 10  # buckets of a table that travel in one row
+BINS = 1 << 12  # of a logit, when cuts are looked for
 LEAST = 30  # labelled texts of each label that a language needs for a threshold of its own
 _WORD, _STEM = Hasher(31), Hasher(32)
 
@@ -155,64 +161,216 @@ class Network:
         return float(-(weight * np.log(np.where(label == 1, p, 1 - p) + 1e-9)).sum() / weight.sum())
 
 
-def label_odds(number: np.ndarray, first: np.ndarray, label: np.ndarray, prior: float = 2.0) -> np.ndarray:
-    """Smoothed log odds of label 1 for texts that have a bucket's words, against all texts."""
-    having = np.zeros((2, BUCKETS))
-    for a, b, y in zip(first[:-1], first[1:], label, strict=True):
-        having[int(y == 1), np.unique(number[a:b])] += 1
+def label_odds(having: np.ndarray, texts: np.ndarray, prior: float = 2.0) -> np.ndarray:
+    """Smoothed log odds of label 1 for texts that have a bucket's words (`having`: texts by label and bucket), against all texts."""
     with_zero, with_one = having
-    ones, zeros = max(1, (label == 1).sum()), max(1, (label == 0).sum())
+    zeros, ones = np.maximum(1, texts)
     odds = np.log((with_one + prior) / (ones + prior)) - np.log((with_zero + prior) / (zeros + prior))
     # A bucket that nothing was seen in says nothing.
     return np.where(with_one + with_zero > 0, odds, 0.0).astype(np.float32)
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, lang: list[str | None], calibrating: np.ndarray, *, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 0) -> Network:
-    """A network from word and stem buckets of texts; rows marked `calibrating` only set the cut and the languages' thresholds."""
-    train = np.flatnonzero(~calibrating)
-    joined = lambda rows: (
+def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task shard by shard; a shard's rows follow each other."""
+    held, current = [], None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        for rows in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+            if not len(rows):
+                continue
+            if held and shard[rows[0]] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = shard[rows[0]]
+            held.append(batch.slice(int(rows[0]), len(rows)))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(table: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Buckets of every text, labels, and which rows calibrate."""
+    texts = []
+    for chunk in table["text"].chunks:
+        whole = Texts.of(chunk)
+        for a, b in whole.blocks(BLOCK):
+            word, stem, first = word_numbers(whole.part(a, b))
+            texts += [(word[x:y], stem[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
+    return texts, table["label"].to_numpy().astype(np.int64), part_of(table["key"].to_numpy(), 4)
+
+
+def _joined(texts: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (
         np.concatenate([np.zeros(0, np.int32), *(texts[i][0] for i in rows)]),
         np.concatenate([np.zeros(0, np.int32), *(texts[i][1] for i in rows)]),
         np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in rows], dtype=np.int64)]),
     )
-    word, stem, first = joined(train)
-    network = Network.start(label_odds(word, first, label[train]), label_odds(stem, first, label[train]), seed)
-    del word, stem
-    share = max(1e-3, label[train].mean() if len(train) else 0.5)
-    weight = np.where(label == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share))
-    rng, memory = np.random.default_rng(seed), {}
-    for _ in range(epochs if 0 < label[train].sum() < len(train) else 0):
-        order = rng.permutation(train)
-        for a in range(0, len(order), batch):
-            rows = order[a : a + batch]
-            network.step(*joined(rows), label[rows].astype(np.float32), weight[rows].astype(np.float32), memory, rate)
-    rows = np.flatnonzero(calibrating) if calibrating.any() else train
-    score = np.concatenate([network.logits(*joined(rows[a : a + batch])) for a in range(0, len(rows), batch)]) if len(rows) else np.zeros(0)
-    network.base -= best_cut(score, label[rows])
-    score = score - best_cut(score, label[rows])
-    for code in sorted({x for x in lang if x is not None}):
-        own = np.array([lang[i] == code for i in rows], bool)
-        if own.any() and min((label[rows][own] == 1).sum(), (label[rows][own] == 0).sum()) >= LEAST:
-            network.thresholds[code] = float(sigmoid(np.array(best_cut(score[own], label[rows][own]))))
-    return network
 
 
-def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", *, modulus: int = 5, rest: int = 0, sample: dict[int, int] = SAMPLE, epochs: int = 6) -> Network:
-    """The classifier, learnt from labels of keys whose crc32 does not leave `rest`; at most `sample` rows of each label."""
-    chosen = chosen_labels(labels, key, label, ~held_out(key, modulus, rest), sample)
-    rows = matched(docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), chosen)
+def _summed(rows: DataFrame, by: str) -> pa.Table:
+    """Rows (`by`, v) with the vectors of equal `by` added up on the cluster."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table["v"][0]))
+        for v in table["v"]:
+            total += v.values.to_numpy()
+        return pa.table({by: table[by][:1].cast(pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    return rows.groupBy(by).applyInArrow(add, f"{by} int, v array<double>").toArrow()
+
+
+def seen_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all texts: texts by (word or stem, label, bucket) and by label, without those that calibrate, and those that calibrate by label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having, count = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
+        for table in shard_tables(batches):
+            texts, label, calibrating = _numbers(table)
+            for (word, stem), y, held in zip(texts, label, calibrating, strict=True):
+                one = int(y == 1)
+                count[int(held), one] += 1
+                if not held:
+                    having[0, one, np.unique(word)] += 1
+                    having[1, one, np.unique(stem)] += 1
+        if count.any():
+            # A bounded piece of the table a row.
+            flat = having.reshape(-1, SLICE)
+            yield pa.record_batch({"slot": pa.array(range(-1, len(flat)), pa.int32()), "v": pa.array([count.ravel(), *flat], pa.list_(pa.float64()))})
+        released()
+
+    having, count = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
+    table = _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot")
+    flat = having.reshape(-1, SLICE)
+    for slot, v in zip(table["slot"].to_pylist(), table["v"], strict=True):
+        if slot < 0:
+            count[:] = v.values.to_numpy().reshape(2, 2)
+        else:
+            flat[slot] = v.values.to_numpy()
+    return having, count[0], count[1]
+
 
-    def numbers(texts: Texts, _: pa.RecordBatch) -> list:
-        word, stem, first = word_numbers(texts)
-        return [lists(word, first, pa.int32()), lists(stem, first, pa.int32())]
+def _dense(network: Network) -> list[np.ndarray]:
+    return [network.out, *network.filters, *network.bias]
 
-    ints = T.ArrayType(T.IntegerType())
-    table = map_texts(rows, "text", numbers, [field("word", ints), field("stem", ints)], keep=["key", "lang", "label"]).toArrow()
-    table = table.sort_by([("key", "ascending")])
-    # Views of the table's buffers: the sample is held once.
-    texts = [(w.values.to_numpy(), s.values.to_numpy()) for w, s in zip(table["word"], table["stem"], strict=True)]
-    network = fit(texts, table["label"].to_numpy().astype(np.int64), table["lang"].to_pylist(), part_of(table["key"].to_numpy(), 4), epochs=epochs)
-    del texts, table
+
+_DENSE = ["out", *(f"filter{k}" for k in range(len(WIDTHS))), *(f"bias{k}" for k in range(len(WIDTHS)))]
+
+
+def epoch_of(rows: DataFrame, network: Network, memory: dict, epoch: int, share: float, *, batch: int, rate: float, seed: int) -> tuple[Network, dict]:
+    """The network after an epoch: every shard takes its steps from the given state, and their states are put together.
+
+    Filters, outputs and their memories are means by rows. A bucket's vector moves by the mean over the shards that moved
+    it, and its memory grows by what they all added.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((network, memory))
+    width = 2 * DIM + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved, dense, trained_rows = np.zeros((2, BUCKETS, width), np.float32), None, 0
+        for table in shard_tables(batches):
+            start, before = shared.value
+            texts, label, calibrating = _numbers(table)
+            train = np.flatnonzero(~calibrating)
+            if not len(train):
+                continue
+            own, kept = copy.deepcopy(start), copy.deepcopy(before)
+            weight = np.where(label == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share))
+            rng = np.random.default_rng(seed)
+            for _ in range(epoch + 1):
+                order = rng.permutation(train)
+            for a in range(0, len(order), batch):
+                at = order[a : a + batch]
+                own.step(*_joined(texts, at), label[at].astype(np.float32), weight[at].astype(np.float32), kept, rate)
+            for t, name in enumerate(("word", "stem")):
+                old, new = getattr(start, name), getattr(own, name)
+                grown = kept[name] - (before[name] if name in before else np.float32(1e-4))
+                change = new - old
+                moved[t, :, :DIM] += change
+                moved[t, :, DIM:-1] += grown
+                moved[t, :, -1] += (change != 0).any(axis=1)
+            flat = np.concatenate([
+                *(v.ravel() for v in _dense(own)), *(np.broadcast_to(kept[n], v.shape).ravel() for n, v in zip(_DENSE, _dense(own), strict=True)),
+                [own.base, kept["base"], 1.0],
+            ]).astype(np.float64) * len(train)
+            dense, trained_rows = flat if dense is None else dense + flat, trained_rows + len(train)
+        if trained_rows:
+            flat = moved.reshape(-1, SLICE * width)
+            yield pa.record_batch({"slot": pa.array(range(-1, len(flat)), pa.int32()), "v": pa.array([dense, *flat.astype(np.float64)], pa.list_(pa.float64()))})
+        released()
+
+    found = _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot")
+    network, memory = copy.deepcopy(network), dict(memory)
+    moved = np.zeros((2, BUCKETS, width), np.float32)
+    pieces = moved.reshape(-1, SLICE * width)
+    for slot, v in zip(found["slot"].to_pylist(), found["v"], strict=True):
+        if slot >= 0:
+            pieces[slot] = v.values.to_numpy()
+            continue
+        flat = v.values.to_numpy()
+        flat, at = flat[:-1] / flat[-1], 0
+        for target in ("value", "memory"):
+            for name, value in zip(_DENSE, _dense(network), strict=True):
+                part = flat[at : at + value.size].reshape(value.shape).astype(np.float32)
+                at += value.size
+                if target == "value":
+                    value[...] = part
+                else:
+                    memory[name] = part
+        network.base, memory["base"] = float(flat[-2]), float(flat[-1])
+    for t, name in enumerate(("word", "stem")):
+        table = getattr(network, name)
+        table += moved[t, :, :DIM] / np.maximum(moved[t, :, -1:], 1)
+        memory[name] = memory.get(name, np.float32(1e-4)) + moved[t, :, DIM:-1]
+    shared.unpersist()
+    return network, memory
+
+
+def cuts(rows: DataFrame, network: Network, calibrating: bool) -> None:
+    """Set the network's cut and its languages' thresholds from all rows that calibrate, or from all that do not.
+
+    Scores are counted in bins of 1 / `BINS` of a logit, so what comes back is bounded whatever the number of rows.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = part_of(batch.column("key").to_numpy(zero_copy_only=False), 4) == calibrating
+            chosen = batch.filter(pa.array(keep))
+            texts = Texts.of(chosen.column("text"))
+            for a, b in texts.blocks(BLOCK):
+                own = chosen.slice(a, b - a)
+                score = shared.value.logits(*word_numbers(texts.part(a, b))).astype(np.float64)
+                yield pa.record_batch({"lang": own.column("lang"), "label": own.column("label"), "bin": pa.array(np.round(score * BINS).astype(np.int64))})
+        released()
+
+    schema = T.StructType([field("lang", T.StringType()), field("label", T.IntegerType()), field("bin", T.LongType())])
+    found = rows.select("key", "lang", "label", "text").mapInArrow(run, schema).groupBy("lang", "label", "bin").count().toPandas()
+    found["score"] = found["bin"] / BINS
+    whole = found.groupby(["score", "label"], as_index=False)["count"].sum()
+    cut = best_cut_counted(whole)
+    network.base -= cut
+    found["score"] -= cut
+    for code, own in found[found["lang"].notna()].groupby("lang"):
+        if min(own.loc[own["label"] == v, "count"].sum() for v in (0, 1)) >= LEAST:
+            network.thresholds[code] = float(sigmoid(np.array(best_cut_counted(own))))
+
+
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", *, modulus: int = 5, rest: int = 0, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 0) -> Network:
+    """The classifier, learnt from all labels of keys whose crc32 does not leave `rest`.
+
+    A share of the texts only sets the cut and the languages' thresholds; the others are trained on in shards.
+    """
+    known = stored(known_labels(labels, key, label, ~held_out(key, modulus, rest)), "labels")
+    shards = max(1, -(-known.count() // SHARD_ROWS))
+    rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(known, "key")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    # A task holds one shard at a time; many shards share a task, so sums that meet stay few.
+    rows = settle(rows.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "key"))
+    having, train, held = seen_words(rows)
+    network, memory = Network.start(label_odds(having[0], train), label_odds(having[1], train), seed), {}
+    share = max(1e-3, train[1] / train.sum()) if train.sum() else 0.5
+    for epoch in range(epochs if train.all() else 0):
+        network, memory = epoch_of(rows, network, memory, epoch, share, batch=batch, rate=rate, seed=seed)
+    cuts(rows, network, bool(held.any()))
     released()
     return network
 

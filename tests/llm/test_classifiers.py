@@ -104,3 +104,23 @@ def test_network_step_lowers_loss():
     one = np.concatenate([network.logits(w, s, np.array([0, len(w)])) for w, s in texts])
     assert np.allclose(one, network.logits(word, stem, first), atol=1e-5)
     assert held_out("x", 5, 0) is not None
+
+
+def test_toxicity_learns_from_all_labels(llm, monkeypatch):
+    """Words that few of many shards hold are learnt; shards and tasks change nothing else."""
+    rows = corpus_of(1800, seed=5)
+    docs = llm.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = llm.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(tox, "SHARD_ROWS", 300)
+    seen = {}
+    whole = tox.seen_words
+    monkeypatch.setattr(tox, "seen_words", lambda rows: seen.setdefault("counts", whole(rows)))
+    found = tox.toxicity(docs, labels).collect()
+    learnable = sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    assert seen["counts"][1].sum() + seen["counts"][2].sum() == learnable
+    truth = {r[0]: r[3] for r in rows}
+    unseen = [r for r in found if r["held_out"]]
+    assert area(np.array([r["score"] for r in unseen]), np.array([truth[r["doc_id"]] for r in unseen])) > 0.95
+    monkeypatch.setattr(tox, "TASKS", 2)
+    again = {r["doc_id"]: r["score"] for r in tox.toxicity(docs.repartition(3), labels).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-3 for r in found)
