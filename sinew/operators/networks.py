@@ -1,16 +1,17 @@
 """Gradient-trained classifiers whose steps run on the cluster: a ReLU perceptron and a kernel machine on random features.
 
-Training rows lie in a written table, cut into fixed mini-batches by a hash of their keys. A step is one job: the weights go out
-as a broadcast of known size, every task sums the gradients of its rows for all models at once, sums of many tasks
-meet in bounded groups, and the driver moves the weights by Adam. All folds of a cross-validation are models of the same
-steps: a row adds to the models that do not hold its fold out. Batches, dropout and start weights come from hashes and a seed,
-so results depend on partitioning only by the rounding of sums.
+Training rows are cut into fixed mini-batches by a hash of their keys, and mini-batches into shards of a fixed number of rows. An
+epoch is one job: weights and moments go out as a broadcast of known size, every shard takes its Adam steps from there for
+all models, and the states of all shards are averaged by their rows on the cluster, so that one row per model reaches the
+driver. Tables of one shard take the steps of plain mini-batch training. All folds of a cross-validation are models of the
+same epochs: a row adds to the models that do not hold its fold out. Batches, shards, dropout and start weights come from
+hashes and a seed, so results depend on partitioning only by the rounding of sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from sinew.functions import arrow
 from sinew.operators.models import PROBABILITIES, DenseNet, cross_val_accuracy, fit_qda, predict_label, softmax
 from sinew.session import settle
 
-GROUPS = 64  # groups in which the sums of tasks meet before the driver
+GROUPS = 64  # groups in which the sums of tasks meet before those of a model
+SHARD_ROWS = 1 << 14  # rows that one state passes through in an epoch
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,7 +197,7 @@ def fit_networks(
     """Models by (kind, held-out fold): of every kind one without each of the folds 0 … ``folds`` − 1, and one on all rows (None) if ``whole``.
 
     ``features`` has ``session_id, k, label, f`` and, with folds, ``fold``. A step sees the rows of one mini-batch of about ``batch``
-    rows; an epoch visits all mini-batches in an order drawn for it. Rows of other labels than ``classes`` are left out, and so
+    rows; an epoch visits all mini-batches in an order drawn for it, those of different shards side by side. Rows of other labels than ``classes`` are left out, and so
     are rows without label.
     """
     spark = features.sparkSession
@@ -209,8 +211,11 @@ def fit_networks(
     if not count:
         raise ValueError("no rows to train on")
     batches = -(-count // batch)
-    parts = max(1, min(rows.rdd.getNumPartitions(), -(-count // 2048)))
-    rows = rows.withColumn("part", F.pmod("h", F.lit(batches)).cast("int")).coalesce(parts).persist()
+    shards = -(-batches // max(1, SHARD_ROWS // batch))
+    # Mini-batches of a shard lie together and in order, so a task holds one shard at a time.
+    part = F.pmod("h", F.lit(batches)).cast("int")
+    rows = rows.withColumn("part", part).withColumn("shard", F.col("part") % shards)
+    rows = (rows.repartitionByRange(shards, "shard") if shards > 1 else rows.coalesce(1)).sortWithinPartitions("shard", "part", "h").persist()
     models = [(kind, fold) for kind in kinds for fold in [*([None] if whole else []), *range(folds)]]
     inputs = _scalings(rows, folds) if scaled else None
     width = len(rows.select("f").first()["f"])
@@ -218,63 +223,88 @@ def fit_networks(
     scales = [plain if inputs is None else inputs[0 if fold is None else fold + 1] for _, fold in models]
     weights = [kinds[kind].start(width, len(classes), seed) for kind, _ in models]
     movers = [Adam(kinds[kind].rate) for kind, _ in models]
-    schema = "part int, model int, n long, loss double, g array<double>"
+    schema = "part int, model int, n long, steps double, v array<double>"
+
+    def run_epoch(epoch: int) -> None:
+        sent = spark.sparkContext.broadcast((weights, movers))
+        order = np.random.default_rng([seed, epoch]).permutation(batches)
+
+        def shard_of(table: pa.Table) -> list[tuple[int, int, int, np.ndarray]]:
+            """Every model's rows, steps and state after the shard's mini-batches of this epoch."""
+            x = np.concatenate([arrow.matrix(c) for c in table["f"].chunks])
+            y, fold, h, part = (table[c].to_numpy() for c in ("y", "fold", "h", "part"))
+            x_of = {p: np.flatnonzero(part == p) for p in np.unique(part)}
+            out = []
+            for n, (kind, held) in enumerate(models):
+                mean, scale = scales[n]
+                now, mover, seen = list(sent.value[0][n]), replace(sent.value[1][n]), 0
+                for at in np.flatnonzero(np.isin(order, list(x_of))):
+                    own = x_of[order[at]]
+                    own = own if held is None else own[fold[own] != held]
+                    if not len(own):
+                        continue
+                    g, _ = kinds[kind].gradients(now, (x[own] - mean) / scale, y[own], h[own], epoch * batches + int(at), seed)
+                    g = [v / len(own) + more for v, more in zip(g, kinds[kind].penalty(now, count))]
+                    now, seen = mover.move(now, g), seen + len(own)
+                if seen:
+                    out.append((n, seen, mover.steps, np.concatenate([v.ravel() for v in (*now, *mover.first, *mover.second)])))
+            return out
+
+        def train(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-    def run_step(step: int, part: int) -> None:
-        sent = spark.sparkContext.broadcast(weights)
+            sums, held, current = {}, [], None
 
-        def gradients(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+            def finish() -> None:
+                for n, seen, steps, flat in shard_of(pa.Table.from_batches(held)) if held else []:
+                    old = sums.get(n, (0, 0.0, 0.0))
+                    sums[n] = (old[0] + seen, old[1] + seen * steps, old[2] + seen * flat)
 
-            now, sums = sent.value, {}
             for b in batches_:
-                if not b.num_rows:
-                    continue
-                x, y, fold, h = arrow.matrix(b.column("f")), *(b.column(c).to_numpy() for c in ("y", "fold", "h"))
-                for n, (kind, out) in enumerate(models):
-                    own = np.ones(len(y), bool) if out is None else fold != out
-                    if not own.any():
+                shard = b.column("shard").to_numpy()
+                for piece in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                    if not len(piece):
                         continue
-                    mean, scale = scales[n]
-                    g, loss = kinds[kind].gradients(now[n], (x[own] - mean) / scale, y[own], h[own], step, seed)
-                    flat = np.concatenate([v.ravel() for v in g])
-                    held = sums.get(n)
-                    sums[n] = (int(own.sum()), loss, flat) if held is None else (held[0] + int(own.sum()), held[1] + loss, held[2] + flat)
+                    if shard[piece[0]] != current:
+                        finish()
+                        held, current = [], shard[piece[0]]
+                    held.append(b.slice(int(piece[0]), len(piece)))
+            finish()
             if sums:
                 yield arrow.batch({
                     "part": pa.array([TaskContext.get().partitionId() % GROUPS] * len(sums), pa.int32()), "model": pa.array(list(sums), pa.int32()),
-                    "n": pa.array([s[0] for s in sums.values()]), "loss": pa.array([s[1] for s in sums.values()]),
-                    "g": pa.array([s[2] for s in sums.values()], pa.list_(pa.float64())),
+                    "n": pa.array([v[0] for v in sums.values()]), "steps": pa.array([v[1] for v in sums.values()]),
+                    "v": pa.array([v[2] for v in sums.values()], pa.list_(pa.float64())),
                 })
 
         def add(table: pa.Table) -> pa.Table:
-            g = arrow.matrix(table["g"].combine_chunks()).sum(axis=0, keepdims=True)
+            table = table.sort_by("part").combine_chunks()
+            v = sum(x.values.to_numpy() for x in table["v"])
             return pa.table({
                 "part": table["part"][:1], "model": table["model"][:1], "n": pa.array([int(np.sum(table["n"].to_numpy()))]),
-                "loss": pa.array([float(np.sum(table["loss"].to_numpy()))]), "g": arrow.list_column(g),
+                "steps": pa.array([float(np.sum(table["steps"].to_numpy()))]), "v": arrow.list_column(v[None]),
             })
 
-        found = rows.filter(F.col("part") == part).mapInArrow(gradients, schema)
-        if parts > GROUPS:
+        found = rows.mapInArrow(train, schema)
+        if shards > GROUPS:
             found = found.groupBy("part", "model").applyInArrow(add, schema)
-        total: dict[int, list] = {}
-        for r in found.orderBy("model", "part").collect() if parts > GROUPS else found.collect():
-            held = total.setdefault(r["model"], [0, 0.0])
-            held[0] += r["n"]
-            held[1] = held[1] + np.array(r["g"])
-        for n, (size, flat) in total.items():
-            at, g = 0, []
-            for w, more in zip(weights[n], kinds[models[n][0]].penalty(weights[n], count)):
-                g.append(flat[at : at + w.size].reshape(w.shape) / size + more)
-                at += w.size
-            weights[n] = movers[n].move(weights[n], g)
+        if shards > 1:
+            found = found.groupBy("model").applyInArrow(add, schema)
+        # One row per model.
+        for r in found.collect():
+            n, flat = r["model"], np.array(r["v"]) / r["n"]
+            shapes, at, pieces = [w.shape for w in weights[n]], 0, []
+            for shape in shapes * 3:
+                size = int(np.prod(shape))
+                pieces.append(flat[at : at + size].reshape(shape))
+                at += size
+            own = len(shapes)
+            weights[n] = pieces[:own]
+            movers[n] = Adam(movers[n].rate, round(r["steps"] / r["n"]), pieces[own : 2 * own], pieces[2 * own :])
         sent.unpersist()
 
-    step = 0
     for epoch in range(epochs):
-        for part in np.random.default_rng([seed, epoch]).permutation(batches).tolist():
-            run_step(step, part)
-            step += 1
+        run_epoch(epoch)
     rows.unpersist()
     return {m: Model(kinds[m[0]], tuple(classes), w, *s) for m, w, s in zip(models, weights, scales)}
 

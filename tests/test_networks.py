@@ -93,3 +93,20 @@ def test_rows_without_known_label_are_left_out(spark):
     a, b = (N.fit_perceptron(d, CLASSES, (4,), epochs=2, batch=64) for d in (df, more))
     np.testing.assert_allclose(a.weights[0], b.weights[0], atol=1e-12)
     assert M.score(df, a, ["k"]).count() == 60
+
+
+def test_epochs_are_the_jobs_and_shards_learn_side_by_side(spark, monkeypatch):
+    """Many mini-batches in many shards: jobs follow the epochs, not the mini-batches, and what is learnt holds."""
+    x, y, df = blobs(spark, 1200)
+    monkeypatch.setattr(N, "SHARD_ROWS", 128)
+    tracker, group = spark.sparkContext.statusTracker(), "shards"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        nets = [N.fit_networks(d, CLASSES, {"mlp": N.Perceptron((8,), 0.0, 1e-2)}, epochs=8, batch=16)["mlp", None] for d in (df, df.repartition(5))]
+        jobs = len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 2 * 75  # 75 mini-batches an epoch
+    for a, b in zip(nets[0].weights, nets[1].weights):
+        np.testing.assert_allclose(a, b, atol=1e-6)
+    assert (nets[0].probabilities(x).argmax(axis=1) == y).mean() > 0.8
