@@ -52,13 +52,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on; safe to repeat on a given session.
 
     Kernel stages cost far more per byte than scans, so partitions may shrink to 64 KB as long as
-    there are cores to use them; at scale the advisory size decides as usual.
+    there are cores to use them; at scale the advisory size decides as usual. A row of a kernel's batch may be a whole
+    chunk of samples, so batches are bounded by bytes as well.
     """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
@@ -84,3 +86,9 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a Parquet table at `path`: for large tables that feed several scans."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

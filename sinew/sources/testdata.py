@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinew.ordered import dense_index
-from sinew.session import prepare
+from sinew.session import checkpoint_folder, prepare, written
 
 # Session numbering of the long recordings: suppliers per session.
 SUPPLIERS_PER_SESSION = 10
@@ -15,6 +17,8 @@ YEAR_LABELS = {
     1995: "rest", 1996: "open", 1997: "rest", 1998: "fist", 1999: "rest", 2000: "hook_em", 2001: "thumbs_up",
 }
 ORDER_KEYS_PER_CHUNK = 1 << 28
+DAY_US = 86_400_000_000
+DAYS_PER_CHUNK = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +35,13 @@ def _samples(spark: SparkSession, sf_dir: str, session: Column) -> DataFrame:
         (F.col("l_tax") * 1000).alias("ch3"),
         F.year("l_shipdate").alias("y"),
     )
-    # Chunks grow along the sort order: days, split by order keys.
+    # Chunks grow along the sort order: months, so that a session has far fewer chunks than rows. Numbers of rows without
+    # session start anew in every chunk: those of a day, split by order keys.
+    apart = F.col("session_id").isNull()
     chunk = F.struct(
-        F.to_date("l_shipdate").alias("day"),
-        F.floor(F.col("l_orderkey") / ORDER_KEYS_PER_CHUNK).alias("block"),
+        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month"),
+        F.when(apart, F.to_date("l_shipdate")).alias("day"),
+        F.when(apart, F.floor(F.col("l_orderkey") / ORDER_KEYS_PER_CHUNK)).alias("block"),
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"]
     indexed = dense_index(lines, ["session_id"], order, chunk)
@@ -53,6 +60,11 @@ def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir, F.floor(F.col("l_suppkey") / SUPPLIERS_PER_SESSION))
 
 
+def numbered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``long_sessions`` as a written table, for queries that read the samples more than once."""
+    return written(long_sessions(spark, sf_dir), f"{checkpoint_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}")
+
+
 def year_label(year: Column) -> Column:
     expr = F.lit(None).cast("string")
     for y, name in YEAR_LABELS.items():
@@ -66,7 +78,9 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), micros.alias("ts_us"), "event_type", "value"
     )
-    return dense_index(events, ["session_id"], ["ts_us"], F.floor(F.col("ts_us") / 86_400_000_000), "k")
+    # Numbers of rows without session start anew every day.
+    days = F.when(F.col("session_id").isNull(), 1).otherwise(DAYS_PER_CHUNK)
+    return dense_index(events, ["session_id"], ["ts_us"], F.floor(F.col("ts_us") / (days * DAY_US)), "k")
 
 
 CLASSES = ("click", "error", "purchase", "signup", "view")
@@ -110,7 +124,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window keys of the long sessions with the label of their year: ``…, y, label``."""
+    return labelled(long_sessions(spark, sf_dir))
+
+
+def labelled(samples: DataFrame) -> DataFrame:
+    """Window keys of samples with the label of their year."""
     from sinew.operators.windows import window_index
 
-    index = window_index(long_sessions(spark, sf_dir), carry=["y"])
-    return index.withColumn("label", year_label(F.col("y")))
+    return window_index(samples, carry=["y"]).withColumn("label", year_label(F.col("y")))
