@@ -18,12 +18,17 @@ ONE = 0  # a session every size has
 
 
 def stored_sessions(spark, sf) -> str:
-    """Path of a store that holds all long sessions, trials being the years."""
+    """Path of a store that holds all long sessions, trials being the years.
+
+    The samples are numbered once, into a table that windows, labels and the stored samples are all read from.
+    """
     path = f"{checkpoint_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    labels = td.labelled_windows(spark, sf).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
-    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", "start_time", "end_time", "x")
-    sessions = windows.select("session_id").distinct().withColumn("user_id", F.concat(F.lit("user"), F.col("session_id") % 3))
-    store.write_session(path, sessions, windows, labels, td.long_sessions(spark, sf).drop("y"))
+    samples = td.numbered_sessions(spark, sf)
+    labels = td.labelled(samples).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
+    windows = W.sliding_windows(samples).select("session_id", "k", "start_time", "end_time", "x")
+    # Sessions of the labels are those of the windows: the store takes no others.
+    sessions = labels.select("session_id").distinct().withColumn("user_id", F.concat(F.lit("user"), F.col("session_id") % 3))
+    store.write_session(path, sessions, windows, labels, samples.drop("y"))
     return path
 
 

@@ -162,10 +162,14 @@ def stream_predict(spark, sf):
     return rounded(out.select("session_id", "k", "winner", "conf", "output"), ["conf"], 5)
 
 
+REPLAY_TRIGGERS = 4
+
+
 @register("replay_session", S.sql(S.FB, S.windows("fb"), select=SG.CHECKS))
 def replay_session(spark, sf):
-    """Stored samples as a stream, a file per trigger, cut into windows."""
-    source = store.replay_stream(spark, ST.stored_sessions(spark, sf))
+    """Stored samples as a stream, cut into windows; the files come in a few triggers, however many there are."""
+    path = ST.stored_sessions(spark, sf)
+    source = store.replay_stream(spark, path, files_per_trigger=-(-store.sample_files(spark, path) // REPLAY_TRIGGERS))
     base = RN.scratch(spark, "replay")
     RN.run_available(LV.stream_windows(source), f"{base}/out", f"{base}/state")
     return SG._checks(spark.read.parquet(f"{base}/out"))

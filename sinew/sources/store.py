@@ -10,7 +10,8 @@ which lets a read of one session prune the folder and then the row groups.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,28 @@ def part_of(session: F.Column, parts: int = PARTS) -> F.Column:
     return F.pmod(F.xxhash64(session.cast("string")), F.lit(parts)).cast("int")
 
 
+def _celled(rows: DataFrame, order: str, cell: int) -> DataFrame:
+    return rows.withColumn("part", part_of(F.col("session_id"))).withColumn("_cell", F.floor(F.col(order) / cell))
+
+
+def _placed(rows: DataFrame, order: str, cell: int) -> DataFrame:
+    return _celled(rows, order, cell).repartition("part", "session_id", "_cell")
+
+
+@contextmanager
+def _together(spark: SparkSession) -> Iterator[None]:
+    """Joins keep a partitioning by some of their keys instead of shuffling both sides again by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _write(rows: DataFrame, path: str, order: str, cell: int, mode: str) -> None:
-    placed = rows.withColumn("part", part_of(F.col("session_id"))).withColumn("_cell", F.floor(F.col(order) / cell))
+    placed = _celled(rows, order, cell)
     sorted_rows = placed.hint("rebalance", "part", "session_id", "_cell").sortWithinPartitions("part", "session_id", order).drop("_cell")
     sorted_rows.write.mode(mode).partitionBy("part").parquet(path)
 
@@ -47,9 +68,16 @@ def session_name(user: str, started) -> F.Column:
     return F.concat(user, F.lit("_"), F.date_format(started, "yyyyMMdd_HHmmss"))
 
 
-def check_lengths(windows: DataFrame, labels: DataFrame) -> None:
-    """Error if a session has no windows, or windows and labels differ in number."""
-    left = windows.groupBy("session_id").agg(F.count("*").alias("windows"))
+def session_counts(windows: DataFrame) -> DataFrame:
+    """``session_id, num_windows, window_samples``, settled: one row per session from one pass over the windows."""
+    return settle(windows.groupBy("session_id").agg(
+        F.count("*").alias("num_windows"), F.first(F.size(F.get("x", F.lit(0)))).alias("window_samples")
+    ))
+
+
+def check_lengths(counts: DataFrame, labels: DataFrame) -> None:
+    """Error if a session has no windows, or windows (their ``session_counts``) and labels differ in number."""
+    left = counts.select("session_id", F.col("num_windows").alias("windows"))
     right = labels.groupBy("session_id").agg(F.count("*").alias("labels"))
     wrong = left.join(right, "session_id", "full").filter(
         F.coalesce("windows", F.lit(0)) != F.coalesce("labels", F.lit(0))
@@ -57,7 +85,7 @@ def check_lengths(windows: DataFrame, labels: DataFrame) -> None:
     bad = wrong.limit(1).collect()
     if bad:
         raise ValueError(f"windows and labels differ in session {bad[0]['session_id']}")
-    if windows.isEmpty():
+    if counts.isEmpty():
         raise ValueError("no windows to store")
 
 
@@ -77,22 +105,23 @@ def write_session(
     ``labels`` (session_id, k, label, trial_id). With ``envelope`` the labels are moved to the
     activity onset and the start of each run becomes rest; the original stays beside it.
     """
-    check_lengths(windows, labels)
-    timed = labels.join(windows.select("session_id", "k", "start_time", "end_time"), ["session_id", "k"])
-    stored = timed.withColumn("label_original", F.col("label"))
+    counts = session_counts(windows)
+    check_lengths(counts, labels)
+    stored = labels.withColumn("label_original", F.col("label"))
     if envelope is not None:
+        stored = stored.join(windows.select("session_id", "k", "start_time", "end_time"), ["session_id", "k"])
         stored = L.align_to_onset(stored, envelope).drop("label").withColumnRenamed("aligned_label", "label")
         if shift:
             stored = L.forward_shift(stored)
-    joined = windows.join(
-        stored.select("session_id", "k", "label", "label_original", "trial_id"), ["session_id", "k"]
-    )
-    _write(joined, f"{path}/windows", "k", CELL_WINDOWS, mode)
+    wanted = stored.select("session_id", "k", "label", "label_original", "trial_id")
+    with _together(windows.sparkSession):
+        # Windows are far larger than their labels: both go to the writing tasks and are joined there, so windows move once.
+        joined = _placed(windows, "k", CELL_WINDOWS).join(_placed(wanted, "k", CELL_WINDOWS), ["part", "session_id", "_cell", "k"])
+        ordered = joined.sortWithinPartitions("part", "session_id", "_cell", "k")
+        columns = [*windows.columns, "label", "label_original", "trial_id"]
+        ordered.select(*["session_id", "k"], *[c for c in columns if c not in ("session_id", "k")], "part").write.mode(mode).partitionBy("part").parquet(f"{path}/windows")
     if samples is not None:
         _write(samples, f"{path}/samples", "i", CELL_SAMPLES, mode)
-    counts = windows.groupBy("session_id").agg(
-        F.count("*").alias("num_windows"), F.first(F.size(F.get("x", F.lit(0)))).alias("window_samples")
-    )
     sessions.join(counts, "session_id").withColumn("alignment_enabled", F.lit(envelope is not None)).withColumn(
         "has_trial_ids", F.lit("trial_id" in labels.columns)
     ).write.mode(mode).parquet(f"{path}/sessions")
@@ -167,6 +196,11 @@ def read_all_training(spark: SparkSession, path: str, *, drop: bool = True) -> D
     return combine_training(spark.read.parquet(f"{path}/windows").drop("part"), drop=drop)
 
 
+def sample_files(spark: SparkSession, path: str) -> int:
+    """Number of files that hold the stored samples."""
+    return len(spark.read.parquet(f"{path}/samples").inputFiles())
+
+
 def replay_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -> DataFrame:
     """Stored samples as a streaming source."""
     schema = spark.read.parquet(f"{path}/samples").schema
