@@ -14,6 +14,7 @@ from sinew.operators import windows as W
 from sinew.plans import fragments as S
 from sinew.plans.catalog import q, r, register, rounded
 from sinew.plans.signals import AC, RECENT
+from sinew.session import settle
 from sinew.sources import testdata as td
 
 REST = "c0"
@@ -152,8 +153,10 @@ ENERGY = (
 
 
 def _energy(spark, sf):
-    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", W.window_rms().alias("ac_rms"))
-    return windows.join(td.labelled_windows(spark, sf).select("session_id", "k", "label"), ["session_id", "k"])
+    """One small row per window, settled: the quantiles and gates read it several times."""
+    samples = td.numbered_sessions(spark, sf)
+    windows = W.sliding_windows(samples).select("session_id", "k", W.window_rms().alias("ac_rms"))
+    return settle(windows.join(td.labelled(samples).select("session_id", "k", "label"), ["session_id", "k"]))
 
 
 GATE = """lim AS (SELECT session_id, min(ac_rms) FILTER (label = 'rest') AS lo, max(ac_rms) FILTER (label <> 'rest') AS hi,
@@ -324,7 +327,8 @@ def training_matrix(spark, sf):
     """Windows → copies → features → per-session z-score from the originals only."""
     from sinew.plans.workflows import training_matrix as build
 
-    keys = td.labelled_windows(spark, sf).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
-    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", "x").join(keys, ["session_id", "k"])
+    samples = td.numbered_sessions(spark, sf)
+    keys = td.labelled(samples).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
+    windows = W.sliding_windows(samples).select("session_id", "k", "x").join(keys, ["session_id", "k"])
     out = build(windows, multiplier=2)
     return out.select("session_id", "k", "copy", "label", *[r(F.col("f")[n], 4).alias(f"f{n}") for n in (0, 30, 68)])

@@ -121,7 +121,11 @@ onset AS MATERIALIZED (SELECT *, coalesce((SELECT min(ts) FROM env e WHERE e.ses
 
 
 def _envelope(spark, sf):
-    return td.long_sessions(spark, sf).select("session_id", "i", "ts", FI.rms_across_channels().alias("env"))
+    return _enveloped(td.long_sessions(spark, sf))
+
+
+def _enveloped(samples):
+    return samples.select("session_id", "i", "ts", FI.rms_across_channels().alias("env"))
 
 
 @register("onset_baseline", S.sql(
@@ -160,7 +164,8 @@ def apply_boundaries(spark, sf):
   (SELECT arg_max(e.label, e.k) FROM eff e WHERE e.session_id = lw.session_id AND e.eff <= lw.start_time),
   (SELECT arg_min(f.label, f.k) FROM lw f WHERE f.session_id = lw.session_id)) AS aligned_label FROM lw"""))
 def align_to_onset(spark, sf):
-    aligned = L.align_to_onset(td.labelled_windows(spark, sf), _envelope(spark, sf))
+    samples = td.numbered_sessions(spark, sf)
+    aligned = L.align_to_onset(td.labelled(samples), _enveloped(samples))
     return aligned.select("session_id", "k", "label", "aligned_label")
 
 
@@ -205,8 +210,9 @@ def session_samples(spark, sf):
 CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM kept JOIN o USING (session_id)"""))
 def combine_training(spark, sf):
     """Sessions without trial ids get one trial per window; here every third session has none."""
-    keys = td.labelled_windows(spark, sf)
+    samples = td.numbered_sessions(spark, sf)
+    keys = td.labelled(samples)
     trial = F.when(F.col("session_id") % 3 != 1, F.col("y") - 1995)
-    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", "x")
+    windows = W.sliding_windows(samples).select("session_id", "k", "x")
     rows = keys.withColumn("trial_id", trial).drop("y").join(windows, ["session_id", "k"])
     return store.combine_training(rows).select("session_id", "k", "label", "trial_id", "label_id")

@@ -289,10 +289,10 @@ def fit_mlp(spark, sf):
 @register("classifier_benchmark")
 def classifier_benchmark(spark, sf):
     """Base 69 and base + MPF 105 values of the long sessions' windows, z-scored per session, folds of whole trials."""
-    samples = td.long_sessions(spark, sf)
-    keys = td.labelled_windows(spark, sf).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
-    base = C.session_zscore(FE.extract_features(samples).join(keys, ["session_id", "k"]))
-    bands = C.session_zscore(FE.cross_spectrum(samples).join(keys, ["session_id", "k"])).select("session_id", "k", F.col("f").alias("m"))
+    samples = td.numbered_sessions(spark, sf)
+    keys = td.labelled(samples).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
+    base = C.session_zscore(settle(FE.extract_features(samples).join(keys, ["session_id", "k"])))
+    bands = C.session_zscore(settle(FE.cross_spectrum(samples).join(keys, ["session_id", "k"]))).select("session_id", "k", F.col("f").alias("m"))
     folds = SP.group_kfold(keys, ["session_id", "trial_id"]).drop("n")
     rows = settle(base.join(bands, ["session_id", "k"]).join(folds, ["session_id", "trial_id"]))
     sets = {"base": rows, "base_mpf": rows.withColumn("f", F.concat("f", "m"))}
@@ -301,9 +301,10 @@ def classifier_benchmark(spark, sf):
 
 def _matrix(spark, sf):
     """The training matrix of the long sessions: labelled windows, transitions left out, features, z-scores."""
-    keys = td.labelled_windows(spark, sf).withColumn("trial_id", (F.col("y") - 1995).cast("long"))
+    samples = td.numbered_sessions(spark, sf)
+    keys = td.labelled(samples).withColumn("trial_id", (F.col("y") - 1995).cast("long"))
     kept = L.drop_transitions(keys).select("session_id", "k", "label", "trial_id")
-    windows = W.sliding_windows(td.long_sessions(spark, sf)).select("session_id", "k", "x").join(kept, ["session_id", "k"])
+    windows = W.sliding_windows(samples).select("session_id", "k", "x").join(kept, ["session_id", "k"])
     return WF.training_matrix(windows)
 
 

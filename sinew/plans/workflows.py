@@ -34,7 +34,8 @@ def training_matrix(windows: DataFrame, options: FE.FeatureOptions = FE.FeatureO
     """``windows`` (session_id, k, label, trial_id, x) → z-scored vectors shared by all trainers."""
     rows = AU.augment(windows, multiplier) if multiplier > 1 else AU.tile_groups(windows, 1)
     keep = [c for c in rows.columns if c not in ("x", "start_time", "end_time")]
-    return C.session_zscore(FE.features_of_windows(rows, options, keep))
+    # Read twice: for the statistics and to be scaled by them.
+    return C.session_zscore(settle(FE.features_of_windows(rows, options, keep)))
 
 
 @dataclass(frozen=True)
