@@ -31,6 +31,10 @@ FILTERS = 8  # of each width
 SHARD_ROWS = 6000  # labels whose texts one state passes through in an epoch
 TASKS = 64  # at most so many tasks of an epoch send their sums
 SLICE = 1 << 10  # buckets of a table that travel in one row
+PIECE = 1 << 22  # bytes of text that are compressed together
+PART_BITS = 1 << 15  # of a row of `bitmap_construct_agg`
+MAYBE = 8  # bits, or up to twice as many, that tell a labelled key
+MOST_BITS = 1 << 27
 BINS = 1 << 12  # of a logit, when cuts are looked for
 LEAST = 30  # labelled texts of each label that a language needs for a threshold of its own
 _WORD, _STEM = Hasher(31), Hasher(32)
@@ -170,21 +174,56 @@ def label_odds(having: np.ndarray, texts: np.ndarray, prior: float = 2.0) -> np.
     return np.where(with_one + with_zero > 0, odds, 0.0).astype(np.float32)
 
 
+def maybe_known(docs: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """The rows of `docs` whose key is among the `count` keys of `known`, and a few others.
+
+    A bit per hash of a key goes to every task, `MAYBE` bits a key but never more than `MOST_BITS`; with more keys than that
+    serves, more other rows pass. So texts without a label are not shuffled.
+    """
+    bits = min(MOST_BITS, max(PART_BITS, 1 << (MAYBE * count).bit_length()))
+    place = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(bits))
+    part, at = F.floor(place / PART_BITS).cast("long"), place % PART_BITS
+    filled = known.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.floor(byte / F.pow(F.lit(2), F.col("at") % 8)) % 2 == 1
+    placed = docs.where(F.col("key").isNotNull()).withColumns({"part": part, "at": at})
+    return placed.join(F.broadcast(filled), "part").where(there).drop("part", "at", "bits")
+
+
+def packed(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(shard, rows): the labelled rows of every shard, ordered, as compressed pieces of some `PIECE` bytes of text.
+
+    Every text with a label is shuffled once, to its shard, and meets its label there.
+    """
+
+    def meet(texts: pa.Table, labels: pa.Table) -> pa.Table:
+        found = texts.drop_columns("shard").join(labels.drop_columns("shard"), "key", join_type="inner")
+        found = found.sort_by([("key", "ascending"), ("lang", "ascending"), ("text", "ascending")]).combine_chunks()
+        pieces = []
+        for batch in found.to_batches():
+            for a, b in Texts.of(batch.column("text")).blocks(PIECE):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                pieces.append(sink.getvalue().to_pybytes())
+        shard = (texts if len(texts) else labels)["shard"][0].as_py() if pieces else 0
+        return pa.table({"shard": pa.array([shard] * len(pieces), pa.int32()), "rows": pa.array(pieces, pa.binary())})
+
+    return known.groupBy("shard").cogroup(docs.groupBy("shard")).applyInArrow(lambda labels, texts: meet(texts, labels), "shard int, rows binary")
+
+
 def shard_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of a task shard by shard; a shard's rows follow each other."""
+    """The rows of a task shard by shard; a shard's pieces follow each other."""
     held, current = [], None
     for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        for rows in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
-            if not len(rows):
-                continue
-            if held and shard[rows[0]] != current:
-                yield pa.Table.from_batches(held)
+        for shard, rows in zip(batch.column("shard").to_pylist(), batch.column("rows"), strict=True):
+            if held and shard != current:
+                yield pa.concat_tables(held)
                 held = []
-            current = shard[rows[0]]
-            held.append(batch.slice(int(rows[0]), len(rows)))
+            current = shard
+            held.append(pa.ipc.open_stream(rows.as_buffer()).read_all())
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.concat_tables(held)
 
 
 def _numbers(table: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
@@ -332,7 +371,7 @@ def cuts(rows: DataFrame, network: Network, calibrating: bool) -> None:
     shared = rows.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for table in shard_tables(batches) for b in table.to_batches()):
             keep = part_of(batch.column("key").to_numpy(zero_copy_only=False), 4) == calibrating
             chosen = batch.filter(pa.array(keep))
             texts = Texts.of(chosen.column("text"))
@@ -343,7 +382,7 @@ def cuts(rows: DataFrame, network: Network, calibrating: bool) -> None:
         released()
 
     schema = T.StructType([field("lang", T.StringType()), field("label", T.IntegerType()), field("bin", T.LongType())])
-    found = rows.select("key", "lang", "label", "text").mapInArrow(run, schema).groupBy("lang", "label", "bin").count().toPandas()
+    found = rows.mapInArrow(run, schema).groupBy("lang", "label", "bin").count().toPandas()
     found["score"] = found["bin"] / BINS
     whole = found.groupby(["score", "label"], as_index=False)["count"].sum()
     cut = best_cut_counted(whole)
@@ -360,11 +399,14 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     A share of the texts only sets the cut and the languages' thresholds; the others are trained on in shards.
     """
     known = stored(known_labels(labels, key, label, ~held_out(key, modulus, rest)), "labels")
-    shards = max(1, -(-known.count() // SHARD_ROWS))
-    rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(known, "key")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    known = known.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
+    count = known.count()
+    shards = max(1, -(-count // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    texts = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = packed(maybe_known(texts, known, count).withColumn("shard", shard), known.withColumn("shard", shard))
     # A task holds one shard at a time; many shards share a task, so sums that meet stay few.
-    rows = settle(rows.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "key"))
+    rows = settle(rows.coalesce(min(shards, TASKS)))
     having, train, held = seen_words(rows)
     network, memory = Network.start(label_odds(having[0], train), label_odds(having[1], train), seed), {}
     share = max(1e-3, train[1] / train.sum()) if train.sum() else 0.5

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sinew.llm import positive_unlabelled as pu
 from sinew.llm import toxicity as tox
@@ -124,3 +125,26 @@ def test_toxicity_learns_from_all_labels(llm, monkeypatch):
     monkeypatch.setattr(tox, "TASKS", 2)
     again = {r["doc_id"]: r["score"] for r in tox.toxicity(docs.repartition(3), labels).collect()}
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-3 for r in found)
+
+
+def test_only_labelled_texts_are_shuffled(llm, monkeypatch):
+    """Shards hold every row with a label and no other; of the rows without one few pass the filter before the shuffle."""
+    rows = [(i % 9000 if i % 7 else None, f"text {i} " * (i % 5), "en" if i % 2 else None) for i in range(10000)]
+    docs = llm.createDataFrame(rows, "key long, text string, lang string")
+    labels = {k: k % 2 for k in [*range(0, 9000, 31), 10**9]}
+    known = llm.createDataFrame(list(labels.items()), "key long, label int")
+    wanted = sorted((k, x or "", t, labels[k]) for k, t, x in rows if k in labels)
+    maybe = tox.maybe_known(docs, known, len(labels))
+    assert maybe.columns == docs.columns
+    found = [r["key"] for r in maybe.collect()]
+    assert len(wanted) <= len(found) < len(wanted) + 1000 and {w[0] for w in wanted} <= set(found)
+    monkeypatch.setattr(tox, "PIECE", 500)
+    shard = F.pmod("key", F.lit(3)).cast("int")
+    pieces = tox.packed(maybe.withColumn("shard", shard), known.withColumn("shard", shard)).toArrow()
+    assert len(pieces) > 10
+    tables = list(tox.shard_tables(iter(pieces.to_batches())))
+    for t in tables:
+        keys = t["key"].to_pylist()
+        assert keys == sorted(keys) and len({k % 3 for k in keys}) == 1
+    assert len(tables) == 3
+    assert sorted((r["key"], r["lang"] or "", r["text"], r["label"]) for t in tables for r in t.to_pylist()) == wanted
