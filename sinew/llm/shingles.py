@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sinew.llm.components import components
-from sinew.llm.frames import field, fresh_name, map_texts, stored
-from sinew.llm.text import SPACED_WORD, Hasher, Texts, joined, mixed
+from sinew.llm.frames import field, fresh_name, map_texts, released, stored
+from sinew.llm.text import SPACED_WORD, Hasher, Texts, joined, mixed, owners
 
 WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 5
+SKETCH = 16  # longs of a set's sketch
 _HASH = Hasher(8)
 _FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -73,6 +74,17 @@ def band_keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`SKETCH` longs of each set, whose bits tell whether an odd number of its hashes belongs to them.
+
+    A hash in one of two sets turns one bit, so two sketches differ in at most as many bits as hashes are in one set only.
+    """
+    bits = 64 * SKETCH
+    place = (flat >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64) + bits * owners(first)
+    odd = np.bincount(place, minlength=bits * (len(first) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH)
+
+
 def similar(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sets (x, y: ascending hashes) have at least that similarity."""
 
@@ -84,6 +96,7 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = both >= least * (len(x) + len(y) - both) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
+        released()
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -96,31 +109,36 @@ def distinct_keys(members: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, root) over the verified links of `members` (band key, node, size); `sets` has each node's set.
+    """(node, root) over the verified links of `members` (band key, node, size); `sets` has each node's set and sketch.
 
     In every round the members of a key are compared with a few of them, its pivots, which then leave it, until a key's
     members are all of one component. Keys that stay open get more pivots from round to round. All pairs under a key are
-    so compared or already joined, and a large group of copies costs a comparison a member and no square.
+    so compared or already joined, and a large group of copies costs a comparison a member and no square. Sizes and sketches
+    rule out nearly all unlike pairs inside the join; only pairs that may be similar become rows and meet their sets.
     """
-    spark, pivots, found = members.sparkSession, 1, None
-    open_ = members.withColumn("root", F.col("node"))
-    roots = spark.createDataFrame([], "node long, root long")
+    signs = [f"s{i}" for i in range(SKETCH)]
+    signed = sets.select("node", *[F.col("sketch")[i].alias(s) for i, s in enumerate(signs)])
+    open_ = stored(members.join(signed, "node").withColumn("root", F.col("node")), "open")
+    roots, pivots = members.sparkSession.createDataFrame([], "node long, root long"), 1
     while open_.take(1):
         slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "size", "root")).alias("p")).select("key", "p.*")
-        chosen = stored(chosen.toDF("key", "p", "p_size", "p_root"), "pivots")
+        chosen = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "size", "root", *signs)).alias("p")).select("key", "p.*")
+        chosen = stored(chosen.toDF("key", "p", "p_size", "p_root", *[f"p_{s}" for s in signs]), "pivots")
+        differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p_{s}"))) for s in signs[1:]), F.bit_count(F.col(signs[0]).bitwiseXOR(F.col(f"p_{signs[0]}"))))
         fits = (F.least("size", "p_size") >= least * F.greatest("size", "p_size") - 1e-9) & (F.col("root") != F.col("p_root"))
-        pairs = open_.join(chosen, "key").where(fits).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        new = stored(similar(both, least), "similar")
-        found = new if found is None else found.unionByName(new)
-        roots = components(found)
-        rest = open_.drop("root").join(chosen.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti")
-        rest = stored(rest.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "rest")
+        fits &= differ <= (1 - least) / (1 + least) * (F.col("size") + F.col("p_size")) + 1e-9
+        ends = F.struct("node", "root"), F.struct(F.col("p").alias("node"), F.col("p_root").alias("root"))
+        pairs = open_.join(chosen, "key").where(fits).select(F.least(*ends).alias("l"), F.greatest(*ends).alias("g")).distinct()
+        pairs = pairs.selectExpr("l.node AS l", "g.node AS g", "l.root AS a", "g.root AS b")
+        shingles = sets.select("node", "shingles")
+        new = components(similar(pairs.join(shingles.toDF("l", "x"), "l").join(shingles.toDF("g", "y"), "g"), least))
+        roots = roots.join(new.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(new)
+        rest = open_.join(chosen.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").join(new.toDF("root", "to"), "root", "left")
+        rest = stored(rest.withColumn("root", F.coalesce("to", "root")).drop("to"), "rest")
         more = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        open_ = stored(rest.join(more, "key").select("key", "node", "size", "root"), "open")
+        open_ = stored(rest.join(more, "key", "left_semi"), "open")
         pivots *= 8
-    return roots
+    return stored(roots, "roots")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = WIDTH, least: float = SIMILAR) -> DataFrame:
@@ -150,12 +168,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", *, wi
 
     def whole(texts: Texts, _) -> list:
         flat, first = shingle_sets(texts, width)
-        return [numbered(flat, first), [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]]
+        each = [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        return [numbered(flat, first), each, list(sketches(flat, first))]
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("least.h").alias("h"))
     rows = plain.join(wanted, "h", "left_semi").dropDuplicates(["key", "h"])
-    sets = map_texts(rows, "text", whole, [field("node", T.LongType()), field("shingles", T.BinaryType())], keep=[])
-    roots = links(members, stored(sets, "sets").dropDuplicates(["node"]), least)
+    fields = [field("node", T.LongType()), field("shingles", T.BinaryType()), field("sketch", T.ArrayType(T.LongType()))]
+    sets = map_texts(rows, "text", whole, fields, keep=[])
+    roots = links(members, stored(sets.dropDuplicates(["node"]), "sets"), least)
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.h")
     kept = marked.join(chosen, marked[own].eqNullSafe(chosen["h"]) & marked[key].eqNullSafe(chosen["key"]), "left_semi")

@@ -9,11 +9,13 @@ of the rows takes its steps from the same state.
 from __future__ import annotations
 
 import copy
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ FILTERS = 8  # of each width
 SHARD_ROWS = 6000  # labels whose texts one state passes through in an epoch
 TASKS = 64  # at most so many tasks of an epoch send their sums
 SLICE = 1 << 10  # buckets of a table that travel in one row
-PIECE = 1 << 22  # bytes of text that are compressed together
+PIECE = 1 << 20  # bytes of text that are compressed together
 PART_BITS = 1 << 15  # of a row of `bitmap_construct_agg`
 MAYBE = 8  # bits, or up to twice as many, that tell a labelled key
 MOST_BITS = 1 << 27
@@ -197,16 +199,24 @@ def packed(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
 
     def meet(texts: pa.Table, labels: pa.Table) -> pa.Table:
-        found = texts.drop_columns("shard").join(labels.drop_columns("shard"), "key", join_type="inner")
-        found = found.sort_by([("key", "ascending"), ("lang", "ascending"), ("text", "ascending")]).combine_chunks()
+        places = pa.table({"key": texts["key"], "row": pa.array(np.arange(len(texts)))})
+        found = places.join(labels.drop_columns("shard"), "key", join_type="inner", use_threads=False)
+        label, there = np.zeros(len(texts), np.int32), np.zeros(len(texts), bool)
+        label[found["row"].to_numpy()], there[found["row"].to_numpy()] = found["label"].to_numpy(), True
+        order = pc.sort_indices(texts, [("key", "ascending"), ("lang", "ascending"), ("text", "ascending")]).to_numpy()
+        order = order[there[order]]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts["text"]), 0).to_numpy()[order], dtype=np.int64)
+        cuts_at = np.append(np.flatnonzero(np.diff(ends // PIECE, prepend=0)), len(order))
         pieces = []
-        for batch in found.to_batches():
-            for a, b in Texts.of(batch.column("text")).blocks(PIECE):
+        for rows in np.split(order, cuts_at):
+            if len(rows):
+                piece = texts.drop_columns("shard").take(pa.array(rows)).append_column("label", pa.array(label[rows]))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch.slice(a, b - a))
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(piece)
                 pieces.append(sink.getvalue().to_pybytes())
-        shard = (texts if len(texts) else labels)["shard"][0].as_py() if pieces else 0
+        shard = texts["shard"][0].as_py() if pieces else 0
+        released()
         return pa.table({"shard": pa.array([shard] * len(pieces), pa.int32()), "rows": pa.array(pieces, pa.binary())})
 
     return known.groupBy("shard").cogroup(docs.groupBy("shard")).applyInArrow(lambda labels, texts: meet(texts, labels), "shard int, rows binary")
@@ -245,16 +255,17 @@ def _joined(texts: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> tup
     )
 
 
-def _summed(rows: DataFrame, by: str) -> pa.Table:
-    """Rows (`by`, v) with the vectors of equal `by` added up on the cluster."""
+def _summed(rows: DataFrame, by: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows (`by`, v) with the vectors of equal `by` added up on the cluster; they reach the driver compressed."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(len(table["v"][0]))
         for v in table["v"]:
             total += v.values.to_numpy()
-        return pa.table({by: table[by][:1].cast(pa.int32()), "v": pa.array([total], pa.list_(pa.float64()))})
+        return pa.table({by: table[by][:1].cast(pa.int32()), "v": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    return rows.groupBy(by).applyInArrow(add, f"{by} int, v array<double>").toArrow()
+    for slot, v in rows.groupBy(by).applyInArrow(add, f"{by} int, v binary").collect():
+        yield slot, np.frombuffer(zlib.decompress(v))
 
 
 def seen_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,13 +288,12 @@ def seen_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         released()
 
     having, count = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
-    table = _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot")
     flat = having.reshape(-1, SLICE)
-    for slot, v in zip(table["slot"].to_pylist(), table["v"], strict=True):
+    for slot, v in _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot"):
         if slot < 0:
-            count[:] = v.values.to_numpy().reshape(2, 2)
+            count[:] = v.reshape(2, 2)
         else:
-            flat[slot] = v.values.to_numpy()
+            flat[slot] = v
     return having, count[0], count[1]
 
 
@@ -332,19 +342,20 @@ def epoch_of(rows: DataFrame, network: Network, memory: dict, epoch: int, share:
             ]).astype(np.float64) * len(train)
             dense, trained_rows = flat if dense is None else dense + flat, trained_rows + len(train)
         if trained_rows:
+            yield pa.record_batch({"slot": pa.array([-1], pa.int32()), "v": pa.array([dense], pa.list_(pa.float64()))})
             flat = moved.reshape(-1, SLICE * width)
-            yield pa.record_batch({"slot": pa.array(range(-1, len(flat)), pa.int32()), "v": pa.array([dense, *flat.astype(np.float64)], pa.list_(pa.float64()))})
+            for a in range(0, len(flat), 16):
+                some = flat[a : a + 16].astype(np.float64)
+                yield pa.record_batch({"slot": pa.array(range(a, a + len(some)), pa.int32()), "v": pa.array(list(some), pa.list_(pa.float64()))})
         released()
 
-    found = _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot")
     network, memory = copy.deepcopy(network), dict(memory)
     moved = np.zeros((2, BUCKETS, width), np.float32)
     pieces = moved.reshape(-1, SLICE * width)
-    for slot, v in zip(found["slot"].to_pylist(), found["v"], strict=True):
+    for slot, flat in _summed(rows.mapInArrow(run, "slot int, v array<double>"), "slot"):
         if slot >= 0:
-            pieces[slot] = v.values.to_numpy()
+            pieces[slot] = flat
             continue
-        flat = v.values.to_numpy()
         flat, at = flat[:-1] / flat[-1], 0
         for target in ("value", "memory"):
             for name, value in zip(_DENSE, _dense(network), strict=True):

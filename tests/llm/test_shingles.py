@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import plain
 
 import corpus_pipeline
@@ -63,3 +64,21 @@ def test_keys_with_the_same_nodes_count_once(llm):
     members = llm.createDataFrame(rows, "key long, node long")
     found = sorted(map(tuple, shingles.distinct_keys(members).collect()))
     assert found == [(3, 1), (3, 2), (4, 1), (4, 2), (4, 7), (6, 1), (6, 7)]
+
+
+def test_unlike_members_make_no_pairs(llm, monkeypatch):
+    """A family under common keys whose texts share 0.5 of their shingles: none is compared by its set, all links are found."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:200], rng.integers(0, 1 << 63, 100, dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.append(s[:-20], rng.integers(0, 1 << 63, 5, dtype=np.uint64))) for s in sets[:10]]
+    flat, first = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    rows = [(i, s.tobytes(), k.tolist()) for i, (s, k) in enumerate(zip(sets, shingles.sketches(flat, first), strict=True))]
+    table = llm.createDataFrame(rows, "node long, shingles binary, sketch array<long>")
+    members = llm.createDataFrame([(key, i, len(s)) for key in range(3) for i, s in enumerate(sets)], "key long, node long, size int")
+    compared, whole = [], shingles.similar
+    monkeypatch.setattr(shingles, "similar", lambda pairs, least: compared.append(pairs.count()) or whole(pairs, least))
+    assert sorted(map(tuple, shingles.links(members, table, 0.8).collect())) == [(60 + i, i) for i in range(10)]
+    assert sum(compared) < 40
+    apart = [(len(np.setxor1d(x, y)), np.bitwise_count((np.array(a[2]) ^ np.array(b[2])).view(np.uint64)).sum()) for x, a in zip(sets, rows, strict=True) for y, b in zip(sets, rows, strict=True)]
+    assert all(differ >= bits for differ, bits in apart)
