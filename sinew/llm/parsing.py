@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinew.llm.backoff import _bounds, packed, unpacked
-from sinew.llm.frames import scratch
+from sinew.llm.frames import released, scratch
 from sinew.llm.text import PIECE as CACHED
 from sinew.llm.text import Hasher, Texts, owners
 
@@ -48,21 +48,17 @@ class Block:
         self.data = np.frombuffer(data, np.uint8)
         self.at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
         self.order = np.array([_LAST if k is None else k for k in keys], np.int64)
-        self.owner = owners(self.at)
-
-    def windows(self, hasher: Hasher, width: int, piece: int = CACHED) -> np.ndarray:
-        """Rolling hashes by start, in pieces that overlap; those that reach over a text's end have no meaning."""
-        out = np.zeros(len(self.data), np.uint64)
-        for a in range(0, len(self.data), piece):
-            h = hasher.windows(self.data[a : a + piece + width - 1], width)[:piece]
-            out[a : a + len(h)] = h
-        return out
+        self.owner = owners(self.at, np.int32)
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends of window starts, and texts of phrases that have windows."""
-        h = self.windows(_T, TRIGGER)
-        cut = np.zeros(len(self.data), bool)
-        cut[1:] = (h[1:] % np.uint64(SPACING) == 0) & (h[1:] != h[:-1])
+        cut, before = np.zeros(len(self.data), bool), np.zeros(1, np.uint64)
+        for a in range(0, len(self.data), CACHED):
+            # Rolling hashes in pieces that overlap; the block's last bytes start none and count as hash 0.
+            h = _T.windows(self.data[a : a + CACHED + TRIGGER - 1], TRIGGER)[:CACHED]
+            h = np.concatenate([h, np.zeros(min(CACHED, len(self.data) - a) - len(h), np.uint64)])
+            cut[a : a + len(h)] = (h % np.uint64(SPACING) == 0) & (h != np.concatenate([before, h[:-1]]))
+            before = h[-1:]
         cut[self.at[:-1][np.diff(self.at) > 0]] = True
         begin = np.flatnonzero(cut)
         text = self.owner[begin]
@@ -78,31 +74,31 @@ class Block:
     def _keys(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _A.ranges(self.data, begin, end), _B.ranges(self.data, begin, end) >> np.uint64(32)
 
-    def groups(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The window starts that are `open_`, and the least rolling hash inside each window."""
-        reach = self.width - GRAM + 1
-        least = np.zeros(len(self.data), np.uint64)
+    def groups(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of window starts that are `open_`, in one text and with one least rolling hash inside their windows: begins, ends, hashes.
+
+        A run ends with a piece at the latest, so that nothing but runs is kept of a piece.
+        """
+        reach, runs = self.width - GRAM + 1, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for a in range(0, len(self.data), CACHED):
             low, span = _G.windows(self.data[a : a + CACHED + self.width - 1], GRAM), 1
             while span * 2 <= reach:
                 low, span = np.minimum(low[:-span], low[span:]), span * 2
             if reach > span:
                 low = np.minimum(low[: span - reach], low[reach - span :])
-            low = low[:CACHED]
-            least[a : a + len(low)] = low
-        place = np.flatnonzero(open_)
-        return place, least[place]
+            place = np.flatnonzero(open_[a : a + CACHED])
+            if len(place):
+                value, text = low[place], self.owner[a + place]
+                new = np.concatenate([[True], (np.diff(place) != 1) | (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
+                head = np.flatnonzero(new)
+                runs.append((a + place[head], a + place[np.append(head[1:], len(place)) - 1] + 1, value[head]))
+        return tuple(map(np.concatenate, zip(*runs, strict=True)))
 
     def window_keys(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of hash of the windows at some places."""
         return self._keys(place, place + self.width)
 
 
-def _runs(place: np.ndarray, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Where runs of one value in one text begin."""
-    return np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[place[1:]] != owner[place[:-1]])])) if len(place) else place
-
-
 def first_of(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """For each key with its second half in rest[:, 0]: the least order (rest[:, 1]) among equal keys."""
     by = np.lexsort((rest[:, 0], key))
@@ -120,15 +116,36 @@ def in_several(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return (np.bincount(which, weights=rest[:, 0]) >= 2)[which].astype(np.int64)
 
 
-def distinct(key: np.ndarray, half: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct (key, half) with the least order of each, as a block sends them, and the place of every given one."""
-    by = np.lexsort((half, key))
-    k, h = key[by], half[by]
-    fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
-    head, which = np.flatnonzero(fresh), np.empty(len(k), np.int32)
-    which[by] = np.cumsum(fresh) - 1
-    least = np.minimum.reduceat(order[by], head) if len(k) else order
-    return k[head], np.stack([h[head], least.view(np.uint64)], axis=1), which
+def _sorted(key: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending (key, half), and where new ones begin in it."""
+    by = np.lexsort((half, key)).astype(np.int32)
+    fresh = np.ones(len(by), bool)
+    for a in range(1, len(by), CACHED):
+        now, last = by[a : a + CACHED], by[a - 1 : a + CACHED - 1][: len(by[a : a + CACHED])]
+        fresh[a : a + len(now)] = (key[now] != key[last]) | (half[now] != half[last])
+    return by, fresh
+
+
+def places(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The place of every (key, half) among the distinct ones in ascending order."""
+    by, fresh = _sorted(key, half)
+    which = np.empty(len(by), np.int32)
+    which[by] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return which
+
+
+def distinct(key: np.ndarray, half: np.ndarray, order: np.ndarray, *, which: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ascending distinct (key, half) with the least order of each, as a block sends them, and the place of every given one if asked for."""
+    by, fresh = _sorted(key, half)
+    head = np.flatnonzero(fresh)
+    rest = np.empty((len(head), 2), np.uint64)
+    rest[:, 0] = half[by[head]]
+    rest[:, 1] = (np.minimum.reduceat(order[by], head) if len(by) else order).view(np.uint64)
+    place = None
+    if which:
+        place = np.empty(len(by), np.int32)
+        place[by] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return key[by[head]], rest, place
 
 
 class Step:
@@ -142,16 +159,15 @@ class Step:
 
     @staticmethod
     def _open(block: Block, note: tuple, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window starts in phrases that no earlier document has, the least hash in each window, and where its runs begin."""
-        place, value = block.groups(_covered(len(block.data), note[0][~gone], note[1][~gone]))
-        return place, value, _runs(place, value, block.owner)
+        """Runs of window starts in phrases that no earlier document has, as `Block.groups` gives them."""
+        return block.groups(_covered(len(block.data), note[0][~gone], note[1][~gone]))
 
     @staticmethod
     def groups(block: Block, notes: list, answers: list) -> tuple:
         begin, _, which = notes[0]
         gone = answers[0][which] < block.order[block.owner[begin]]
-        place, value, runs = Step._open(block, notes[0], gone)
-        value, own = value[runs], block.owner[place[runs]]
+        start, _, value = Step._open(block, notes[0], gone)
+        own = block.owner[start]
         by = np.argsort(value)
         value, own = value[by], own[by]
         head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else by
@@ -160,30 +176,42 @@ class Step:
 
     @staticmethod
     def windows(block: Block, notes: list, answers: list) -> tuple:
-        place, value, runs = Step._open(block, notes[0], notes[1][0])
-        keys = np.unique(value[runs])
-        shared = answers[1][np.searchsorted(keys, value[runs])].astype(bool) if len(keys) else np.zeros(0, bool)
-        chosen = place[np.repeat(shared, np.diff(np.append(runs, len(place))))]
-        keys, rest, _ = distinct(*block.window_keys(chosen), block.order[block.owner[chosen]])
-        head = np.flatnonzero(np.diff(chosen, prepend=-2) != 1)
-        return keys, rest, (chosen[head].astype(np.int32), np.diff(np.append(head, len(chosen))).astype(np.int32))
+        start, stop, value = Step._open(block, notes[0], notes[1][0])
+        keys = np.unique(value)
+        shared = answers[1][np.searchsorted(keys, value)].astype(bool) if len(keys) else np.zeros(0, bool)
+        start, stop = start[shared], stop[shared]
+        joins = start[1:] == stop[:-1]  # runs that touch are one in the note
+        start, stop = start[np.append(True, ~joins)] if len(start) else start, stop[np.append(~joins, True)] if len(stop) else stop
+        note = start.astype(np.int32), (stop - start).astype(np.int32)
+        chosen = Step._places(*note)
+        keys, rest, _ = distinct(*block.window_keys(chosen), block.order[block.owner[chosen]], which=False)
+        return keys, rest, note
+
+    @staticmethod
+    def _places(head: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The window starts of runs."""
+        places = np.repeat((head - np.cumsum(count) + count).astype(np.int32), count)
+        places += np.arange(len(places), dtype=np.int32)
+        return places
 
     @staticmethod
     def removed(block: Block, notes: list, answers: list) -> np.ndarray:
         """Which bytes an earlier document's windows cover."""
         (begin, finish, _), (gone,), (head, count) = notes
-        chosen = np.repeat(head - np.cumsum(count) + count, count) + np.arange(count.sum())
-        order = block.order[block.owner[chosen]]
-        late = chosen[answers[2][distinct(*block.window_keys(chosen), order)[2]] < order] if len(chosen) else chosen
+        chosen = Step._places(head, count)
+        late = chosen
+        if len(chosen):
+            which = places(*block.window_keys(chosen))
+            late = chosen[answers[2][which] < block.order[block.owner[chosen]]]
         w = block.width
-        return _covered(len(block.data), np.concatenate([begin[gone], late]), np.concatenate([finish[gone] + w - 1, late + w]))
+        return _covered(len(block.data), begin[gone], finish[gone] + w - 1) | _covered(len(block.data), late, late + w)
 
 
 def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, begin, 1)
     np.add.at(edge, end, -1)
-    return np.cumsum(edge)[:n] > 0
+    return np.cumsum(edge, out=edge)[:n] > 0
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int, parts: int) -> DataFrame:
@@ -248,7 +276,8 @@ def answered(blocks: DataFrame, ask: Callable, answer: Callable, number: int, wi
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
                 keys, rest, note = ask(*_opened(row, width))
                 cuts = np.searchsorted(keys, _bounds(parts)).tolist()
                 cuts[-1] = len(keys)
@@ -256,14 +285,19 @@ def answered(blocks: DataFrame, ask: Callable, answer: Callable, number: int, wi
                     {"part": p, "block": row["block"], "keys": packed(keys[a:b]), "rest": _planes(rest[a:b])}
                     for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a
                 )], _SENT)
+                del row, keys, rest, note
+                released()
 
     def reply(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
             return table.select(["part", "block", "keys"]).rename_columns(["part", "block", "answer"])
         keys = [unpacked(k) for k in table["keys"].to_pylist()]
         rest = [_rows(r, len(k), np.uint64) for k, r in zip(keys, table["rest"].to_pylist(), strict=True)]
-        found = answer(np.concatenate(keys), np.concatenate(rest))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
+        keys, rest = np.concatenate(keys), np.concatenate(rest)
+        found = answer(keys, rest)
+        del keys, rest
+        released()
         return pa.table({"part": table["part"], "block": table["block"], "answer": pa.array([len(x).to_bytes(4, "little") + _planes(x[:, None]) for x in np.split(found, cuts)], pa.binary())})
 
     sent = blocks.mapInArrow(send, "part long, block long, keys binary, rest binary")
@@ -283,9 +317,11 @@ def marked(docs: DataFrame, key: str, text: str, kernel: Callable[[Block, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block, notes, answers = _opened(row, width)
+            for i in range(len(batch)):
+                block, notes, answers = _opened(batch.slice(i, 1).to_pylist()[0], width)
                 yield kernel(block, Step.removed(block, notes, answers))
+                del block, notes, answers
+                released()
 
     return rows.mapInArrow(run, schema)
 

@@ -159,7 +159,10 @@ class Hasher:
                 power = power * step & _MASK
             out[i] = total & _MASK
             i += 1
-        return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for a in range(0, n, PIECE):
+            b = a + PIECE
+            out[a:b] = mixed(out[a:b] + (ends[a:b] - starts[a:b]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -189,6 +192,6 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def owners(first: np.ndarray) -> np.ndarray:
+def owners(first: np.ndarray, kind: type = np.int64) -> np.ndarray:
     """The text of each item."""
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.repeat(np.arange(len(first) - 1, dtype=kind), np.diff(first))

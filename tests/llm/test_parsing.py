@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
+import numpy as np
 import plain
 import pytest
 
-from sinew.llm.parsing import repeats
+from sinew.llm.parsing import Block, Step, first_of, repeats
 
 
 def found(df):
@@ -32,3 +34,24 @@ def test_null_and_equal_keys(llm, empty):
     out = sorted((r["doc_id"] or 99, r["n_removed"]) for r in repeats(llm.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == [(4, 0), (5, 0), (5, 0), (99, 0), (99, len(text))]
     assert repeats(empty).count() == 0
+
+
+def test_steps_hold_few_arrays_of_a_block():
+    """Memory at the peak of each step, also if every window has to be compared: a multiple of the block's bytes."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(1500)]
+    size = sum(map(len, texts))
+    block = Block(list(range(len(texts))), list(map(len, texts)), "".join(texts).encode(), 50)
+    notes, answers, peaks = [], [], []
+    tracemalloc.start()
+    for step in (Step.phrases, Step.groups, Step.windows, Step.removed):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        made = step(block, notes, answers)
+        peaks.append((tracemalloc.get_traced_memory()[1] - before) / size)
+        if step is not Step.removed:
+            answers.append(np.ones(len(made[0]), np.int64) if step is Step.groups else first_of(*made[:2]))
+            notes.append(made[2])
+    tracemalloc.stop()
+    assert not made.any() and len(answers[2]) > 0.9 * size
+    assert peaks[0] < 12 and peaks[1] < 30 and peaks[2] < 80 and peaks[3] < 60, peaks
