@@ -82,3 +82,17 @@ def test_unlike_members_make_no_pairs(llm, monkeypatch):
     assert sum(compared) < 40
     apart = [(len(np.setxor1d(x, y)), np.bitwise_count((np.array(a[2]) ^ np.array(b[2])).view(np.uint64)).sum()) for x, a in zip(sets, rows, strict=True) for y, b in zip(sets, rows, strict=True)]
     assert all(differ >= bits for differ, bits in apart)
+
+
+def test_stage_takes_candidates_from_simhash(llm, monkeypatch):
+    """Copies with a changed word are found by their fingerprints alone, where bands give no candidates; texts without words are left out."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(1000)) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate([*texts, *(t.rsplit(" ", 1)[0] + " other" for t in texts), "", None])]
+    given, bare = [], shingles.by_fingerprint
+    monkeypatch.setattr(shingles, "by_fingerprint", lambda prints: given.append(sorted(map(tuple, bare(prints).collect()))) or bare(prints))
+    kept = corpus_pipeline.near_duplicates(llm, llm.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(6), 12]
+    (found,) = given
+    keys = [key for key, _, _ in found]
+    assert len(found) == 12 and sorted(keys.count(key) for key in set(keys)) == [2] * 6
