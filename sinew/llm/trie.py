@@ -92,7 +92,7 @@ def locate(strings: DataFrame, nodes: DataFrame, steps: DataFrame, levels: int)
     """
     zero = F.lit(0).cast("long")
     now = strings.select("*", zero.alias("lo"), root().alias("lok"), zero.alias("low"), F.col("len").alias("hi"), F.lit(None).cast("binary").alias("exit"))
-    for n, level in enumerate(range(levels - 1, -1, -1)):
+    for level in range(levels - 1, -1, -1):
         unit = 1 << level
         # Bounds hold one multiple of the unit at most: higher levels have dealt with their own.
         ask = F.expr(f"shiftleft(shiftright(hi, {level}), {level})")
@@ -102,14 +102,13 @@ def locate(strings: DataFrame, nodes: DataFrame, steps: DataFrame, levels: int)
         now = now.join(hashes, ["s", "ask"], "left").join(filed, "handle", "left")
         beyond = F.col("hit_b") > F.col("hi")
         moved = F.col("hit").isNotNull() & ~beyond
-        now = now.select(
+        # A level is a query of its own: the driver plans, and plans anew as stages end, two joins and never those of several levels.
+        now = stored(now.select(
             *strings.columns,
             *[F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (("lo", "hit_b"), ("lok", "hit"), ("low", "hit_upto"))],
             F.when(F.col("ask").isNotNull() & F.col("hit").isNull(), F.col("ask") - 1).otherwise(F.col("hi")).alias("hi"),
             F.when(beyond, F.col("hit")).otherwise(F.col("exit")).alias("exit"),
-        )
-        if n % 5 == 4:
-            now = stored(now, "search")
+        ), "search")
     seen = steps.select(F.col("c").alias("s"), F.col("d").alias("lo"), F.col("k").alias("seen"))
     left = (F.col("lo") > 0) & (F.col("seen") != F.col("lok"))
     return now.join(seen, ["s", "lo"], "left").select(*strings.columns, "lo", "lok", "low", F.when(left, F.col("lok")).otherwise(F.col("exit")).alias("exit"))

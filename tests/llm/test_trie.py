@@ -76,3 +76,14 @@ def test_exit_nodes_of_strings_outside(llm):
     key = own.groupBy("c").agg(F.max(F.struct("d", "k", "upto")).alias("x")).select(F.col("c").alias("s"), F.col("x.d").alias("len"), F.col("x.k").alias("key"), "x.upto")
     (row,) = trie.locate(key, built, steps.unionByName(own), 4).collect()
     assert row["lo"] == 8 or row["exit"] in {r["k"] for r in built.where("a = 8").collect()}
+
+
+def test_search_plans_one_level_at_a_time(llm):
+    """The plan of a search does not grow with the levels: longer conversations have more of them."""
+    turns = llm.createDataFrame([(c, d, "user", str(d)) for c in (1, 2) for d in range(1, 5 + c)], "c long, d long, role string, text string")
+    steps = trie.prefixes(turns)
+    strings = steps.groupBy("c").agg(F.max(F.struct("d", "k", "upto")).alias("x")).select(F.col("c").alias("s"), F.col("x.d").alias("len"), F.col("x.k").alias("key"), "x.upto")
+    steps, strings = trie.stored(steps, "steps"), trie.stored(strings, "strings")
+    nodes = trie.stored(trie.build(strings, steps), "nodes")
+    joins = [trie.locate(strings, nodes, steps, levels)._jdf.queryExecution().optimizedPlan().toString().count("Join") for levels in (1, 4)]
+    assert joins == [1, 1]
