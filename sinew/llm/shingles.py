@@ -139,7 +139,7 @@ def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         fits &= differ <= (1 - least) / (1 + least) * (F.col("size") + F.col("p_size")) + 1e-9
         ends = F.struct("node", "root"), F.struct(F.col("p").alias("node"), F.col("p_root").alias("root"))
         pairs = open_.join(chosen, "key").where(fits).select(F.least(*ends).alias("l"), F.greatest(*ends).alias("g")).distinct()
-        pairs = pairs.selectExpr("l.node AS l", "g.node AS g", "l.root AS a", "g.root AS b")
+        pairs = stored(pairs.selectExpr("l.node AS l", "g.node AS g", "l.root AS a", "g.root AS b"), "pairs")
         shingles = sets.select("node", "shingles")
         new = components(similar(pairs.join(shingles.toDF("l", "x"), "l").join(shingles.toDF("g", "y"), "g"), least))
         roots = roots.join(new.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(new)
