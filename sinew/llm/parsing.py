@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from sinew.llm.backoff import _bounds, packed, unpacked
 from sinew.llm.frames import released, scratch
 from sinew.llm.text import PIECE as CACHED
-from sinew.llm.text import Hasher, Texts, owners
+from sinew.llm.text import Hasher, Texts, mixed, owners
 
 WIDTH = 50
 TRIGGER = 16  # bytes that decide on a phrase boundary
 SPACING = 128  # mean bytes of a phrase
 GRAM = 24  # bytes of the hashes that group windows
 BLOCK_BYTES = 4 << 20
+PART_BYTES = 12 << 20  # of text for each hash part, at most
+GROUP = 1 << 20  # keys that are put in order together, by a block or a hash part
+SENT_BYTES = 4 << 20  # of packed keys or answers that leave a worker together
 _A, _B, _T, _G = Hasher(51), Hasher(52), Hasher(53), Hasher(54)
 _LAST = (1 << 63) - 1
 
@@ -77,7 +80,8 @@ class Block:
     def groups(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of window starts that are `open_`, in one text and with one least rolling hash inside their windows: begins, ends, hashes.
 
-        A run ends with a piece at the latest, so that nothing but runs is kept of a piece.
+        A run ends with a piece at the latest, so that nothing but runs is kept of a piece. Least hashes are small numbers, so they
+        are mixed once more: hash parts get equal shares.
         """
         reach, runs = self.width - GRAM + 1, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for a in range(0, len(self.data), CACHED):
@@ -91,7 +95,7 @@ class Block:
                 value, text = low[place], self.owner[a + place]
                 new = np.concatenate([[True], (np.diff(place) != 1) | (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
                 head = np.flatnonzero(new)
-                runs.append((a + place[head], a + place[np.append(head[1:], len(place)) - 1] + 1, value[head]))
+                runs.append((a + place[head], a + place[np.append(head[1:], len(place)) - 1] + 1, mixed(value[head])))
         return tuple(map(np.concatenate, zip(*runs, strict=True)))
 
     def window_keys(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +153,10 @@ def distinct(key: np.ndarray, half: np.ndarray, order: np.ndarray, *, which: boo
 
 
 class Step:
-    """What a block does at each step: the keys it asks about, and a note for later steps. `answers` are those to earlier steps' keys."""
+    """What a block does at each step: the keys it asks about, and a note for later steps. `answers` are those to earlier steps' keys.
+
+    Windows are taken in sections of GROUP, and their keys ascend within a section.
+    """
 
     @staticmethod
     def phrases(block: Block, notes: list, answers: list) -> tuple:
@@ -184,8 +191,19 @@ class Step:
         start, stop = start[np.append(True, ~joins)] if len(start) else start, stop[np.append(~joins, True)] if len(stop) else stop
         note = start.astype(np.int32), (stop - start).astype(np.int32)
         chosen = Step._places(*note)
-        keys, rest, _ = distinct(*block.window_keys(chosen), block.order[block.owner[chosen]], which=False)
-        return keys, rest, note
+        if len(chosen) <= GROUP:
+            keys, rest, _ = distinct(*block.window_keys(chosen), block.order[block.owner[chosen]], which=False)
+            return keys, rest, note
+        keys, rest, n = np.empty(len(chosen), np.uint64), np.empty((len(chosen), 2), np.uint64), 0
+        for own in Step._sections(chosen):
+            k, r, _ = distinct(*block.window_keys(own), block.order[block.owner[own]], which=False)
+            keys[n : n + len(k)], rest[n : n + len(k)] = k, r
+            n += len(k)
+        return keys[:n], rest[:n], note
+
+    @staticmethod
+    def _sections(chosen: np.ndarray) -> list[np.ndarray]:
+        return [chosen[a : a + GROUP] for a in range(0, len(chosen), GROUP)]
 
     @staticmethod
     def _places(head: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -198,12 +216,12 @@ class Step:
     def removed(block: Block, notes: list, answers: list) -> np.ndarray:
         """Which bytes an earlier document's windows cover."""
         (begin, finish, _), (gone,), (head, count) = notes
-        chosen = Step._places(head, count)
-        late = chosen
-        if len(chosen):
-            which = places(*block.window_keys(chosen))
-            late = chosen[answers[2][which] < block.order[block.owner[chosen]]]
-        w = block.width
+        late, n = [np.zeros(0, np.int32)], 0
+        for own in Step._sections(Step._places(head, count)):
+            which = places(*block.window_keys(own))
+            late.append(own[answers[2][n : n + int(which.max()) + 1][which] < block.order[block.owner[own]]])
+            n += int(which.max()) + 1
+        late, w = np.concatenate(late), block.width
         return _covered(len(block.data), begin[gone], finish[gone] + w - 1) | _covered(len(block.data), late, late + w)
 
 
@@ -240,7 +258,8 @@ def blocks_of(docs: DataFrame, key: str, text: str, block_bytes: int, parts: int
     return spark.table(table)
 
 
-_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary())])
+_SENT = pa.schema([("part", pa.int64()), ("section", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary())])
+_REPLY = pa.schema([("part", pa.int64()), ("section", pa.int32()), ("block", pa.int64()), ("answer", pa.binary())])
 
 
 def _planes(rows: np.ndarray) -> bytes:
@@ -254,6 +273,21 @@ def _rows(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind) if n else np.zeros((0, 1), kind)
 
 
+def _answer(found: np.ndarray) -> bytes:
+    """Answers to some of a row's keys; those to all of them are such pieces in a row."""
+    raw = _planes(found[:, None])
+    return len(found).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw
+
+
+def _answers(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        n, size = (int.from_bytes(raw[a : a + 4], "little") for a in (at, at + 4))
+        out.append(_rows(raw[at + 8 : at + 8 + size], n, np.int64).ravel())
+        at += 8 + size
+    return out
+
+
 def _noted(arrays: tuple) -> bytes:
     return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
 
@@ -262,52 +296,89 @@ def _opened(row: dict, width: int) -> tuple[Block, list, list]:
     """A block with the notes and answers of the steps so far."""
     notes, answers = [], []
     for got in (row[c] for c in sorted(c for c in row if c.startswith("answers"))):
-        ordered = sorted(got, key=lambda a: a["part"])
+        ordered = sorted(got, key=lambda a: (a["section"], a["part"]))
         notes.append(pickle.loads(zlib.decompress(ordered[0]["answer"])))  # this library's own arrays
-        answers.append(np.concatenate([np.zeros(0, np.int64), *(_rows(a["answer"][4:], int.from_bytes(a["answer"][:4], "little"), np.int64).ravel() for a in ordered[1:])]))
+        answers.append(np.concatenate([np.zeros(0, np.int64), *(x for a in ordered[1:] for x in _answers(a["answer"]))]))
     return Block(row["keys"], row["sizes"], row["data"], width), notes, answers
 
 
 def answered(blocks: DataFrame, ask: Callable, answer: Callable, number: int, width: int, parts: int) -> DataFrame:
     """(block, answers): each block's keys go to hash parts, and each part answers all keys that came together.
 
-    A block's note takes the same way under a part number of its own, below zero.
+    A block's note takes the same way under a part number of its own, below zero. A part puts GROUP keys in order at a time: those
+    of one range of hashes after another, so that only packed keys and answers are held of a part as a whole.
     """
+    edges = [int(x) for x in _bounds(parts)[:-1]] + [1 << 64]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
                 keys, rest, note = ask(*_opened(row, width))
-                cuts = np.searchsorted(keys, _bounds(parts)).tolist()
-                cuts[-1] = len(keys)
-                yield pa.RecordBatch.from_pylist([{"part": -1 - row["block"], "block": row["block"], "keys": _noted(note), "rest": b""}, *(
-                    {"part": p, "block": row["block"], "keys": packed(keys[a:b]), "rest": _planes(rest[a:b])}
-                    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a
-                )], _SENT)
-                del row, keys, rest, note
+                block, held, size = row["block"], [], 0
+                del row
+                yield pa.RecordBatch.from_pylist([{"part": -1 - block, "section": -1, "block": block, "keys": _noted(note), "rest": b""}], _SENT)
+                del note
+                starts = np.concatenate([[0], np.flatnonzero(keys[1:] < keys[:-1]) + 1, [len(keys)]]).tolist()
+                for section, (start, stop) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    cuts = (start + np.searchsorted(keys[start:stop], _bounds(parts))).tolist()
+                    cuts[-1] = stop
+                    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if b > a:
+                            held.append({"part": p, "section": section, "block": block, "keys": packed(keys[a:b] - np.uint64(edges[p])), "rest": _planes(rest[a:b])})
+                            size += len(held[-1]["keys"]) + len(held[-1]["rest"])
+                        if size > SENT_BYTES:
+                            yield pa.RecordBatch.from_pylist(held, _SENT)
+                            held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, _SENT)
+                del keys, rest, held
                 released()
 
-    def reply(table: pa.Table) -> pa.Table:
-        if table["part"][0].as_py() < 0:
-            return table.select(["part", "block", "keys"]).rename_columns(["part", "block", "answer"])
-        keys = [unpacked(k) for k in table["keys"].to_pylist()]
-        rest = [_rows(r, len(k), np.uint64) for k, r in zip(keys, table["rest"].to_pylist(), strict=True)]
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        keys, rest = np.concatenate(keys), np.concatenate(rest)
-        found = answer(keys, rest)
-        del keys, rest
-        released()
-        return pa.table({"part": table["part"], "block": table["block"], "answer": pa.array([len(x).to_bytes(4, "little") + _planes(x[:, None]) for x in np.split(found, cuts)], pa.binary())})
-
-    sent = blocks.mapInArrow(send, "part long, block long, keys binary, rest binary")
-    replies = sent.groupBy("part").applyInArrow(reply, "part long, block long, answer binary")
-    return replies.groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias(f"answers{number}"))
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        p = rows[0]["part"]
+        if p < 0:
+            yield pa.RecordBatch.from_pylist([{**r, "answer": r["keys"]} for r in rows], _REPLY)
+            return
+        total = sum((len(r["keys"]) - 1) // r["keys"][0] for r in rows)
+        pieces = -(-total // GROUP)
+        ends = [(edges[p + 1] - edges[p]) * j // pieces for j in range(1, pieces)]
+        ends, found = np.array(ends, np.uint64), [[] for _ in rows]
+        for j in range(pieces):
+            keys, rest = [], []
+            for r in rows:
+                k = unpacked(r["keys"])
+                a, b = ([0, *np.searchsorted(k, ends).tolist(), len(k)][j : j + 2])
+                keys.append(k[a:b].copy())
+                rest.append(_rows(r["rest"], len(k), np.uint64)[a:b].copy())
+            cuts = np.cumsum([len(k) for k in keys])[:-1]
+            keys, rest = np.concatenate(keys), np.concatenate(rest)
+            for own, x in zip(found, np.split(answer(keys, rest), cuts) if len(keys) else (), strict=False):
+                if len(x):
+                    own.append(_answer(x))
+            del keys, rest
+            released()
+        held, size = [], 0
+        for r, own in zip(rows, found, strict=True):
+            held.append({"part": p, "section": r["section"], "block": r["block"], "answer": b"".join(own)})
+            size += len(held[-1]["answer"])
+            if size > SENT_BYTES:
+                yield pa.RecordBatch.from_pylist(held, _REPLY)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, _REPLY)
+
+    sent = blocks.mapInArrow(send, "part long, section int, block long, keys binary, rest binary")
+    replies = sent.groupBy("part").applyInArrow(reply, "part long, section int, block long, answer binary")
+    return replies.groupBy("block").agg(F.collect_list(F.struct("section", "part", "answer")).alias(f"answers{number}"))
 
 
 def marked(docs: DataFrame, key: str, text: str, kernel: Callable[[Block, np.ndarray], pa.RecordBatch], schema: str, *, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
     """`kernel(block, removed)` of every block of texts."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = blocks_of(docs, key, text, block_bytes, parts)
     for number, (ask, answer) in enumerate(((Step.phrases, first_of), (Step.groups, in_several), (Step.windows, first_of))):
         table = scratch(docs.sparkSession, f"answers{number}")

@@ -5,6 +5,7 @@ import numpy as np
 import plain
 import pytest
 
+from sinew.llm import parsing
 from sinew.llm.parsing import Block, Step, first_of, repeats
 
 
@@ -55,3 +56,51 @@ def test_steps_hold_few_arrays_of_a_block():
     tracemalloc.stop()
     assert not made.any() and len(answers[2]) > 0.9 * size
     assert peaks[0] < 12 and peaks[1] < 30 and peaks[2] < 80 and peaks[3] < 60, peaks
+
+
+def _block(seed, texts=300, size=400):
+    rng = random.Random(seed)
+    data = ["".join(rng.choice("abcdefgh ") for _ in range(size)) for _ in range(texts)]
+    return Block(list(range(texts)), [size] * texts, "".join(data).encode(), 50)
+
+
+def test_hash_parts_get_equal_shares_of_every_step():
+    """Windows' least hashes are small numbers; sent as they are, the first of 20 parts would take three quarters of all."""
+    block, notes, answers = _block(5), [], []
+    for step in (Step.phrases, Step.groups, Step.windows):
+        keys, rest, note = step(block, notes, answers)
+        share = np.bincount((keys >> np.uint64(60)).astype(int), minlength=16) / len(keys)
+        assert share.max() < 0.11, (step, share)
+        notes.append(note)
+        answers.append(np.ones(len(keys), np.int64) if step is Step.groups else first_of(keys, rest))
+
+
+def test_sections_and_ranges_give_the_same_bytes(llm, docs, corpus, monkeypatch):
+    """A block's windows and a hash part's keys are put in order some at a time, with the same results."""
+    monkeypatch.setattr(parsing, "GROUP", 97)
+    assert found(repeats(docs, parts=2)) == plain.repeats(corpus)
+    block, notes, answers = _block(6, 20), [], []
+    block.order[:] = 5
+    for step in (Step.phrases, Step.groups, Step.windows):
+        keys, rest, note = step(block, notes, answers)
+        notes.append(note)
+        answers.append(np.ones(len(keys), np.int64) if step is Step.groups else np.where(np.arange(len(keys)) % 3 == 0, 4, first_of(keys, rest)) if step is Step.windows else first_of(keys, rest))
+    assert (np.diff(keys.astype(float)) < 0).sum() > 20
+    goes = {key: a < 5 for key, a in zip(zip(keys.tolist(), rest[:, 0].tolist()), answers[2].tolist())}
+    expected = np.zeros(len(block.data), bool)
+    for at in range(len(block.data)):
+        if block.owner[at] == block.owner[min(at + 49, len(block.data) - 1)] and at + 50 <= len(block.data):
+            a, b = block.window_keys(np.array([at]))
+            expected[at : at + 50] |= goes[int(a[0]), int(b[0])]
+    assert (Step.removed(block, notes, answers) == expected).all() and expected.any()
+
+
+def test_parts_grow_with_the_input(llm, monkeypatch):
+    """Hash parts follow the bytes of text, also where the number of shuffle partitions stays."""
+    taken = []
+    monkeypatch.setattr(parsing, "PART_BYTES", 100)
+    monkeypatch.setattr(parsing, "blocks_of", lambda docs, key, text, size, parts: taken.append(parts) or docs.limit(0).selectExpr("1L AS block"))
+    monkeypatch.setattr(parsing, "answered", lambda rows, *rest: rows.limit(0))
+    df = llm.createDataFrame([(k, "é" * 50) for k in range(40)] + [(41, None)], "doc_id long, text string")
+    parsing.marked(df, "doc_id", "text", None, "n long")
+    assert taken == [40]
