@@ -19,7 +19,7 @@ from sinew.plans import fragments as S
 from sinew.plans import signals as SG
 from sinew.plans import workflows as WF
 from sinew.plans.catalog import q, r, register, rounded
-from sinew.session import checkpoint_folder, settle
+from sinew.session import checkpoint_folder, written
 from sinew.sources import store
 from sinew.sources import testdata as td
 
@@ -291,12 +291,13 @@ def classifier_benchmark(spark, sf):
     """Base 69 and base + MPF 105 values of the long sessions' windows, z-scored per session, folds of whole trials."""
     samples = td.numbered_sessions(spark, sf)
     keys = td.labelled(samples).select("session_id", "k", "label", (F.col("y") - 1995).alias("trial_id"))
-    base = C.session_zscore(settle(FE.extract_features(samples).join(keys, ["session_id", "k"])))
-    bands = C.session_zscore(settle(FE.cross_spectrum(samples).join(keys, ["session_id", "k"]))).select("session_id", "k", F.col("f").alias("m"))
+    path = f"{checkpoint_folder(spark).rstrip('/')}/benchmark-{uuid.uuid4().hex}"
+    base = C.session_zscore(written(FE.extract_features(samples).join(keys, ["session_id", "k"]), f"{path}-base"))
+    bands = C.session_zscore(written(FE.cross_spectrum(samples).join(keys, ["session_id", "k"]), f"{path}-bands")).select("session_id", "k", F.col("f").alias("m"))
     folds = SP.group_kfold(keys, ["session_id", "trial_id"]).drop("n")
-    rows = settle(base.join(bands, ["session_id", "k"]).join(folds, ["session_id", "trial_id"]))
+    rows = written(base.join(bands, ["session_id", "k"]).join(folds, ["session_id", "trial_id"]), f"{path}-rows")
     sets = {"base": rows, "base_mpf": rows.withColumn("f", F.concat("f", "m"))}
-    return N.classifier_benchmark(sets, ("fist", "hook_em", "open", "rest", "thumbs_up"))
+    return N.classifier_benchmark(sets, ("fist", "hook_em", "open", "rest", "thumbs_up"), stored=True)
 
 
 def _matrix(spark, sf):

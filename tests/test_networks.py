@@ -110,3 +110,54 @@ def test_epochs_are_the_jobs_and_shards_learn_side_by_side(spark, monkeypatch):
     for a, b in zip(nets[0].weights, nets[1].weights):
         np.testing.assert_allclose(a, b, atol=1e-6)
     assert (nets[0].probabilities(x).argmax(axis=1) == y).mean() > 0.8
+
+
+def test_random_directions_are_drawn_once(monkeypatch):
+    """The cosine features' directions are the same in every step, so steps do not draw them again."""
+    draws, rng = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: draws.append(a) or rng(*a))
+    kind, x = N.KernelMachine(19), rng(1).normal(0, 1, (50, 7))
+    for step in range(5):
+        kind.gradients(kind.start(7, 3, 0), x, np.arange(50) % 3, np.arange(50), step, 0)
+    assert len(draws) == 1
+
+
+def test_single_precision_gradients_are_close():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, (400, 20)), rng.integers(0, 3, 400)
+    weights = [rng.normal(0, 0.1, (256, 3)), rng.normal(0, 0.1, 3)]
+    a, b = (N.KernelMachine(single=s).gradients(weights, x, y, np.arange(400), 0, 0)[0] for s in (False, True))
+    for u, v in zip(a, b):
+        np.testing.assert_allclose(u, v, atol=1e-3)
+
+
+def test_mini_batches_are_packed_rows(spark):
+    """One row for each mini-batch, with its rows in order, however the rows come in batches."""
+    x, y, df = blobs(spark, 90)
+    rows = df.selectExpr("cast(k % 4 as int) AS part", "cast(k % 2 as int) AS shard", "cast(k % 3 as int) AS y", "fold", "k AS h", "f")
+    placed = rows.repartitionById(2, F.col("shard")).sortWithinPartitions("shard", "part", "h")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        packed = placed.mapInArrow(N._packed, N.PACKED).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["part"] for r in packed) == [0, 1, 2, 3]
+    for r in packed:
+        k = np.arange(r["part"], 90, 4)
+        assert r["shard"] == r["part"] % 2 and np.frombuffer(r["h"], np.int64).tolist() == k.tolist()
+        assert np.frombuffer(r["y"], np.int32).tolist() == (k % 3).tolist() and np.frombuffer(r["fold"], np.int32).tolist() == (k % 4).tolist()
+        np.testing.assert_array_equal(np.frombuffer(r["x"]).reshape(len(k), -1), x[k])
+
+
+def test_tasks_hold_whole_shards(spark, monkeypatch):
+    """More shards than tasks give the states of a task for each shard: partitioning changes the rounding of sums only."""
+    _, _, df = blobs(spark, 600)
+    monkeypatch.setattr(N, "SHARD_ROWS", 32)
+    fitted = []
+    for per_core in (1, 50):
+        monkeypatch.setattr(N, "TASKS_PER_CORE", per_core)
+        fitted.append(N.fit_networks(df, CLASSES, {"mlp": N.Perceptron((5,), 0.0, 1e-2)}, folds=2, epochs=3, batch=16, whole=False))
+    for model in fitted[0]:
+        for a, b in zip(fitted[0][model].weights, fitted[1][model].weights):
+            np.testing.assert_allclose(a, b, atol=1e-9)
